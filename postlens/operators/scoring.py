@@ -142,7 +142,10 @@ class NaiveBayesScorer:
     def statistics(self, labelled: DataFrame, n1: int, n0: int) -> DataFrame:
         """Selected vocabulary with counts, z and weight (lazy)."""
         docs = self._docs(labelled).where(F.col("_y").isin(0, 1))
-        counts = (docs.select(F.explode("_toks").alias("token"), "_y")
+        # explode_outer + null filter: a plain explode makes Catalyst infer a
+        # size(tokens) > 0 filter and push it to the scan, tokenizing twice.
+        counts = (docs.select(F.explode_outer("_toks").alias("token"), "_y")
+                  .where(F.col("token").isNotNull())
                   .groupBy("token")
                   .agg(F.sum("_y").alias("a"), F.sum(F.lit(1) - F.col("_y")).alias("b")))
         a, b = F.col("a"), F.col("b")

@@ -60,8 +60,8 @@ def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     labels = (spark.read.parquet(f"{sf}/labels.parquet")
               .where(F.col("doc_id") % HOLDOUT_MODULUS != 0)
               .select(F.col("doc_id").cast("string").alias("id"), "toxic"))
-    posts = clean_posts(_posts(spark, sf).select("id", "selftext"))
-    return posts.join(labels, "id").select(F.col("selftext").alias("text"), "toxic")
+    labelled = _posts(spark, sf).select("id", "selftext").join(labels, "id")
+    return clean_posts(labelled).select(F.col("selftext").alias("text"), "toxic")
 
 
 def scorer_b(spark: SparkSession, sf: str):

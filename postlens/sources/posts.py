@@ -86,13 +86,34 @@ def posts_from_documents(documents: DataFrame, conversations: DataFrame | None =
     return with_comments.select(*[f.name for f in POST_TABLE.fields])
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes for a scan); no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin a small scan over all cores before heavy per-row text work.
+
+    A file with one row group is read by a single task whatever the split
+    size. Only inputs smaller than ``maxPartitionBytes x defaultParallelism``
+    are spread, so the extra shuffle is bounded; large inputs already arrive
+    in at least that many splits and are left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    max_split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if cores > 1 and estimated_bytes(df) < max_split * cores:
+        return df.repartition(cores)
+    return df
+
+
 def load_fixture_posts(spark: SparkSession, sf_dir: str, with_comments: bool = True) -> DataFrame:
     """Posts for one test scale-factor folder.
 
     ``with_comments=False`` leaves ``num_comments`` null, for plans that
     attach it after their selective steps (``attach_comment_counts``).
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread_small_input(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet") if with_comments else None
     return posts_from_documents(docs, conv)
 
