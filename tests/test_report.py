@@ -1,0 +1,69 @@
+import pandas as pd
+from pyspark.sql import functions as F
+
+from postlens.operators import report
+from postlens.sources.posts import keyword_frame
+
+
+def _scored(spark, rows):
+    return spark.createDataFrame(rows, "id string, keyword string, sentiment1 string, sentiment2 string")
+
+
+def test_agreement_cases(spark):
+    df = _scored(spark, [("1", "k", "pos", "pos"), ("2", "k", "pos", "neg"),
+                         ("3", "k", None, "pos"), ("4", "k", None, None)])
+    got = [r.agreement for r in report.with_agreement(df).orderBy("id").collect()]
+    assert got == ["Agree", "Disagree", "Disagree", "Disagree"]
+
+
+def test_agreement_by_keyword_matches_pandas(spark):
+    rows = [(str(i), ["a", "b", "c"][i % 3], ["pos", "neg", None][i % 2], ["pos", "neg"][i % 5 == 0])
+            for i in range(40)]
+    got = {(r.keyword, r.agreement): r.n_posts for r in report.agreement_by_keyword(_scored(spark, rows)).collect()}
+    pdf = pd.DataFrame(rows, columns=["id", "keyword", "sentiment1", "sentiment2"])
+    pdf["ag"] = ["Agree" if x == y else "Disagree" for x, y in zip(pdf.sentiment1, pdf.sentiment2)]
+    expected = {("All", k): v for k, v in pdf["ag"].value_counts().items()}
+    for key in sorted(pdf.keyword.unique()):
+        for k, v in pdf[pdf.keyword == key]["ag"].value_counts().items():
+            expected[(key, k)] = v
+    assert got == expected
+
+
+def test_agreement_by_keyword_single_aggregate(spark):
+    df = _scored(spark, [("1", "a", "pos", "pos")])
+    plan = report.agreement_by_keyword(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" in plan
+
+
+def test_sentiment_by_keyword_skips_nulls(spark):
+    df = _scored(spark, [("1", "a", "pos", "x"), ("2", "a", None, "x"), ("3", None, "neg", "x")])
+    assert [tuple(r) for r in report.sentiment_by_keyword(df).collect()] == [("a", "pos", 1)]
+
+
+def test_keyword_options(spark):
+    df = _scored(spark, [("1", "b", "pos", "pos"), ("2", "a", "pos", "pos"), ("3", "b", "neg", "pos")])
+    got = [r.option for r in report.keyword_options(df).orderBy("position").collect()]
+    assert got == ["All", "a", "b"]
+
+
+def test_posts_per_keyword_keeps_empty(spark):
+    df = _scored(spark, [("1", "a", "pos", "pos"), ("2", "a", "pos", "pos")])
+    got = dict(report.posts_per_keyword(df, keyword_frame(spark, ["a", "mystery"])).collect())
+    assert got == {"a": 2, "mystery": 0}
+    empty = dict(report.empty_keywords(df, keyword_frame(spark, ["a", "mystery"])).collect())
+    assert empty == {"a": False, "mystery": True}
+    assert report.is_empty(df.where(F.lit(False)))
+
+
+def test_flair_counts(spark):
+    from postlens.schemas import POST_TABLE
+    names = [f.name for f in POST_TABLE.fields]
+    rows = []
+    for i, flair in enumerate(["x", "x", "", None, "y", "x", "y", "z"]):
+        d = dict.fromkeys(names)
+        d.update(id=str(i), created_utc=float(i), link_flair_text=flair)
+        rows.append(tuple(d[n] for n in names))
+    posts = spark.createDataFrame(rows, POST_TABLE)
+    got = [tuple(r) for r in report.flair_counts(posts, newest_n=6).collect()]
+    # newest 6 are ids 2..7: '', None, y, x, y, z
+    assert got == [("y", 2), ("x", 1), ("z", 1)]
