@@ -33,9 +33,16 @@ def flair_counts(posts: DataFrame, newest_n: int = NEWEST_LIMIT) -> DataFrame:
 
 
 def sentiment_by_keyword(scored: DataFrame) -> DataFrame:
-    """A2: posts per (keyword, sentiment1); rows missing either are not counted."""
-    return (scored.where(F.col("keyword").isNotNull() & F.col("sentiment1").isNotNull())
-            .groupBy("keyword", "sentiment1").agg(F.count(F.lit(1)).alias(COUNT)))
+    """A2: posts per (keyword, sentiment1); rows missing either are not counted.
+
+    Null labels are dropped after the aggregate (``count(sentiment1) > 0``):
+    a plain ``sentiment1 IS NOT NULL`` filter would be pushed through the
+    projections into the scan and make the scorers run twice per row.
+    """
+    return (scored.where(F.col("keyword").isNotNull())
+            .groupBy("keyword", "sentiment1")
+            .agg(F.count(F.lit(1)).alias(COUNT), F.count("sentiment1").alias("_labelled"))
+            .where(F.col("_labelled") > 0).drop("_labelled"))
 
 
 def agreement_counts(scored: DataFrame) -> DataFrame:

@@ -28,7 +28,9 @@ from postlens.plans.analysis import analyze_keywords, clean_posts, search_posts_
 from postlens.schemas import POST, POST_COLUMNS, SCORED_COLUMNS
 from postlens.session import scratch_path
 from postlens.sources import files, topic
-from postlens.sources.posts import attach_comment_counts, keyword_frame, load_fixture_posts
+from postlens.sources.posts import (
+    attach_comment_counts, keyword_frame, load_fixture_posts, spread_small_input,
+)
 from postlens.streaming.sink import TABLE_COLUMNS, run_stream_to_table
 
 # Fixed values of the test set-up: keywords that occur in the fixture text
@@ -132,7 +134,7 @@ def q_empty_keyword(spark, sf):
 # --- scalar functions ---------------------------------------------------------
 
 def q_strip_urls(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = spread_small_input(spark.read.parquet(f"{sf}/pages.parquet"))
     return pages.select("page_id", strip_urls("url").alias("url_clean"),
                         strip_urls("html").alias("html_clean"))
 

@@ -67,3 +67,11 @@ def test_flair_counts(spark):
     got = [tuple(r) for r in report.flair_counts(posts, newest_n=6).collect()]
     # newest 6 are ids 2..7: '', None, y, x, y, z
     assert got == [("y", 2), ("x", 1), ("z", 1)]
+
+
+def test_sentiment_filter_not_pushed_into_scan(spark):
+    from conftest import SF_SMALL
+    from postlens.plans.registry import q_sentiment_by_keyword
+    plan = q_sentiment_by_keyword(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    # the cleaning regex appears once: no copy of the scorers in a pushed-down filter
+    assert plan.count("regexp_replace(regexp_replace(") == 1
