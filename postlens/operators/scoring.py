@@ -184,11 +184,24 @@ def score_posts(df: DataFrame, scorer_a, scorer_b, text_col: str = "selftext") -
     columns: no join, no shuffle, valid in a stream.
     """
     prepared = df.withColumnRenamed(text_col, "text").withColumn("_tokens", text_tokens(F.col("text")))
-    a = with_first_label(scorer_a.transform(prepared, "_tokens"), scorer_a.output_col, "sentiment1")
-    b = with_first_label(scorer_b.transform(a, "_tokens"), scorer_b.output_col, "sentiment2")
+    a = with_first_label(_apply(scorer_a, prepared), _output(scorer_a), "sentiment1")
+    b = with_first_label(_apply(scorer_b, a), _output(scorer_b), "sentiment2")
     return b.drop("_tokens").withColumnRenamed("text", text_col)
 
 
+def _output(scorer) -> str:
+    return getattr(scorer, "output_col", "sentiment")
+
+
+def _apply(scorer, df: DataFrame) -> DataFrame:
+    """Built-in scorers reuse the shared tokens; any other transformer
+    (e.g. a fitted ``pyspark.ml`` model reading ``text`` and writing
+    ``sentiment``) is called with the frame alone."""
+    if isinstance(scorer, (LexiconScorer, NaiveBayesModel)):
+        return scorer.transform(df, "_tokens")
+    return scorer.transform(df)
+
+
 def label_only(df: DataFrame, scorer, label: str, key: str = "id", text_col: str = "selftext") -> DataFrame:
     """One scorer's result as its own table ``(key, label)``."""
     prepared = df.select(key, F.col(text_col).alias("text"))

@@ -11,8 +11,13 @@ _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "postlens", extra: dict | None = None) -> SparkSession:
-    """A session with the settings the library assumes: AQE on, UTC, no UI."""
+                  app_name: str = "postlens", extra: dict | None = None,
+                  enable_hive: bool = False) -> SparkSession:
+    """A session with the settings the library assumes: AQE on, UTC, no UI.
+
+    ``enable_hive`` registers stream tables in a Hive metastore instead of the
+    in-memory catalog (only one process may hold an embedded store).
+    """
     builder = (
         SparkSession.builder.master(master).appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -25,6 +30,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
+    if enable_hive:
+        builder = builder.enableHiveSupport()
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

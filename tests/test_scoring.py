@@ -125,3 +125,17 @@ def test_tokens_shared_between_scorers(spark):
     scored = score_posts(posts, LexiconScorer(), _model(spark))
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(lower(") == 1
+
+
+def test_pluggable_spark_ml_scorer(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+    stage = SQLTransformer(statement=(
+        "SELECT *, CASE WHEN text IS NULL THEN array() ELSE "
+        "array(named_struct('result', IF(length(text) > 10, 'long', 'short'), 'score', 1.0D)) END "
+        "AS sentiment FROM __THIS__"))
+    model = Pipeline(stages=[stage]).fit(spark.createDataFrame([("x",)], "text string"))
+    posts = spark.createDataFrame([("1", "short"), ("2", "a much longer text")], "id string, selftext string")
+    out = dict((r.id, (r.sentiment1, r.sentiment2))
+               for r in score_posts(posts, LexiconScorer(), model).collect())
+    assert out == {"1": ("pos", "short"), "2": ("pos", "long")}
