@@ -45,6 +45,19 @@ def _annotation(text: Column, label: Column, score: Column) -> Column:
     return F.when(text.isNull(), F.array().cast(_EMPTY_ANNOTATION)).otherwise(one)
 
 
+def _annotate(df: DataFrame, text: Column, score: Column, output_col: str, labeller) -> DataFrame:
+    """Score once into a column, then build the annotation from it.
+
+    The score feeds both the label and the score field; as its own column
+    (used twice, so Catalyst keeps it) it is computed once per row.
+    """
+    tmp = f"_{output_col}_score"
+    s = F.col(tmp)
+    return (df.withColumn(tmp, score)
+            .withColumn(output_col, _annotation(text, labeller(s), s))
+            .drop(tmp))
+
+
 class LexiconScorer:
     """M1, scorer A: positive hits minus negative hits over word tokens.
 
@@ -69,9 +82,8 @@ class LexiconScorer:
         """Add the annotation column; ``tokens_col`` reuses a ready token array."""
         text = F.col(self.input_col)
         toks = F.col(tokens_col) if tokens_col else text_tokens(text)
-        s = self.score(toks)
-        label = F.when(s < 0, F.lit(NEGATIVE)).otherwise(F.lit(POSITIVE))
-        return df.withColumn(self.output_col, _annotation(text, label, s))
+        return _annotate(df, text, self.score(toks), self.output_col,
+                         lambda s: F.when(s < 0, F.lit(NEGATIVE)).otherwise(F.lit(POSITIVE)))
 
 
 @dataclass
@@ -87,28 +99,41 @@ class NaiveBayesModel:
     n_negative_docs: int = 0
     vocabulary: list = field(default_factory=list)
 
-    def score(self, toks: Column) -> Column:
-        """Sum of weights over distinct tokens + bias, rounded.
+    def score_sql(self, tokens_col: str) -> str:
+        """Sum of weights over distinct tokens + bias, rounded (a SQL expression).
 
         The vocabulary is bounded by ``NaiveBayesScorer.vocab_size``, so it is
         inlined as literals: a hashed ``IN`` keeps only hits, and only hits
-        are looked up in the weight map.
+        are looked up in the weight map (constant-folded once). One SQL
+        expression instead of one ``lit`` call per vocabulary entry.
         """
+        bias = _sql_double(self.bias)
         if not self.weights:
-            return F.round(F.lit(self.bias), self.decimals)
-        words = [F.lit(w) for w in self.weights]
-        wmap = F.create_map(*[x for w, v in self.weights.items() for x in (F.lit(w), F.lit(float(v)))])
-        hits = F.filter(F.array_distinct(toks), lambda t: t.isin(*words))
-        total = F.aggregate(hits, F.lit(0.0), lambda acc, t: acc + F.try_element_at(wmap, t))
-        return F.round(total + F.lit(self.bias), self.decimals)
+            return f"round({bias}, {self.decimals})"
+        words = ", ".join(_sql_string(w) for w in self.weights)
+        values = ", ".join(_sql_double(v) for v in self.weights.values())
+        weight_map = f"map_from_arrays(array({words}), array({values}))"
+        hits = f"filter(array_distinct(`{tokens_col}`), t -> t IN ({words}))"
+        total = f"aggregate({hits}, 0D, (acc, t) -> acc + try_element_at({weight_map}, t))"
+        return f"round({total} + {bias}, {self.decimals})"
 
     def transform(self, df: DataFrame, tokens_col: str | None = None) -> DataFrame:
         """Add the annotation column; ``tokens_col`` reuses a ready token array."""
         text = F.col(self.input_col)
-        toks = F.col(tokens_col) if tokens_col else text_tokens(text)
-        s = self.score(toks)
-        label = F.when(s > 0, F.lit(NEGATIVE)).otherwise(F.lit(POSITIVE))
-        return df.withColumn(self.output_col, _annotation(text, label, s))
+        work = tokens_col or "_nb_tokens"
+        if tokens_col is None:
+            df = df.withColumn(work, text_tokens(text))
+        out = _annotate(df, text, F.expr(self.score_sql(work)), self.output_col,
+                        lambda s: F.when(s > 0, F.lit(NEGATIVE)).otherwise(F.lit(POSITIVE)))
+        return out if tokens_col else out.drop(work)
+
+
+def _sql_string(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_double(v: float) -> str:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
 
 
 class NaiveBayesScorer:
