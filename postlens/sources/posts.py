@@ -94,15 +94,15 @@ def estimated_bytes(df: DataFrame) -> int:
 def spread_small_input(df: DataFrame) -> DataFrame:
     """Round-robin a small scan over all cores before heavy per-row text work.
 
-    A file with one row group is read by a single task whatever the split
-    size. Only inputs smaller than ``maxPartitionBytes x defaultParallelism``
-    are spread, so the extra shuffle is bounded; large inputs already arrive
-    in at least that many splits and are left alone.
+    An input that fits in one split (below ``spark.sql.files.maxPartitionBytes``)
+    is read by a single task. Only such inputs are spread, so the extra shuffle
+    is bounded by one split's size. Larger inputs already arrive in many splits
+    and are left alone: on a cluster no shuffle is added.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     max_split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if cores > 1 and estimated_bytes(df) < max_split * cores:
+    if cores > 1 and estimated_bytes(df) < max_split:
         return df.repartition(cores)
     return df
 

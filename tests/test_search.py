@@ -83,3 +83,23 @@ def test_tag_keywords_lowers_text_once(spark):
     gen_at = plan.index("Generate")
     assert "lower(selftext" in plan[gen_at:]
     assert "lower(selftext" not in plan[:gen_at]
+
+
+def test_hot_keyword_is_limited_before_the_shuffle(spark):
+    # one keyword matching every post: the partial group limit caps it per task
+    posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
+    top = top_per_keyword(tag_keywords(posts, ["e", "that"]), 3)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert dict(top.groupBy("keyword").count().collect())["e"] == 3
+
+
+def test_spread_only_for_small_inputs(spark):
+    from postlens.sources.posts import spread_small_input
+    small = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert "RoundRobinPartitioning" in spread_small_input(small)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        assert "RoundRobinPartitioning" not in spread_small_input(small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
