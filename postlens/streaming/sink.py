@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from postlens.functions.text import clean_text
 from postlens.operators.scoring import score_posts
 from postlens.schemas import POST, STREAM
-from postlens.sources.topic import DEFAULT_SERVERS, decode_messages, subscribe
+from postlens.sources.topic import DEFAULT_SERVERS, decode_messages, subscribe, to_messages
 
 # The table keeps the reference's three stream columns, plus the post id.
 TABLE_COLUMNS = ["id"] + [f.name for f in STREAM.fields]
@@ -54,18 +54,41 @@ def run_stream_to_table(spark: SparkSession, topic: str, table: str, path: str,
                         scorer_a, scorer_b, source: str | None = None, fmt: str = "parquet",
                         bootstrap_servers: str = DEFAULT_SERVERS,
                         max_per_trigger: int | None = None,
-                        timeout_seconds: float | None = None) -> StreamingQuery:
+                        timeout_seconds: float | None = None,
+                        processing_time: str | None = None) -> StreamingQuery:
     """Subscribe, decode, clean, score and append to the table.
 
-    Returns after the stream has caught up (``availableNow``) or after
-    ``timeout_seconds``, whichever comes first; on timeout it is stopped.
+    With the default ``availableNow`` trigger it returns once the stream has
+    caught up (T3 "nothing more to read"); with ``processing_time`` it runs
+    until ``timeout_seconds`` (T3 "time is up") and is then stopped.
     """
     messages = subscribe(spark, topic, target=source, fmt=fmt,
                          bootstrap_servers=bootstrap_servers, max_per_trigger=max_per_trigger)
-    query = write_table(scored_stream(messages, scorer_a, scorer_b), table, path, checkpoint)
+    query = write_table(scored_stream(messages, scorer_a, scorer_b), table, path, checkpoint,
+                        processing_time=processing_time)
     finished = query.awaitTermination(timeout_seconds) if timeout_seconds else query.awaitTermination()
     if timeout_seconds and not finished:
         query.stop()
     if query.exception() is not None:
         raise query.exception()
     return query
+
+
+def publish_stream(stream: DataFrame, topic: str, checkpoint: str, target: str | None = None,
+                   fmt: str = "parquet", bootstrap_servers: str = DEFAULT_SERVERS,
+                   available_now: bool = True) -> StreamingQuery:
+    """K1 on a stream: each row becomes one JSON message, no key.
+
+    A Kafka sink writes ``value`` to ``topic``; a file stand-in appends the
+    full message columns under ``target``.
+    """
+    messages = to_messages(stream, topic, partition=F.lit(0), offset=F.lit(None))
+    if fmt == "kafka":
+        writer = (messages.select("value").writeStream.format("kafka")
+                  .option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic))
+    else:
+        writer = messages.writeStream.format(fmt).option("path", target)
+    writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

@@ -53,3 +53,31 @@ def test_kafka_options_are_wired(spark):
     reader = spark.readStream.format("kafka")
     assert reader is not None
     assert topic.DEFAULT_SERVERS == "localhost:9092"
+
+
+def test_processing_time_trigger_stops_on_timeout(spark):
+    import time
+    posts = load_fixture_posts(spark, SF_SMALL).select(*[f.name for f in POST.fields])
+    source = scratch_path(spark, "stream-src-pt")
+    topic.send(posts, "p", target=source)
+    base = scratch_path(spark, "stream-out-pt")
+    table = "t_" + base.rsplit("-", 1)[-1]
+    t0 = time.time()
+    q = run_stream_to_table(spark, "p", table, f"{base}/t", f"{base}/c", LexiconScorer(), _model(spark),
+                            source=source, processing_time="1 second", timeout_seconds=6)
+    assert not q.isActive
+    assert time.time() - t0 >= 5
+    assert spark.read.table(table).count() == posts.count()
+
+
+def test_publish_stream_then_bounded_read(spark):
+    from postlens.streaming.sink import publish_stream
+    posts = load_fixture_posts(spark, SF_SMALL).select(*[f.name for f in POST.fields])
+    src = scratch_path(spark, "posts-src")
+    posts.write.parquet(src)
+    stream = spark.readStream.schema(posts.schema).parquet(src)
+    target = scratch_path(spark, "topic-out")
+    q = publish_stream(stream, "out", f"{target}-ckpt", target=target)
+    q.awaitTermination(300)
+    back = topic.read_bounded(spark, "out", POST, target=target, max_messages=None)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, posts.collect()))
