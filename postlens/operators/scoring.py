@@ -167,6 +167,10 @@ class NaiveBayesScorer:
     def statistics(self, labelled: DataFrame, n1: int, n0: int) -> DataFrame:
         """Selected vocabulary with counts, z and weight (lazy)."""
         docs = self._docs(labelled).where(F.col("_y").isin(0, 1))
+        if n1 == 0 or n0 == 0:  # one class only: no token can separate them
+            return docs.select(F.lit(None).cast("string").alias("token"), F.lit(0).cast("bigint").alias("a"),
+                               F.lit(0).cast("bigint").alias("b"), F.lit(None).cast("double").alias("z"),
+                               F.lit(None).cast("double").alias("w")).where(F.lit(False))
         # explode_outer + null filter: a plain explode makes Catalyst infer a
         # size(tokens) > 0 filter and push it to the scan, tokenizing twice.
         counts = (docs.select(F.explode_outer("_toks").alias("token"), "_y")

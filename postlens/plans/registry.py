@@ -157,10 +157,9 @@ def q_score_lexicon(spark, sf):
 
 
 def q_train_nb(spark, sf):
-    est = NaiveBayesScorer()
-    rows = training_rows(spark, sf)
-    n1, n0 = est.class_totals(rows)
-    stats = est.statistics(rows, n1, n0)
+    model = scorer_b(spark, sf)  # class totals come from the (cached) fit
+    stats = NaiveBayesScorer().statistics(training_rows(spark, sf), model.n_positive_docs,
+                                          model.n_negative_docs)
     return stats.select("token", "a", "b", F.round("z", 6).alias("z"), F.round("w", 6).alias("w"))
 
 
