@@ -22,6 +22,8 @@ NEWEST_LIMIT = 100
 # Keywords are inlined into the plan as literals; the list is a parameter,
 # so its size is checked rather than assumed.
 MAX_INLINE_KEYWORDS = 4096
+# Map partitions merged by one first-level top-k task.
+TOPK_FAN_IN = 256
 
 
 
@@ -84,17 +86,55 @@ def tag_keywords(df: DataFrame, keywords: list[str], column: str = "keyword") ->
     return matched.withColumn(column, F.element_at(tag, k)).drop("_lt", "_ls", "_k")
 
 
+def merge_buckets(df: DataFrame, fan_in: int = TOPK_FAN_IN) -> int:
+    """First-level buckets for ``top_k``: about one per ``fan_in`` input splits.
+
+    Taken from Catalyst's size estimate of the plan (no job runs).
+    """
+    from postlens.sources.posts import estimated_bytes
+    spark = df.sparkSession
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    splits = max(1, -(-estimated_bytes(df) // split))
+    return max(1, -(-splits // fan_in))
+
+
+def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None,
+          buckets: int | None = None) -> DataFrame:
+    """The first ``k`` rows in ``order`` (per group of ``by``), without a hot task.
+
+    Spark merges per-partition top-k results in one task per group, which
+    then receives k rows from every map partition: that grows with the data,
+    and one hot group (or a global top-k) lands in a single task. With more
+    than one bucket a first level ranks within (group, map partition modulo
+    buckets), so each task merges a bounded fan-in of partitions, and the
+    final level sees at most k x buckets rows per group. Both levels get a
+    partial ``WindowGroupLimit`` before their shuffle. The bucket is the map
+    task's partition id, stable under task retries.
+    """
+    by = list(by or [])
+    buckets = merge_buckets(df) if buckets is None else buckets
+    out = df
+    if buckets > 1:
+        w1 = Window.partitionBy(*by, "_bucket").orderBy(*order)
+        out = (out.withColumn("_bucket", F.spark_partition_id() % F.lit(buckets))
+               .withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= k)
+               .drop("_rn", "_bucket"))
+    if by:
+        w2 = Window.partitionBy(*by).orderBy(*order)
+        return out.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_rn")
+    return out.orderBy(*order).limit(k)
+
+
 def top_per_keyword(df: DataFrame, limit: int | None = DEFAULT_LIMIT,
-                    column: str = "keyword") -> DataFrame:
+                    column: str = "keyword", buckets: int | None = None) -> DataFrame:
     """L1: at most ``limit`` posts per keyword, by score desc then id.
 
-    ``row_number() <= n`` lets Catalyst add a partial ``WindowGroupLimit``
-    before the shuffle, so a hot keyword ships at most n rows per task.
+    ``top_k`` per keyword: a keyword matching a third of all posts is
+    merged in two bounded levels, never in one task fed by every partition.
     """
     if limit is None:
         return df
-    w = Window.partitionBy(column).orderBy(*rank_order())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+    return top_k(df, limit, rank_order(), by=[column], buckets=buckets)
 
 
 def search_posts(df: DataFrame, subreddit: str | None, keyword: str,
@@ -102,7 +142,7 @@ def search_posts(df: DataFrame, subreddit: str | None, keyword: str,
     """Posts of a forum matching a keyword, at most ``limit``, as post rows."""
     out = match_keyword(by_forum(df, subreddit), keyword)
     if limit is not None:
-        out = out.orderBy(*rank_order()).limit(limit)
+        out = top_k(out, limit, rank_order())
     return out.select(*POST_COLUMNS)
 
 
@@ -120,6 +160,6 @@ def keyword_union(df: DataFrame, keywords: list[str], subreddit: str | None = No
     return reduce(DataFrame.unionByName, parts)
 
 
-def newest(df: DataFrame, limit: int = NEWEST_LIMIT) -> DataFrame:
-    """The newest posts (created_utc desc, id); a bounded top-k per task."""
-    return df.orderBy(F.col("created_utc").desc(), F.col("id").asc()).limit(limit)
+def newest(df: DataFrame, limit: int = NEWEST_LIMIT, buckets: int | None = None) -> DataFrame:
+    """The newest posts (created_utc desc, id), via the two-level ``top_k``."""
+    return top_k(df, limit, [F.col("created_utc").desc(), F.col("id").asc()], buckets=buckets)

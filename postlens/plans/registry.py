@@ -22,7 +22,7 @@ from postlens.operators.scoring import (
     LexiconScorer, NaiveBayesScorer, join_scores_by_id, label_only, score_posts, title_fanout,
 )
 from postlens.operators.search import (
-    keyword_union, newest, search_posts, tag_keywords, top_per_keyword,
+    keyword_union, newest, search_posts, tag_keywords, top_k, top_per_keyword,
 )
 from postlens.plans.analysis import analyze_keywords, clean_posts, search_posts_clean
 from postlens.schemas import POST, POST_COLUMNS, SCORED_COLUMNS
@@ -98,7 +98,7 @@ def q_newest_posts(spark, sf):
 
 
 def q_head_posts(spark, sf):
-    head = _posts(spark, sf).orderBy("id").limit(5).select(*POST_COLUMNS)
+    head = top_k(_posts(spark, sf), 5, [F.col("id").asc()]).select(*POST_COLUMNS)
     return attach_comment_counts(head, _conversations(spark, sf))
 
 

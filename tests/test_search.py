@@ -103,3 +103,24 @@ def test_spread_only_for_small_inputs(spark):
         assert "RoundRobinPartitioning" not in spread_small_input(small)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+
+
+def test_two_level_top_k_equals_single_level(spark):
+    from postlens.operators.search import rank_order, top_k
+    posts = load_fixture_posts(spark, SF_SMALL, with_comments=False).repartition(13)
+    tagged = tag_keywords(posts, ["that", "e", "idiot", "mystery"])
+    one = top_per_keyword(tagged, 9, buckets=1).select("keyword", "id").collect()
+    two = top_per_keyword(tagged, 9, buckets=4).select("keyword", "id").collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+    g1 = [r.id for r in top_k(posts, 17, rank_order(), buckets=1).collect()]
+    g2 = [r.id for r in top_k(posts, 17, rank_order(), buckets=5).collect()]
+    assert g1 == g2 and len(g1) == 17
+    assert [r.id for r in newest(posts, 6, buckets=3).collect()] == [r.id for r in newest(posts, 6, buckets=1).collect()]
+
+
+def test_two_level_top_k_plan(spark):
+    from postlens.operators.search import rank_order, top_k
+    posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
+    plan = top_per_keyword(tag_keywords(posts, ["that"]), 5, buckets=4)._jdf.queryExecution().executedPlan().toString()
+    # a partial group limit before each of the two shuffles
+    assert plan.count("WindowGroupLimit") >= 4
