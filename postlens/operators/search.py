@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.schemas import POST_COLUMNS
+from postlens.session import estimated_bytes, max_partition_bytes
 
 # Default per-keyword cap and newest-posts count of the reference.
 DEFAULT_LIMIT = 50
@@ -91,10 +92,10 @@ def merge_buckets(df: DataFrame, fan_in: int = TOPK_FAN_IN) -> int:
 
     Taken from Catalyst's size estimate of the plan (no job runs).
     """
-    from postlens.sources.posts import estimated_bytes
-    spark = df.sparkSession
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    splits = max(1, -(-estimated_bytes(df) // split))
+    size = estimated_bytes(df)
+    if size is None:
+        return 1
+    splits = max(1, -(-size // max_partition_bytes(df.sparkSession)))
     return max(1, -(-splits // fan_in))
 
 

@@ -68,7 +68,7 @@ def training_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def scorer_b(spark: SparkSession, sf: str):
     """Scorer B fitted on the labelled rows (once per session and folder)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf)
+    key = (id(spark), sf)
     if key not in _models:
         _models[key] = NaiveBayesScorer().fit(training_rows(spark, sf))
     return _models[key]
@@ -281,8 +281,10 @@ def q_stream_to_table(spark, sf):
     source = _publish_posts(spark, sf)
     base = scratch_path(spark, "stream")
     table = "postlens_stream_" + base.rsplit("-", 1)[-1]
+    # messages hold cleaned posts (as the search step publishes them): score only
     run_stream_to_table(spark, TOPIC, table, f"{base}/table", f"{base}/checkpoint",
-                        LexiconScorer(), scorer_b(spark, sf), source=source, timeout_seconds=600)
+                        LexiconScorer(), scorer_b(spark, sf), source=source, timeout_seconds=600,
+                        clean=False)
     return spark.read.table(table).select(*TABLE_COLUMNS)
 
 

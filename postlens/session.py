@@ -33,10 +33,47 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     if enable_hive:
         builder = builder.enableHiveSupport()
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:
+        pass
     return spark
 
 
+_BYTE_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+               "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def _parse_bytes(text: str) -> int:
+    t = text.strip().lower()
+    digits = t.rstrip("abcdefghijklmnopqrstuvwxyz")
+    return int(digits) * _BYTE_UNITS.get(t[len(digits):] or "b", 1)
+
+
+def max_partition_bytes(spark: SparkSession) -> int:
+    """``spark.sql.files.maxPartitionBytes`` in bytes (default 128 MiB)."""
+    return _parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    """Task slots of the session (classic sessions; 1 when unknown)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # e.g. a Spark Connect session has no SparkContext
+        return int(spark.conf.get("spark.default.parallelism", "1"))
+
+
+def estimated_bytes(df) -> int | None:
+    """Catalyst's size estimate of a plan (file sizes for a scan); no job runs.
+
+    ``None`` when the session does not expose it (e.g. Spark Connect).
+    """
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
@@ -44,8 +81,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     session) is a fresh local folder set as the checkpoint directory, so
     ``DataFrame.checkpoint`` and the sinks have somewhere to go.
     """
-    sc = spark.sparkContext
     root = spark.conf.get(_CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint directory
+        if root:
+            return root.rstrip("/")
+        raise RuntimeError(f"{_CHECKPOINT_CONF} is not set on this session")
     if root:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(root)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.schemas import POST_COLUMNS, POST_TABLE
+from postlens.session import default_parallelism, estimated_bytes, max_partition_bytes
 
 # Text written for a missing author (Python's str(None)),
 # the base epoch of the fixture posts (2024-01-01 00:00:00 UTC) and its step.
@@ -86,11 +87,6 @@ def posts_from_documents(documents: DataFrame, conversations: DataFrame | None =
     return with_comments.select(*[f.name for f in POST_TABLE.fields])
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def spread_small_input(df: DataFrame) -> DataFrame:
     """Round-robin a small scan over all cores before heavy per-row text work.
 
@@ -100,9 +96,9 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     and are left alone: on a cluster no shuffle is added.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    max_split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if cores > 1 and estimated_bytes(df) < max_split:
+    cores = default_parallelism(spark)
+    size = estimated_bytes(df)
+    if cores > 1 and size is not None and size < max_partition_bytes(spark):
         return df.repartition(cores)
     return df
 

@@ -27,11 +27,16 @@ def decode_stream(messages: DataFrame, schema=STREAM) -> DataFrame:
     return decode_messages(messages, schema)
 
 
-def scored_stream(messages: DataFrame, scorer_a, scorer_b) -> DataFrame:
-    """Decode posts, clean their body and add both labels, row by row."""
+def scored_stream(messages: DataFrame, scorer_a, scorer_b, clean: bool = True) -> DataFrame:
+    """Decode posts, clean their body (unless the producer did) and add both labels.
+
+    Cleaning is not idempotent (``h@ttp://x`` -> ``httpx`` -> empty), so
+    messages that were cleaned before publishing are not cleaned again.
+    """
     posts = decode_messages(messages, POST)
-    cleaned = posts.withColumn("selftext", clean_text(F.col("selftext")))
-    return score_posts(cleaned, scorer_a, scorer_b).select(*TABLE_COLUMNS)
+    if clean:
+        posts = posts.withColumn("selftext", clean_text(F.col("selftext")))
+    return score_posts(posts, scorer_a, scorer_b).select(*TABLE_COLUMNS)
 
 
 def write_table(stream: DataFrame, table: str, path: str, checkpoint: str,
@@ -55,7 +60,8 @@ def run_stream_to_table(spark: SparkSession, topic: str, table: str, path: str,
                         bootstrap_servers: str = DEFAULT_SERVERS,
                         max_per_trigger: int | None = None,
                         timeout_seconds: float | None = None,
-                        processing_time: str | None = None) -> StreamingQuery:
+                        processing_time: str | None = None,
+                        clean: bool = True) -> StreamingQuery:
     """Subscribe, decode, clean, score and append to the table.
 
     With the default ``availableNow`` trigger it returns once the stream has
@@ -64,7 +70,7 @@ def run_stream_to_table(spark: SparkSession, topic: str, table: str, path: str,
     """
     messages = subscribe(spark, topic, target=source, fmt=fmt,
                          bootstrap_servers=bootstrap_servers, max_per_trigger=max_per_trigger)
-    query = write_table(scored_stream(messages, scorer_a, scorer_b), table, path, checkpoint,
+    query = write_table(scored_stream(messages, scorer_a, scorer_b, clean=clean), table, path, checkpoint,
                         processing_time=processing_time)
     finished = query.awaitTermination(timeout_seconds) if timeout_seconds else query.awaitTermination()
     if timeout_seconds and not finished:

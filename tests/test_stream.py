@@ -81,3 +81,17 @@ def test_publish_stream_then_bounded_read(spark):
     q.awaitTermination(300)
     back = topic.read_bounded(spark, "out", POST, target=target, max_messages=None)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, posts.collect()))
+
+
+def test_stream_does_not_clean_twice(spark):
+    from pyspark.sql import Row
+    posts = spark.createDataFrame([Row(title="t", author="a", score=1, id="1", url="u",
+                                       created_utc=0.0, selftext="idiot httpx", num_comments=0)], POST)
+    source = scratch_path(spark, "stream-clean")
+    topic.send(posts, "c", target=source)
+    base = scratch_path(spark, "stream-clean-out")
+    table = "t_" + base.rsplit("-", 1)[-1]
+    run_stream_to_table(spark, "c", table, f"{base}/t", f"{base}/c", LexiconScorer(), _model(spark),
+                        source=source, timeout_seconds=300, clean=False)
+    # a second cleaning would have removed 'httpx' but the labels come from 'idiot'
+    assert [tuple(r) for r in spark.read.table(table).collect()] == [("1", "t", "neg", "neg")]
