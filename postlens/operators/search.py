@@ -48,9 +48,9 @@ def normalize_keywords(keywords: list[str]) -> list[str]:
     return out
 
 
-def by_forum(df: DataFrame, subreddit: str | None) -> DataFrame:
+def by_forum(df: DataFrame, forum: str | None) -> DataFrame:
     """posts of one forum (equality, pushed down to the Parquet scan)."""
-    return df if subreddit is None else df.where(F.col("subreddit") == F.lit(subreddit))
+    return df if forum is None else df.where(F.col("forum") == F.lit(forum))
 
 
 def keyword_condition(keyword: Column | str, title: Column | None = None,
@@ -138,23 +138,23 @@ def top_per_keyword(df: DataFrame, limit: int | None = DEFAULT_LIMIT,
     return top_k(df, limit, rank_order(), by=[column], buckets=buckets)
 
 
-def search_posts(df: DataFrame, subreddit: str | None, keyword: str,
+def search_posts(df: DataFrame, forum: str | None, keyword: str,
                  limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Posts of a forum matching a keyword, at most ``limit``, as post rows."""
-    out = match_keyword(by_forum(df, subreddit), keyword)
+    out = match_keyword(by_forum(df, forum), keyword)
     if limit is not None:
         out = top_k(out, limit, rank_order())
     return out.select(*POST_COLUMNS)
 
 
-def keyword_union(df: DataFrame, keywords: list[str], subreddit: str | None = None,
+def keyword_union(df: DataFrame, keywords: list[str], forum: str | None = None,
                   limit: int | None = DEFAULT_LIMIT, column: str = "keyword") -> DataFrame:
     """Per-keyword results unioned by name, duplicates kept.
 
     The reference's shape (one scan per keyword); ``tag_keywords`` +
     ``top_per_keyword`` give the same rows with one scan.
     """
-    parts = [search_posts(df, subreddit, k, limit).withColumn(column, F.lit(k))
+    parts = [search_posts(df, forum, k, limit).withColumn(column, F.lit(k))
              for k in normalize_keywords(keywords)]
     if not parts:
         return df.select(*POST_COLUMNS).where(F.lit(False)).withColumn(column, F.lit(None).cast("string"))

@@ -28,19 +28,19 @@ def with_timestamp(df: DataFrame, col: str = "created_utc") -> DataFrame:
     return df.withColumn(col, epoch_to_timestamp(F.col(col)))
 
 
-def search_posts_clean(posts: DataFrame, subreddit: str | None, keyword: str,
+def search_posts_clean(posts: DataFrame, forum: str | None, keyword: str,
                        limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """M5: search one keyword and clean, without scoring."""
-    return clean_posts(search_posts(posts, subreddit, keyword, limit))
+    return clean_posts(search_posts(posts, forum, keyword, limit))
 
 
 def analyze_keywords(posts: DataFrame, keywords: list[str], scorer_a, scorer_b,
-                     subreddit: str | None = None, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+                     forum: str | None = None, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """M4 for all keywords at once: SCORED rows (``keyword`` last).
 
     ``limit`` caps posts per keyword as the search did (``None``: every match).
     Matching runs on the text before cleaning, as the search did.
     """
-    tagged = top_per_keyword(tag_keywords(by_forum(posts, subreddit), keywords), limit)
+    tagged = top_per_keyword(tag_keywords(by_forum(posts, forum), keywords), limit)
     prepared = clean_posts(with_timestamp(tagged.select(*POST_COLUMNS, "keyword")))
     return score_posts(prepared, scorer_a, scorer_b).select(*SCORED_COLUMNS)

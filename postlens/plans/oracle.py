@@ -50,7 +50,7 @@ POSTS = """posts AS (
     CAST(1704067200 + d.doc_id * 60 AS DOUBLE) AS created_utc,
     d.text || ' see ' || 'http://example.org/' || d.source || '/' || CAST(d.doc_id AS VARCHAR) || ' now' AS selftext,
     CAST(coalesce(c.n, 0) AS BIGINT) AS num_comments,
-    d.source AS subreddit,
+    d.source AS forum,
     CASE WHEN d.doc_id % 7 = 0 THEN NULL WHEN d.doc_id % 7 = 1 THEN '' ELSE d.lang END AS link_flair_text
   FROM documents d
   LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON c.conv_id = d.doc_id
@@ -149,11 +149,11 @@ SQL: dict[str, str] = {
     "newest_posts": _with(POSTS) + f"SELECT {POST_COLS} FROM posts ORDER BY created_utc DESC, id LIMIT 100",
     "head_posts": _with(POSTS) + f"SELECT {POST_COLS} FROM posts ORDER BY id LIMIT 5",
     "search_posts": _with(POSTS) + (
-        f"SELECT {POST_COLS} FROM posts WHERE subreddit = {_quote(SEARCH_FORUM)} AND {MATCH} "
+        f"SELECT {POST_COLS} FROM posts WHERE forum = {_quote(SEARCH_FORUM)} AND {MATCH} "
         "ORDER BY score DESC, id LIMIT 50"),
     "search_posts_clean": _with(POSTS) + (
         f"SELECT title, author, score, id, url, created_utc, {clean('selftext')} AS selftext, num_comments "
-        f"FROM posts WHERE subreddit = {_quote(SEARCH_FORUM)} AND {MATCH} ORDER BY score DESC, id LIMIT 50"),
+        f"FROM posts WHERE forum = {_quote(SEARCH_FORUM)} AND {MATCH} ORDER BY score DESC, id LIMIT 50"),
     "top_posts_per_keyword": _with(*BASE) + (
         "SELECT keyword, id, score, title FROM tagged "
         "QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY score DESC, id) <= 50"),

@@ -42,7 +42,7 @@ SEARCH_FORUM = "src1"
 SEARCH_KEYWORD = "that"
 REPORT_KEYWORD = "idiot"
 HOLDOUT_MODULUS = 5
-TOPIC = "redditData"
+TOPIC = "posts"
 
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 

@@ -20,7 +20,7 @@ POST = T.StructType([
 
 # Forum-level attributes that the search filters on but does not return.
 POST_TABLE = T.StructType(POST.fields + [
-    T.StructField("subreddit", T.StringType()),
+    T.StructField("forum", T.StringType()),
     T.StructField("link_flair_text", T.StringType()),
 ])
 

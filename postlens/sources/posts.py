@@ -74,7 +74,7 @@ def posts_from_documents(documents: DataFrame, conversations: DataFrame | None =
         url.alias("url"),
         (F.lit(FIXTURE_EPOCH) + doc_id * FIXTURE_STEP_SECONDS).cast("double").alias("created_utc"),
         F.concat(F.col("text"), F.lit(" see "), url, F.lit(" now")).alias("selftext"),
-        F.col("source").alias("subreddit"),
+        F.col("source").alias("forum"),
         flair.alias("link_flair_text"),
     )
     if conversations is None:

@@ -42,7 +42,7 @@ def test_post_matching_two_keywords_gives_two_rows(spark):
 
 def test_forum_filter_and_limit_order(spark):
     posts = _posts(spark, [
-        {"id": str(i), "title": "t", "selftext": "kw", "score": i % 3, "subreddit": "a" if i < 8 else "b"}
+        {"id": str(i), "title": "t", "selftext": "kw", "score": i % 3, "forum": "a" if i < 8 else "b"}
         for i in range(10)])
     got = [r.id for r in search_posts(posts, "a", "kw", limit=4).collect()]
     # score desc, then id
