@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlens.session import checkpoint_root
+
 _CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"'}
 
 
@@ -41,6 +43,7 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_index") -> Da
     offsets are broadcast back. The broadcast side is bounded by the partition
     count, not by the data.
     """
+    checkpoint_root(df.sparkSession)  # reliable checkpoint needs the shared folder set
     sorted_df = df.orderBy(*order_by).checkpoint(eager=True)
     tagged = (sorted_df.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))

@@ -139,3 +139,13 @@ def test_pluggable_spark_ml_scorer(spark):
     out = dict((r.id, (r.sentiment1, r.sentiment2))
                for r in score_posts(posts, LexiconScorer(), model).collect())
     assert out == {"1": ("pos", "short"), "2": ("pos", "long")}
+
+
+def test_keyword_analysis_scans_posts_once(spark):
+    from postlens.plans.analysis import analyze_keywords
+    posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
+    model = _model(spark)  # fitted before: training scans are not part of the plan
+    scored = analyze_keywords(posts, ["that", "idiot"], LexiconScorer(), model, limit=None)
+    plan = plan_text(scored)
+    assert plan.count("documents.parquet") == 1
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
