@@ -23,8 +23,10 @@ NEWEST_LIMIT = 100
 # Keywords are inlined into the plan as literals; the list is a parameter,
 # so its size is checked rather than assumed.
 MAX_INLINE_KEYWORDS = 4096
-# Map partitions merged by one first-level top-k task.
+# Map partitions merged by one first-level top-k task, and the most
+# first-level buckets (sources without size statistics report a huge size).
 TOPK_FAN_IN = 256
+TOPK_MAX_BUCKETS = 4096
 
 
 
@@ -96,7 +98,7 @@ def merge_buckets(df: DataFrame, fan_in: int = TOPK_FAN_IN) -> int:
     if size is None:
         return 1
     splits = max(1, -(-size // max_partition_bytes(df.sparkSession)))
-    return max(1, -(-splits // fan_in))
+    return min(TOPK_MAX_BUCKETS, max(1, -(-splits // fan_in)))
 
 
 def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None,

@@ -76,7 +76,8 @@ def read_bounded(spark: SparkSession, topic: str, schema: T.StructType,
     """
     src = _batch_source(spark, topic, target, fmt, bootstrap_servers, starting, ending)
     if max_messages is not None:
-        src = src.orderBy("offset", "partition").limit(max_messages)
+        from postlens.operators.search import top_k
+        src = top_k(src, max_messages, [F.col("offset").asc(), F.col("partition").asc()])
     return src.select(decode_json("value", schema).alias("data")).select("data.*")
 
 
