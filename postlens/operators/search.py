@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlens.schemas import POST_COLUMNS
 from postlens.session import estimated_bytes, max_partition_bytes
@@ -20,8 +23,8 @@ from postlens.session import estimated_bytes, max_partition_bytes
 # Default per-keyword cap and newest-posts count of the reference.
 DEFAULT_LIMIT = 50
 NEWEST_LIMIT = 100
-# Keywords are inlined into the plan as literals; the list is a parameter,
-# so its size is checked rather than assumed.
+# Keywords are inlined into the plan as literals up to this many; longer
+# lists are matched with an Aho-Corasick automaton in a pandas UDF.
 MAX_INLINE_KEYWORDS = 4096
 # Map partitions merged by one first-level top-k task, and the most
 # first-level buckets (sources without size statistics report a huge size).
@@ -45,8 +48,6 @@ def normalize_keywords(keywords: list[str]) -> list[str]:
         if t and t.lower() not in seen:
             seen.add(t.lower())
             out.append(t)
-    if len(out) > MAX_INLINE_KEYWORDS:
-        raise ValueError(f"{len(out)} keywords; at most {MAX_INLINE_KEYWORDS} are inlined")
     return out
 
 
@@ -80,6 +81,8 @@ def tag_keywords(df: DataFrame, keywords: list[str], column: str = "keyword") ->
     kws = normalize_keywords(keywords)
     if not kws:
         return df.where(F.lit(False)).withColumn(column, F.lit(None).cast("string"))
+    if len(kws) > MAX_INLINE_KEYWORDS:
+        return _tag_keywords_dictionary(df, kws, column)
     lowered = df.select(
         "*", F.lower(F.col("title")).alias("_lt"), F.lower(F.col("selftext")).alias("_ls"),
     ).select("*", F.explode(F.array(*[F.lit(k.lower()) for k in kws])).alias("_k"))
@@ -128,6 +131,49 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
     return out.orderBy(*order).limit(k)
 
 
+_AUTOMATA: dict = {}
+
+
+def _automaton(words: tuple[str, ...]):
+    """Aho-Corasick automaton over lower-cased keywords, built once per worker."""
+    key = hash(words)
+    if key not in _AUTOMATA:
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            automaton.add_word(w, i)
+        automaton.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = automaton
+    return _AUTOMATA[key]
+
+
+def _tag_keywords_dictionary(df: DataFrame, kws: list[str], column: str) -> DataFrame:
+    """J3 for long keyword lists: one Aho-Corasick pass per text, not one scan per keyword.
+
+    Lower-casing stays in Spark (same text as the inline path). The matcher
+    is an Arrow-batched pandas UDF over Spark's partitions; the keyword list
+    travels with the UDF (PySpark broadcasts large closures).
+    """
+    words = tuple(k.lower() for k in kws)
+    tags = list(kws)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def matched(titles: pd.Series, bodies: pd.Series) -> pd.Series:
+        automaton = _automaton(words)
+        out = []
+        for title, body in zip(titles, bodies):
+            found = set()
+            for text in (title, body):
+                if isinstance(text, str):
+                    found.update(i for _, i in automaton.iter(text))
+            out.append([tags[i] for i in sorted(found)])
+        return pd.Series(out)
+
+    hits = matched(F.lower(F.col("title")), F.lower(F.col("selftext")))
+    return df.select("*", F.explode(hits).alias(column))
+
+
 def top_per_keyword(df: DataFrame, limit: int | None = DEFAULT_LIMIT,
                     column: str = "keyword", buckets: int | None = None) -> DataFrame:
     """L1: at most ``limit`` posts per keyword, by score desc then id.

@@ -124,3 +124,16 @@ def test_two_level_top_k_plan(spark):
     plan = top_per_keyword(tag_keywords(posts, ["that"]), 5, buckets=4)._jdf.queryExecution().executedPlan().toString()
     # a partial group limit before each of the two shuffles
     assert plan.count("WindowGroupLimit") >= 4
+
+
+def test_dictionary_matcher_equals_inline(spark, monkeypatch):
+    import postlens.operators.search as S
+    posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
+    kws = ["that", "idiot", "license", "Worthless", "mystery", "he", "she", "hers", "th", " The "]
+    inline = S.tag_keywords(posts, kws).select("id", "keyword").collect()
+    monkeypatch.setattr(S, "MAX_INLINE_KEYWORDS", 2)
+    plan = S.tag_keywords(posts, kws)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    dictionary = S.tag_keywords(posts, kws).select("id", "keyword").collect()
+    assert sorted(map(tuple, inline)) == sorted(map(tuple, dictionary))
+    assert len(inline) > 0
