@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.labels import first_label
+from postlens.functions.literals import sql_double, sql_string
 from postlens.functions.text import tokens as text_tokens
 
 # Label texts and the word lists of scorer A.
@@ -107,11 +108,11 @@ class NaiveBayesModel:
         are looked up in the weight map (constant-folded once). One SQL
         expression instead of one ``lit`` call per vocabulary entry.
         """
-        bias = _sql_double(self.bias)
+        bias = sql_double(self.bias)
         if not self.weights:
             return f"round({bias}, {self.decimals})"
-        words = ", ".join(_sql_string(w) for w in self.weights)
-        values = ", ".join(_sql_double(v) for v in self.weights.values())
+        words = ", ".join(sql_string(w) for w in self.weights)
+        values = ", ".join(sql_double(v) for v in self.weights.values())
         weight_map = f"map_from_arrays(array({words}), array({values}))"
         hits = f"filter(array_distinct(`{tokens_col}`), t -> t IN ({words}))"
         total = f"aggregate({hits}, 0D, (acc, t) -> acc + try_element_at({weight_map}, t))"
@@ -128,14 +129,6 @@ class NaiveBayesModel:
         return out if tokens_col else out.drop(work)
 
 
-def _sql_string(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _sql_double(v: float) -> str:
-    return f"CAST('{float(v)!r}' AS DOUBLE)"
-
-
 class NaiveBayesScorer:
     """M2, scorer B: trained by plain aggregations on labelled rows.
 

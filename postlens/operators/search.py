@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlens.functions.literals import string_array, string_map
 from postlens.schemas import POST_COLUMNS
 from postlens.session import estimated_bytes, max_partition_bytes
 
@@ -32,7 +33,6 @@ TOPK_FAN_IN = 256
 TOPK_MAX_BUCKETS = 4096
 
 
-
 def rank_order() -> list[Column]:
     """Relevance order: score descending, then id."""
     return [F.col("score").desc(), F.col("id").asc()]
@@ -76,7 +76,8 @@ def tag_keywords(df: DataFrame, keywords: list[str], column: str = "keyword") ->
     The keyword list is inlined and exploded next to each post; title and
     selftext are lower-cased once per post, before the explode, so the match
     is a codegen'd loop over a handful of literals: no join and no shuffle.
-    Valid on streams.
+    Lists longer than ``MAX_INLINE_KEYWORDS`` use an Aho-Corasick pandas UDF.
+    Both paths are row-local and valid on streams.
     """
     kws = normalize_keywords(keywords)
     if not kws:
@@ -85,8 +86,8 @@ def tag_keywords(df: DataFrame, keywords: list[str], column: str = "keyword") ->
         return _tag_keywords_dictionary(df, kws, column)
     lowered = df.select(
         "*", F.lower(F.col("title")).alias("_lt"), F.lower(F.col("selftext")).alias("_ls"),
-    ).select("*", F.explode(F.array(*[F.lit(k.lower()) for k in kws])).alias("_k"))
-    tag = F.create_map(*[x for k in kws for x in (F.lit(k.lower()), F.lit(k))])
+    ).select("*", F.explode(string_array([k.lower() for k in kws])).alias("_k"))
+    tag = string_map([k.lower() for k in kws], kws)
     k = F.col("_k")
     matched = lowered.where(F.contains(F.col("_lt"), k) | F.contains(F.col("_ls"), k))
     return matched.withColumn(column, F.element_at(tag, k)).drop("_lt", "_ls", "_k")

@@ -137,3 +137,10 @@ def test_dictionary_matcher_equals_inline(spark, monkeypatch):
     dictionary = S.tag_keywords(posts, kws).select("id", "keyword").collect()
     assert sorted(map(tuple, inline)) == sorted(map(tuple, dictionary))
     assert len(inline) > 0
+
+
+def test_keywords_with_quote_and_backslash(spark):
+    posts = _posts(spark, [{"id": "1", "title": "It's here", "selftext": "x", "score": 1},
+                           {"id": "2", "title": "t", "selftext": "path a\\b c", "score": 1}])
+    got = sorted((r.id, r.keyword) for r in tag_keywords(posts, ["it's", "A\\B"]).collect())
+    assert got == [("1", "it's"), ("2", "A\\B")]
