@@ -71,3 +71,21 @@ def test_bounded_read_exact_cap(spark):
     got = topic.read_bounded(spark, "t1", POST, target=target, max_messages=7)
     assert sorted(int(r.id) for r in got.collect()) == list(range(7))
     assert topic.read_bounded(spark, "other", POST, target=target).count() == 0
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+_text = st.one_of(st.none(), st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=30))
+_post = st.tuples(_text, _text, st.one_of(st.none(), st.integers(-2**62, 2**62)), _text, _text,
+                  st.one_of(st.none(), st.floats(allow_nan=False, allow_infinity=False)), _text,
+                  st.one_of(st.none(), st.integers(0, 10**9)))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(_post, min_size=1, max_size=15))
+def test_json_encode_decode_is_identity(spark, rows):
+    df = spark.createDataFrame(rows, POST)
+    back = topic.decode_messages(topic.to_messages(df, "h"), POST)
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(tuple, back.collect()), key=key) == sorted(map(tuple, df.collect()), key=key)
