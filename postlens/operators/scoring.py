@@ -1,4 +1,4 @@
-"""Sentiment scoring: M1, M2, M3, C8, J1, J2.
+"""Sentiment scoring: M1, M2, M3, C8, J1 (counted), J2.
 
 The reference runs two pretrained neural pipelines. Their weights are not
 available, so two scorers with the same contract take their place:
@@ -235,21 +235,43 @@ def join_scores_by_id(df: DataFrame, labels1: DataFrame, labels2: DataFrame, key
     return df.join(labels1, key, "inner").join(labels2, key, "inner")
 
 
-def join_on_title(df: DataFrame, labels1: DataFrame, labels2: DataFrame) -> DataFrame:
-    """J1, the reference's join on title (inner, twice).
-
-    Titles are not unique: k posts sharing a title give k*k*k rows, and null
-    titles drop out. Kept for fidelity; ``title_fanout`` counts it without
-    producing the pairs.
+def title_join_labels(scored: DataFrame) -> DataFrame:
+    """J1, the reference's join on title (inner, twice), as exact row counts.
+
+    The reference joins the posts to model 1's labels and then to model 2's
+    labels on ``title``. Titles are not unique, so a title shared by k posts
+    yields k x c1 x c2 rows for each label pair, where c1 (c2) counts that
+    title's posts labelled ``sentiment1`` (``sentiment2``); null titles drop
+    out. Those rows are never produced. ``scored`` carries both labels as
+    columns (J2). It is counted per (title, sentiment1, sentiment2), with
+    map-side partial aggregation, so a hot title is combined before the
+    shuffle; a second aggregation gathers each title's label-pair cells (at
+    most labels-of-A x labels-of-B of them, never its posts), and k, c1, c2
+    are sums over those cells. Each post is scored once; there is no join.
+    Output: ``(title, sentiment1, sentiment2, n_rows)``.
     """
-    return df.join(labels1.select("title", "sentiment1"), "title").join(
-        labels2.select("title", "sentiment2"), "title")
+    cells = (scored.where(F.col("title").isNotNull())
+             .groupBy("title", "sentiment1", "sentiment2").agg(F.count(F.lit(1)).alias("_n"))
+             .groupBy("title").agg(F.collect_list(F.struct("sentiment1", "sentiment2", "_n")).alias("_cells")))
+
+    def total(cond=None) -> Column:
+        picked = F.col("_cells") if cond is None else F.filter("_cells", cond)
+        return F.aggregate(picked, F.lit(0).cast("bigint"), lambda acc, x: acc + x["_n"])
+
+    distinct = lambda field: F.array_distinct(F.transform("_cells", lambda x: x[field]))
+    s1, s2 = F.col("sentiment1"), F.col("sentiment2")
+    return (cells.select("title", "_cells", F.explode(distinct("sentiment1")).alias("sentiment1"))
+            .select("*", F.explode(distinct("sentiment2")).alias("sentiment2"))
+            .select("title", "sentiment1", "sentiment2",
+                    (total() * total(lambda x: x["sentiment1"].eqNullSafe(s1))
+                     * total(lambda x: x["sentiment2"].eqNullSafe(s2))).alias("n_rows")))
 
 
 def title_fanout(df: DataFrame) -> DataFrame:
     """Rows per title that J1 would produce, ``(title, n)`` with n = k^3.
 
-    Exact and linear: one aggregation instead of materialising the pairs.
+    Exact and linear: one aggregation instead of materialising the pairs
+    (``title_join_labels`` splits the same count by label pair).
     """
     k = F.count(F.lit(1))
     return (df.where(F.col("title").isNotNull()).groupBy("title")

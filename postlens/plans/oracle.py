@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from postlens.operators.scoring import NEGATIVE_WORDS, POSITIVE_WORDS
 from postlens.plans.registry import (
-    HOLDOUT_MODULUS, KEYWORDS, REPORT_KEYWORD, SEARCH_FORUM, SEARCH_KEYWORD,
+    KEYWORDS, REPORT_KEYWORD, SEARCH_FORUM, SEARCH_KEYWORD,
 )
 
 # RE2 forms of the URL and cleaning patterns, and the token delimiter.
@@ -69,7 +69,6 @@ SCORES = f"""cp AS (SELECT id, {clean('selftext')} AS text FROM posts),
 cpt AS (SELECT id, text, {toks('text')} AS toks FROM cp),
 train AS (
   SELECT {clean('p.selftext')} AS text, l.toxic FROM posts p JOIN labels l ON l.doc_id = p.doc_id
-  WHERE l.doc_id % {HOLDOUT_MODULUS} <> 0
 ),
 totals AS (
   SELECT sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS n0 FROM train
@@ -184,6 +183,12 @@ SQL: dict[str, str] = {
     "title_join_fanout": _with(POSTS) + (
         "SELECT p.title, count(*) AS n FROM posts p JOIN posts a ON a.title = p.title "
         "JOIN posts b ON b.title = p.title GROUP BY p.title"),
+    "title_join_labels": _with(POSTS, SCORES) + (
+        "SELECT p.title, a.sentiment1, b.sentiment2, count(*) AS n_rows "
+        "FROM posts p JOIN (SELECT q.title, l.sentiment1 FROM posts q JOIN labelled l ON l.id = q.id) a "
+        "ON a.title = p.title "
+        "JOIN (SELECT q.title, l.sentiment2 FROM posts q JOIN labelled l ON l.id = q.id) b "
+        "ON b.title = p.title GROUP BY p.title, a.sentiment1, b.sentiment2"),
     "analyze_keywords": _with(*TOP_SCORED) + "SELECT * EXCLUDE (agreement) FROM flagged",
     "agreement_flag": _with(*ALL_SCORED) + "SELECT keyword, id, sentiment1, sentiment2, agreement FROM flagged",
     "agreement_counts": _with(*ALL_SCORED) + "SELECT agreement, count(*) AS n_posts FROM flagged GROUP BY agreement",

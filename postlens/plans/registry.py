@@ -2,7 +2,7 @@
 
 Every query reads the test tables (or data Spark derives from them) whole.
 Posts come from ``documents`` through the fixture adapter; scorer B is
-trained on ``labels`` (rows with ``doc_id % 5 <> 0``). Sink and stream
+trained on every labelled row of ``labels``. Sink and stream
 queries write under the shared checkpoint folder and return what they read
 back.
 """
@@ -20,6 +20,7 @@ from postlens.functions.text import clean_text, epoch_to_timestamp, strip_urls
 from postlens.operators import report
 from postlens.operators.scoring import (
     LexiconScorer, NaiveBayesScorer, join_scores_by_id, label_only, score_posts, title_fanout,
+    title_join_labels,
 )
 from postlens.operators.search import (
     keyword_union, newest, search_posts, tag_keywords, top_k, top_per_keyword,
@@ -35,13 +36,12 @@ from postlens.streaming.sink import TABLE_COLUMNS, run_stream_to_table
 
 # Fixed values of the test set-up: keywords that occur in the fixture text
 # (the reference's own keywords do not), the forum and keyword of the
-# single-search queries, the keyword of the per-keyword report, the
-# hold-out rule of scorer B's training rows, and the topic name.
+# single-search queries, the keyword of the per-keyword report and the
+# topic name.
 KEYWORDS = ["Worthless", "idiot", "license", "that", "mystery"]
 SEARCH_FORUM = "src1"
 SEARCH_KEYWORD = "that"
 REPORT_KEYWORD = "idiot"
-HOLDOUT_MODULUS = 5
 TOPIC = "posts"
 
 PROPS = T.StructType([T.StructField("k", T.LongType())])
@@ -58,9 +58,8 @@ def _conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned post text with its ``toxic`` label, hold-out rows left out."""
+    """Cleaned post text with its ``toxic`` label, for every labelled post."""
     labels = (spark.read.parquet(f"{sf}/labels.parquet")
-              .where(F.col("doc_id") % HOLDOUT_MODULUS != 0)
               .select(F.col("doc_id").cast("string").alias("id"), "toxic"))
     labelled = _posts(spark, sf).select("id", "selftext").join(labels, "id")
     return clean_posts(labelled).select(F.col("selftext").alias("text"), "toxic")
@@ -198,6 +197,11 @@ def q_title_join_fanout(spark, sf):
     return title_fanout(_posts(spark, sf))
 
 
+def q_title_join_labels(spark, sf):
+    cleaned = clean_posts(_posts(spark, sf).select("title", "selftext"))
+    return title_join_labels(score_posts(cleaned, LexiconScorer(), scorer_b(spark, sf)))
+
+
 def q_analyze_keywords(spark, sf):
     return _scored_keywords(spark, sf, limit=50)
 
@@ -309,6 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_posts": q_score_posts,
     "score_join_by_id": q_score_join_by_id,
     "title_join_fanout": q_title_join_fanout,
+    "title_join_labels": q_title_join_labels,
     "analyze_keywords": q_analyze_keywords,
     "agreement_flag": q_agreement_flag,
     "agreement_counts": q_agreement_counts,

@@ -6,7 +6,7 @@ from conftest import SF_SMALL, plan_text
 from postlens.functions.labels import first_label
 from postlens.functions.text import tokens
 from postlens.operators.scoring import (
-    LexiconScorer, NaiveBayesScorer, join_on_title, label_only, score_posts, title_fanout,
+    LexiconScorer, NaiveBayesScorer, label_only, score_posts, title_fanout, title_join_labels,
 )
 from postlens.plans.analysis import clean_posts
 from postlens.schemas import ANNOTATION
@@ -111,13 +111,42 @@ def test_score_posts_equals_join_by_id(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_title_join_fanout(spark):
-    df = spark.createDataFrame([("t", "1"), ("t", "2"), ("u", "3"), (None, "4")], "title string, id string")
-    l1 = df.select("title", F.lit("pos").alias("sentiment1"))
-    l2 = df.select("title", F.lit("neg").alias("sentiment2"))
-    joined = dict(join_on_title(df, l1, l2).groupBy("title").count().collect())
-    assert joined == {"t": 8, "u": 1}
-    assert dict(title_fanout(df).collect()) == joined
+def _title_join_brute_force(rows):
+    """The reference's two inner joins on title, row by row (tiny inputs only)."""
+    out = {}
+    for t, _, _ in rows:
+        for ta, s1, _ in rows:
+            for tb, _, s2 in rows:
+                if t is not None and t == ta and t == tb:
+                    out[(t, s1, s2)] = out.get((t, s1, s2), 0) + 1
+    return out
+
+
+def test_title_join_counts_match_brute_force(spark):
+    rows = [("t", "pos", "neg"), ("t", "neg", "neg"), ("t", "pos", None), ("u", "pos", "pos"),
+            (None, "neg", "pos"), ("v", None, None), ("v", None, "pos")]
+    df = spark.createDataFrame(rows, "title string, sentiment1 string, sentiment2 string")
+    expected = _title_join_brute_force(rows)
+    got = {(r.title, r.sentiment1, r.sentiment2): r.n_rows for r in title_join_labels(df).collect()}
+    assert got == expected
+    per_title = {}
+    for (t, _, _), n in expected.items():
+        per_title[t] = per_title.get(t, 0) + n
+    assert dict(title_fanout(df).collect()) == per_title == {"t": 27, "u": 1, "v": 8}
+
+
+def test_title_join_counts_never_pair_rows(spark):
+    """A hot title is aggregated before any join: no join input grows with its posts."""
+    title = F.when(F.col("id") < 2000, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+    df = spark.range(3000).select(title.alias("title"),
+                                  F.when(F.col("id") % 2 == 0, "pos").otherwise("neg").alias("sentiment1"),
+                                  F.lit("pos").alias("sentiment2"))
+    got = {(r.title, r.sentiment1, r.sentiment2): r.n_rows for r in title_join_labels(df).collect()}
+    assert got[("hot", "pos", "pos")] == got[("hot", "neg", "pos")] == 2000 * 1000 * 2000
+    assert len(got) == 2 + 1000 and all(got[(f"t{i}", "pos" if i % 2 == 0 else "neg", "pos")] == 1
+                                        for i in range(2000, 3000))
+    plan = plan_text(title_join_labels(df))
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
 def test_tokens_shared_between_scorers(spark):
