@@ -10,17 +10,25 @@ from pyspark.sql import SparkSession
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "postlens", extra: dict | None = None,
                   enable_hive: bool = False) -> SparkSession:
     """A session with the settings the library assumes: AQE on, UTC, no UI.
 
+    ``master`` and ``shuffle_partitions`` are set only when given (tests,
+    bench): on a cluster the master comes from ``spark-submit`` and the
+    partition count from the cluster's configuration, with AQE coalescing
+    small shuffle partitions and splitting skewed ones at run time.
     ``enable_hive`` registers stream tables in a Hive metastore instead of the
     in-memory catalog (only one process may hold an embedded store).
     """
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.master(master).appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -33,7 +33,7 @@ def tree(df) -> str:
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", shuffle_partitions=8)
     out = ["# PLANS", "",
            f"Physical plans (before adaptive re-planning) of the headline queries at `{Path(sf).name}`,",
            "written by `scripts/plans.py`. Expression lists are cut at 160 characters.", ""]
