@@ -19,7 +19,8 @@ from postlens.session import build_session  # noqa: E402
 
 HEADLINE = [
     "train_nb", "clean_text", "score_posts", "top_posts_per_keyword", "analyze_keywords",
-    "agreement_by_keyword", "posts_per_keyword", "title_join_fanout", "stream_to_table",
+    "agreement_by_keyword", "posts_per_keyword", "title_join_fanout", "title_join_labels",
+    "stream_to_table",
 ]
 
 

@@ -18,7 +18,7 @@ from postlens.session import build_session  # noqa: E402
 
 SHOWN = ["clean_text", "score_posts", "top_posts_per_keyword", "analyze_keywords",
          "agreement_by_keyword", "sentiment_by_keyword", "posts_per_keyword", "train_nb",
-         "title_join_fanout", "newest_posts", "flair_counts", "score_join_by_id"]
+         "title_join_fanout", "title_join_labels", "newest_posts", "flair_counts", "score_join_by_id"]
 
 
 def tree(df) -> str:
