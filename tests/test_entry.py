@@ -47,3 +47,13 @@ def test_query_matches_oracle(spark, con, name):
                         for v in (r[c] for c in cols)) for _, r in odf.iterrows()), key=repr)
     assert len(got) == len(exp)
     assert got == exp
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_plan_hygiene(spark, name):
+    """Every registered plan: equi-joins only, no row-at-a-time Python, no Python
+    at all for the short keyword list (everything stays in the JVM)."""
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython",
+                "FlatMapGroupsInPandas", "MapInPandas"):
+        assert bad not in plan, f"{name}: {bad}"
