@@ -18,6 +18,8 @@ from postlens.session import default_parallelism, estimated_bytes, max_partition
 MISSING_AUTHOR = "None"
 FIXTURE_EPOCH = 1704067200
 FIXTURE_STEP_SECONDS = 60
+# Smallest input share per task when a one-split input is spread over cores.
+SPREAD_MIN_BYTES = 256 << 10
 
 
 def author_text(c) -> F.Column:
@@ -87,20 +89,22 @@ def posts_from_documents(documents: DataFrame, conversations: DataFrame | None =
     return with_comments.select(*[f.name for f in POST_TABLE.fields])
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin a small scan over all cores before heavy per-row text work.
+def spread_small_input(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin a small scan over the cores before heavy per-row text work.
 
     An input that fits in one split (below ``spark.sql.files.maxPartitionBytes``)
     is read by a single task. Only such inputs are spread, so the extra shuffle
-    is bounded by one split's size. Larger inputs already arrive in many splits
-    and are left alone: on a cluster no shuffle is added.
+    is bounded by one split's size, and into at most one partition per
+    ``min_bytes`` of input (a small file is not cut into thousands of tiny
+    tasks on a large cluster). Larger inputs already arrive in many splits
+    and are left alone: no shuffle is added.
     """
     spark = df.sparkSession
-    cores = default_parallelism(spark)
     size = estimated_bytes(df)
-    if cores > 1 and size is not None and size < max_partition_bytes(spark):
-        return df.repartition(cores)
-    return df
+    if size is None or size >= max_partition_bytes(spark):
+        return df
+    parts = min(default_parallelism(spark), -(-size // max(1, min_bytes)))
+    return df.repartition(parts) if parts > 1 else df
 
 
 def load_fixture_posts(spark: SparkSession, sf_dir: str, with_comments: bool = True) -> DataFrame:

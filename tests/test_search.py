@@ -98,6 +98,10 @@ def test_spread_only_for_small_inputs(spark):
     from postlens.sources.posts import spread_small_input
     small = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert "RoundRobinPartitioning" in spread_small_input(small)._jdf.queryExecution().executedPlan().toString()
+    # at most one partition per min_bytes of input, at most one per core
+    assert spread_small_input(small, min_bytes=1 << 30) is small
+    assert spread_small_input(small, min_bytes=1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread_small_input(small, min_bytes=150_000).rdd.getNumPartitions() == 2
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
     try:
         assert "RoundRobinPartitioning" not in spread_small_input(small)._jdf.queryExecution().executedPlan().toString()
