@@ -130,10 +130,14 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
         out = (out.withColumn("_bucket", F.spark_partition_id() % F.lit(buckets))
                .withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= k)
                .drop("_rn", "_bucket"))
-    if by:
-        w2 = Window.partitionBy(*by).orderBy(*order)
-        return out.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_rn")
-    return out.orderBy(*order).limit(k)
+    # The global case is a row number over no partition as well: Catalyst
+    # plans it as a bounded top-k (TakeOrderedAndProject) below the window,
+    # whatever projections callers add on top. orderBy().limit() only gets
+    # that plan while the projections above it collapse into one; a decode
+    # such as from_json + "data.*" does not, and it then falls back to a
+    # range shuffle and sort of the whole input.
+    w2 = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+    return out.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_rn")
 
 
 _AUTOMATA: dict = {}

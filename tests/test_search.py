@@ -148,3 +148,18 @@ def test_keywords_with_quote_and_backslash(spark):
                            {"id": "2", "title": "t", "selftext": "path a\\b c", "score": 1}])
     got = sorted((r.id, r.keyword) for r in tag_keywords(posts, ["it's", "A\\B"]).collect())
     assert got == [("1", "it's"), ("2", "A\\B")]
+
+
+def test_global_top_k_stays_bounded_under_projections(spark):
+    """A decode (from_json, then data.*) above the global top-k must not turn it
+    into a range shuffle and sort of the whole input."""
+    from pyspark.sql import types as T
+    from postlens.operators.search import top_k
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    src = spark.range(5000).select("id", F.to_json(F.struct(F.col("id").alias("a"),
+                                                           (F.col("id") * 2).alias("b"))).alias("value"))
+    out = (top_k(src.repartition(4), 5, [F.col("id").desc()], buckets=1)
+           .select(F.from_json("value", schema).alias("d")).select("d.*"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    assert sorted(r.a for r in out.collect()) == [4995, 4996, 4997, 4998, 4999]
