@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from postlens.functions.labels import first_label
 from postlens.functions.literals import sql_double, sql_string
 from postlens.functions.text import tokens as text_tokens
+from postlens.operators.search import top_k
 
 # Label texts and the word lists of scorer A.
 POSITIVE = "pos"
@@ -175,11 +176,12 @@ class NaiveBayesScorer:
         var = q * (F.lit(1.0) - q) * (F.lit(1.0 / n1) + F.lit(1.0 / n0))
         z = F.when(var > 0, F.abs(a / F.lit(n1) - b / F.lit(n0)) / F.sqrt(var))
         w = F.ln((a + 1) / F.lit(n1 + 2)) - F.ln((b + 1) / F.lit(n0 + 2))
-        return (counts.where(a + b >= self.min_docs)
-                .select("token", "a", "b", z.alias("z"), w.alias("w"))
-                .where(F.col("z") >= self.min_z)
-                .orderBy(F.col("z").desc(), F.col("token").asc())
-                .limit(self.vocab_size))
+        selected = (counts.where(a + b >= self.min_docs)
+                    .select("token", "a", "b", z.alias("z"), w.alias("w"))
+                    .where(F.col("z") >= self.min_z))
+        # one level: the input is the token aggregate, whose partitions are
+        # shuffle partitions (a bounded count), not input splits
+        return top_k(selected, self.vocab_size, [F.col("z").desc(), F.col("token").asc()], buckets=1)
 
     def fit(self, labelled: DataFrame) -> NaiveBayesModel:
         n1, n0 = self.class_totals(labelled)
