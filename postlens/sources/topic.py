@@ -22,6 +22,28 @@ DEFAULT_MAX_MESSAGES = 100
 DEFAULT_TIMEOUT_SECONDS = 600
 
 
+def kafka_source_options(topic: str, bootstrap_servers: str = DEFAULT_SERVERS,
+                         starting: str = "earliest", ending: str | None = None,
+                         max_per_trigger: int | None = None) -> dict[str, str]:
+    """Options of a Kafka source: batch when ``ending`` is given, else streaming.
+
+    The checkpoint keeps the stream's position (the role of the consumer
+    group); ``maxOffsetsPerTrigger`` caps each micro-batch.
+    """
+    opts = {"kafka.bootstrap.servers": bootstrap_servers, "subscribe": topic,
+            "startingOffsets": starting}
+    if ending is not None:
+        opts["endingOffsets"] = ending
+    if max_per_trigger:
+        opts["maxOffsetsPerTrigger"] = str(max_per_trigger)
+    return opts
+
+
+def kafka_sink_options(topic: str, bootstrap_servers: str = DEFAULT_SERVERS) -> dict[str, str]:
+    """Options of a Kafka sink (rows carry ``value``; no key is set)."""
+    return {"kafka.bootstrap.servers": bootstrap_servers, "topic": topic}
+
+
 def to_messages(df: DataFrame, topic: str, offset: Column | None = None,
                 partition: Column | None = None) -> DataFrame:
     """K1 + C4: one JSON message per row, no key.
@@ -46,9 +68,8 @@ def send(df: DataFrame, topic: str, target: str | None = None, fmt: str = "parqu
     """K1: publish ``df`` to a topic as a batch job (rows never reach the driver)."""
     messages = to_messages(df, topic, offset=offset)
     if fmt == "kafka":
-        (messages.select("value").write.format("kafka")
-         .option("kafka.bootstrap.servers", bootstrap_servers)
-         .option("topic", topic).save())
+        messages.select("value").write.format("kafka").options(
+            **kafka_sink_options(topic, bootstrap_servers)).save()
     else:
         messages.write.format(fmt).mode(mode).save(target)
 
@@ -56,11 +77,8 @@ def send(df: DataFrame, topic: str, target: str | None = None, fmt: str = "parqu
 def _batch_source(spark: SparkSession, topic: str, target: str | None, fmt: str,
                   bootstrap_servers: str, starting: str, ending: str) -> DataFrame:
     if fmt == "kafka":
-        return (spark.read.format("kafka")
-                .option("kafka.bootstrap.servers", bootstrap_servers)
-                .option("subscribe", topic)
-                .option("startingOffsets", starting)
-                .option("endingOffsets", ending).load())
+        return spark.read.format("kafka").options(
+            **kafka_source_options(topic, bootstrap_servers, starting, ending)).load()
     return spark.read.format(fmt).schema(MESSAGE).load(target).where(F.col("topic") == topic)
 
 
@@ -86,13 +104,8 @@ def subscribe(spark: SparkSession, topic: str, target: str | None = None,
               max_per_trigger: int | None = None) -> DataFrame:
     """An unbounded (streaming) read of a topic."""
     if fmt == "kafka":
-        reader = (spark.readStream.format("kafka")
-                  .option("kafka.bootstrap.servers", bootstrap_servers)
-                  .option("subscribe", topic)
-                  .option("startingOffsets", "earliest"))
-        if max_per_trigger:
-            reader = reader.option("maxOffsetsPerTrigger", str(max_per_trigger))
-        return reader.load()
+        return spark.readStream.format("kafka").options(
+            **kafka_source_options(topic, bootstrap_servers, max_per_trigger=max_per_trigger)).load()
     reader = spark.readStream.format(fmt).schema(MESSAGE)
     if max_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_per_trigger))

@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from postlens.functions.text import clean_text
 from postlens.operators.scoring import score_posts
 from postlens.schemas import POST, STREAM
-from postlens.sources.topic import DEFAULT_SERVERS, decode_messages, subscribe, to_messages
+from postlens.sources.topic import (
+    DEFAULT_SERVERS, decode_messages, kafka_sink_options, subscribe, to_messages,
+)
 
 # The table keeps the reference's three stream columns, plus the post id.
 TABLE_COLUMNS = ["id"] + [f.name for f in STREAM.fields]
@@ -90,8 +92,8 @@ def publish_stream(stream: DataFrame, topic: str, checkpoint: str, target: str |
     """
     messages = to_messages(stream, topic, partition=F.lit(0), offset=F.lit(None))
     if fmt == "kafka":
-        writer = (messages.select("value").writeStream.format("kafka")
-                  .option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic))
+        writer = messages.select("value").writeStream.format("kafka").options(
+            **kafka_sink_options(topic, bootstrap_servers))
     else:
         writer = messages.writeStream.format(fmt).option("path", target)
     writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
