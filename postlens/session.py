@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+ARROW_BATCH_BYTES = 64 << 20
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -35,6 +36,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Arrow batches to pandas UDFs close at 64 MiB as well as at the record
+        # count: 10,000 whole texts could otherwise make one batch of gigabytes.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
