@@ -28,8 +28,8 @@ NEWEST_LIMIT = 100
 # lists are matched with an Aho-Corasick automaton in a pandas UDF. Inline
 # matching costs one substring scan per keyword and post, the automaton one
 # pass per post: measured at sf0.1 (25 MB of text, local[8]), inline took
-# 0.5 / 0.8 / 1.7 / 6.9 s for 5 / 50 / 200 / 1000 keywords, the automaton
-# 0.4-0.55 s throughout; they meet at about 20.
+# 0.6 / 0.9 / 1.9 / 8.1 s for 5 / 50 / 200 / 1000 keywords, the automaton
+# 0.5-0.6 s throughout; they meet at about 20.
 MAX_INLINE_KEYWORDS = 32
 # Map partitions merged by one first-level top-k task, and the most
 # first-level buckets (sources without size statistics report a huge size).
@@ -74,27 +74,53 @@ def match_keyword(df: DataFrame, keyword: str) -> DataFrame:
     return df.where(keyword_condition(keyword))
 
 
-def tag_keywords(df: DataFrame, keywords: list[str], column: str = "keyword") -> DataFrame:
-    """Posts x keywords in one pass, one row per (post, matching keyword).
+def keyword_hits(keywords: list[str], title: str = "title", selftext: str = "selftext") -> Column:
+    """F2 for a keyword list as one column: the keywords a post matches.
 
-    The keyword list is inlined and exploded next to each post; title and
-    selftext are lower-cased once per post, before the explode, so the match
-    is a codegen'd loop over a handful of literals: no join and no shuffle.
-    Lists longer than ``MAX_INLINE_KEYWORDS`` use an Aho-Corasick pandas UDF.
-    Both paths are row-local and valid on streams.
+    ``array<string>`` of the (trimmed) keywords whose lower-cased text occurs
+    in the lower-cased title or selftext, in list order; empty when none.
+    Title and selftext are lower-cased once per post: the pair is the
+    argument of an outer lambda, which Catalyst cannot inline into the
+    per-keyword lambda (a plain column would be, lower-casing once per
+    keyword). Lists longer than ``MAX_INLINE_KEYWORDS`` use an Aho-Corasick
+    pandas UDF. Row-local: valid on streams.
     """
     kws = normalize_keywords(keywords)
     if not kws:
-        return df.where(F.lit(False)).withColumn(column, F.lit(None).cast("string"))
+        return F.array().cast("array<string>")
     if len(kws) > MAX_INLINE_KEYWORDS:
-        return _tag_keywords_dictionary(df, kws, column)
-    lowered = df.select(
-        "*", F.lower(F.col("title")).alias("_lt"), F.lower(F.col("selftext")).alias("_ls"),
-    ).select("*", F.explode(string_array([k.lower() for k in kws])).alias("_k"))
-    tag = string_map([k.lower() for k in kws], kws)
-    k = F.col("_k")
-    matched = lowered.where(F.contains(F.col("_lt"), k) | F.contains(F.col("_ls"), k))
-    return matched.withColumn(column, F.element_at(tag, k)).drop("_lt", "_ls", "_k")
+        return _dictionary_hits(kws)(F.lower(F.col(title)), F.lower(F.col(selftext)))
+    low = [k.lower() for k in kws]
+    tag = string_map(low, kws)
+    texts = F.array(F.struct(F.lower(F.col(title)).alias("t"), F.lower(F.col(selftext)).alias("s")))
+    found = F.transform(texts, lambda p: F.filter(
+        string_array(low), lambda k: F.contains(p["t"], k) | F.contains(p["s"], k)))
+    return F.transform(F.get(found, 0), lambda k: F.element_at(tag, k))
+
+
+def tag_keywords(df: DataFrame, keywords: list[str], column: str = "keyword") -> DataFrame:
+    """Posts x keywords in one pass, one row per (post, matching keyword).
+
+    ``keyword_hits`` per post, then one row per hit: no join and no shuffle.
+    ``explode_outer`` plus a null filter, because a plain explode makes
+    Catalyst infer a ``size(hits) > 0`` filter below it and match twice.
+    """
+    hits = df.select("*", keyword_hits(keywords).alias("_hits"))
+    return (hits.select("*", F.explode_outer("_hits").alias(column))
+            .where(F.col(column).isNotNull()).drop("_hits"))
+
+
+def posts_with_keywords(df: DataFrame, keywords: list[str], column: str = "keywords") -> DataFrame:
+    """Posts matching at least one keyword, once each, with their hits as an array.
+
+    For work that is per post (cleaning, scoring): a post matching m
+    keywords is processed once, not m times; explode ``column`` afterwards.
+    The non-empty test looks at the first hit through ``explode_outer``,
+    so the match is not pushed down and computed a second time.
+    """
+    hits = df.select("*", keyword_hits(keywords).alias(column))
+    return (hits.select("*", F.explode_outer(F.slice(F.col(column), 1, 1)).alias("_first"))
+            .where(F.col("_first").isNotNull()).drop("_first"))
 
 
 def merge_buckets(df: DataFrame, fan_in: int = TOPK_FAN_IN) -> int:
@@ -157,8 +183,8 @@ def _automaton(words: tuple[str, ...]):
     return _AUTOMATA[key]
 
 
-def _tag_keywords_dictionary(df: DataFrame, kws: list[str], column: str) -> DataFrame:
-    """J3 for long keyword lists: one Aho-Corasick pass per text, not one scan per keyword.
+def _dictionary_hits(kws: list[str]):
+    """Keyword hits for long lists: one Aho-Corasick pass per text, not one scan per keyword.
 
     Lower-casing stays in Spark (same text as the inline path). The matcher
     is an Arrow-batched pandas UDF over Spark's partitions; the keyword list
@@ -179,8 +205,7 @@ def _tag_keywords_dictionary(df: DataFrame, kws: list[str], column: str) -> Data
             out.append([tags[i] for i in sorted(found)])
         return pd.Series(out)
 
-    hits = matched(F.lower(F.col("title")), F.lower(F.col("selftext")))
-    return df.select("*", F.explode(hits).alias(column))
+    return matched
 
 
 def top_per_keyword(df: DataFrame, limit: int | None = DEFAULT_LIMIT,

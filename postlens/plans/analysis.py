@@ -1,8 +1,9 @@
 """Compositions of the operators: M4, M5 and the keyword report.
 
-One lazy plan: posts -> forum -> x keywords (inlined) -> top-n -> timestamp,
-clean -> score A and B (row-local) -> keyword tag. A single scan of the
-posts table replaces the reference's per-keyword loop.
+One lazy plan: posts -> forum -> keyword hits (inlined) -> top-n per keyword
+-> timestamp, clean -> score A and B (row-local) -> keyword tag. Without a
+top-n, each matching post is scored once and tagged after. A single scan of
+the posts table replaces the reference's per-keyword loop.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from postlens.functions.text import clean_text, epoch_to_timestamp
 from postlens.operators.scoring import score_posts
 from postlens.operators.search import (
-    DEFAULT_LIMIT, search_posts, tag_keywords, top_per_keyword, by_forum,
+    DEFAULT_LIMIT, by_forum, posts_with_keywords, search_posts, tag_keywords, top_per_keyword,
 )
 from postlens.schemas import POST_COLUMNS, SCORED_COLUMNS
 
@@ -39,8 +40,19 @@ def analyze_keywords(posts: DataFrame, keywords: list[str], scorer_a, scorer_b,
     """M4 for all keywords at once: SCORED rows (``keyword`` last).
 
     ``limit`` caps posts per keyword as the search did (``None``: every match).
-    Matching runs on the text before cleaning, as the search did.
+    Matching runs on the text before cleaning, as the search did. With a
+    limit, the per-keyword top-n comes first and only those rows are cleaned
+    and scored. Without one, every matching post is cleaned and scored once,
+    however many keywords it matches, and its keywords are exploded after.
     """
-    tagged = top_per_keyword(tag_keywords(by_forum(posts, forum), keywords), limit)
-    prepared = clean_posts(with_timestamp(tagged.select(*POST_COLUMNS, "keyword")))
-    return score_posts(prepared, scorer_a, scorer_b).select(*SCORED_COLUMNS)
+    selected = by_forum(posts, forum)
+    if limit is not None:
+        tagged = top_per_keyword(tag_keywords(selected, keywords), limit)
+        prepared = clean_posts(with_timestamp(tagged.select(*POST_COLUMNS, "keyword")))
+        return score_posts(prepared, scorer_a, scorer_b).select(*SCORED_COLUMNS)
+    matched = posts_with_keywords(selected, keywords, "_keywords")
+    prepared = clean_posts(with_timestamp(matched.select(*POST_COLUMNS, "_keywords")))
+    scored = score_posts(prepared, scorer_a, scorer_b)
+    # explode_outer + null filter: no inferred size filter pushed below the scorers
+    return (scored.select("*", F.explode_outer("_keywords").alias("keyword"))
+            .where(F.col("keyword").isNotNull()).select(*SCORED_COLUMNS))

@@ -79,10 +79,23 @@ def test_newest(spark):
 def test_tag_keywords_lowers_text_once(spark):
     posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
     plan = tag_keywords(posts, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
-    # lower(selftext) is computed below the Generate, not per keyword
-    gen_at = plan.index("Generate")
-    assert "lower(selftext" in plan[gen_at:]
-    assert "lower(selftext" not in plan[:gen_at]
+    # lower() runs once per post (outside the per-keyword lambda), and the
+    # match is computed once (no inferred filter repeating it)
+    assert plan.count("lower(selftext") == 1 and plan.count("lower(title") == 1
+    assert plan.count("Contains(") == 2
+    assert "Contains(lower(" not in plan
+
+
+def test_posts_with_keywords_once_per_post(spark):
+    from postlens.operators.search import posts_with_keywords
+    posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
+    kws = ["that", "e", "idiot", "mystery"]
+    once = posts_with_keywords(posts, kws)
+    rows = once.select("id", "keywords").collect()
+    assert len(rows) == len({r.id for r in rows}) and all(r.keywords for r in rows)
+    exploded = sorted((r.id, k) for r in rows for k in r.keywords)
+    assert exploded == sorted(map(tuple, tag_keywords(posts, kws).select("id", "keyword").collect()))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Contains(") == 2
 
 
 def test_hot_keyword_is_limited_before_the_shuffle(spark):
