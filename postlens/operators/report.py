@@ -52,7 +52,11 @@ def agreement_counts(scored: DataFrame) -> DataFrame:
 
 
 def agreement_for_keyword(scored: DataFrame, keyword: str) -> DataFrame:
-    """F4 + A3: agreement counts of one keyword."""
+    """F4 + A3: agreement counts of one keyword.
+
+    When ``scored`` comes from ``analyze_keywords`` without a limit, analyze
+    ``[keyword]`` alone: the filter cannot reach below the scorers.
+    """
     return agreement_counts(scored.where(F.col("keyword") == F.lit(keyword)))
 
 

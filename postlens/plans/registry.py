@@ -73,8 +73,9 @@ def scorer_b(spark: SparkSession, sf: str):
     return _models[key]
 
 
-def _scored_keywords(spark: SparkSession, sf: str, limit: int | None) -> DataFrame:
-    scored = analyze_keywords(_posts(spark, sf), KEYWORDS, LexiconScorer(), scorer_b(spark, sf),
+def _scored_keywords(spark: SparkSession, sf: str, limit: int | None,
+                     keywords: list[str] = KEYWORDS) -> DataFrame:
+    scored = analyze_keywords(_posts(spark, sf), keywords, LexiconScorer(), scorer_b(spark, sf),
                               limit=limit)
     return attach_comment_counts(scored, _conversations(spark, sf))
 
@@ -218,7 +219,11 @@ def q_agreement_counts(spark, sf):
 
 
 def q_agreement_for_keyword(spark, sf):
-    return report.agreement_for_keyword(_scored_keywords(spark, sf, limit=None), REPORT_KEYWORD)
+    # The keyword is chosen before scoring: a filter on the exploded keyword
+    # cannot reach into the per-post hits array, so filtering the all-keyword
+    # report would score every match. Same rows (the oracle filters the full report).
+    scored = _scored_keywords(spark, sf, limit=None, keywords=[REPORT_KEYWORD])
+    return report.agreement_for_keyword(scored, REPORT_KEYWORD)
 
 
 def q_agreement_by_keyword(spark, sf):

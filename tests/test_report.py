@@ -75,3 +75,21 @@ def test_sentiment_filter_not_pushed_into_scan(spark):
     plan = q_sentiment_by_keyword(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     # the cleaning regex appears once: no copy of the scorers in a pushed-down filter
     assert plan.count("regexp_replace(regexp_replace(") == 1
+
+
+def test_one_keyword_analysis_equals_filtered_report(spark):
+    """Analyzing [k] alone gives the rows of k in the all-keyword analysis
+    (what the registered agreement_for_keyword relies on), limit or not."""
+    from conftest import SF_SMALL
+    from postlens.operators.scoring import LexiconScorer, NaiveBayesScorer
+    from postlens.plans.analysis import analyze_keywords
+    from postlens.sources.posts import load_fixture_posts
+    model = NaiveBayesScorer(min_z=1.0).fit(spark.createDataFrame(
+        [("idiot trash", 1)] * 10 + [("nice calm", 0)] * 10, "text string, toxic int"))
+    posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
+    kws = ["that", "idiot", "license", "e"]
+    for limit in (None, 3):
+        full = analyze_keywords(posts, kws, LexiconScorer(), model, limit=limit)
+        for k in kws:
+            one = analyze_keywords(posts, [k], LexiconScorer(), model, limit=limit)
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, full.where(F.col("keyword") == k).collect()))
