@@ -1,3 +1,5 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -176,3 +178,33 @@ def test_global_top_k_stays_bounded_under_projections(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
     assert sorted(r.a for r in out.collect()) == [4995, 4996, 4997, 4998, 4999]
+
+
+_CHARS = ["a", "b", "A", "B", " ", "é", "É", "'", "\\"]
+_text = st.lists(st.sampled_from(_CHARS), max_size=12).map("".join)
+_keyword = st.lists(st.sampled_from(_CHARS), min_size=1, max_size=3).map("".join)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), _text), st.one_of(st.none(), _text)), min_size=1, max_size=8),
+       st.lists(_keyword, min_size=1, max_size=4))
+def test_keyword_tags_match_brute_force(spark, posts, keywords):
+    """J3/F2 on random titles, bodies and keywords (case, accents, quotes,
+    overlaps, blanks): inline and automaton paths equal a Python brute force."""
+    import postlens.operators.search as S
+    rows = [(str(i), t, b) for i, (t, b) in enumerate(posts)]
+    df = spark.createDataFrame(rows, "id string, title string, selftext string")
+    expected = set()
+    for i, t, b in rows:
+        for k in S.normalize_keywords(keywords):
+            low = k.lower()
+            if (t is not None and low in t.lower()) or (b is not None and low in b.lower()):
+                expected.add((i, k))
+    inline = {(r.id, r.keyword) for r in S.tag_keywords(df, keywords).collect()}
+    old = S.MAX_INLINE_KEYWORDS
+    S.MAX_INLINE_KEYWORDS = 0
+    try:
+        automaton = {(r.id, r.keyword) for r in S.tag_keywords(df, keywords).collect()}
+    finally:
+        S.MAX_INLINE_KEYWORDS = old
+    assert inline == expected == automaton
