@@ -57,3 +57,17 @@ def test_query_plan_hygiene(spark, name):
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython",
                 "FlatMapGroupsInPandas", "MapInPandas"):
         assert bad not in plan, f"{name}: {bad}"
+
+
+@pytest.mark.parametrize("name,cleans,tokenizes", [
+    ("keyword_options", 0, 0), ("posts_per_keyword", 0, 0), ("agreement_by_keyword", 1, 1),
+    ("sentiment_by_keyword", 1, 1), ("agreement_flag", 1, 1), ("analyze_keywords", 1, 1),
+    ("score_posts", 1, 1), ("title_join_labels", 1, 1), ("clean_text", 1, 0),
+])
+def test_work_per_post_in_plan(spark, name, cleans, tokenizes):
+    """Cleaning (two regexes) and tokenizing appear once where needed, never where
+    the result does not use them; keyword matching once (title and body)."""
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 2 * cleans
+    assert plan.count("split(lower(") == tokenizes
+    assert plan.count("Contains(") in (0, 2)
