@@ -26,7 +26,7 @@ from postlens.operators.search import (
     keyword_union, newest, search_posts, tag_keywords, top_k, top_per_keyword,
 )
 from postlens.plans.analysis import analyze_keywords, clean_posts, search_posts_clean
-from postlens.schemas import POST, POST_COLUMNS, SCORED_COLUMNS
+from postlens.schemas import POST, POST_COLUMNS
 from postlens.session import scratch_path
 from postlens.sources import files, topic
 from postlens.sources.posts import (

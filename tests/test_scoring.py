@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, plan_text
 from postlens.functions.labels import first_label
-from postlens.functions.text import tokens
 from postlens.operators.scoring import (
     LexiconScorer, NaiveBayesScorer, label_only, score_posts, title_fanout, title_join_labels,
 )
