@@ -214,6 +214,10 @@ SQL: dict[str, str] = {
     "bounded_topic_read": _with(POSTS) + (
         f"SELECT title, author, score, id, url, created_utc, {clean('selftext')} AS selftext, num_comments "
         "FROM posts ORDER BY doc_id LIMIT 100"),
+    "topic_scored": _with(POSTS, SCORES) + (
+        f"SELECT p.title, p.author, p.score, p.id, p.url, p.created_utc, {clean('p.selftext')} AS selftext, "
+        "p.num_comments, l.sentiment1, l.sentiment2 "
+        "FROM posts p JOIN labelled l ON l.id = p.id ORDER BY p.doc_id LIMIT 100"),
     "csv_roundtrip": _with(*ALL_SCORED) + (
         "SELECT nullif(title, '') AS title, nullif(author, '') AS author, score, id, nullif(url, '') AS url, "
         "created_utc, nullif(selftext, '') AS selftext, num_comments, sentiment1, sentiment2, keyword FROM scored"),

@@ -269,6 +269,17 @@ def q_bounded_topic_read(spark, sf):
     return topic.read_bounded(spark, TOPIC, POST, target=target, max_messages=100)
 
 
+def q_topic_scored(spark, sf):
+    """The transport flow: cleaned posts to the topic, a bounded read, both scorers.
+
+    The messages hold cleaned text (the search step cleans before
+    publishing), so the read rows are scored without cleaning again.
+    """
+    target = _publish_posts(spark, sf)
+    read = topic.read_bounded(spark, TOPIC, POST, target=target, max_messages=100)
+    return score_posts(read, LexiconScorer(), scorer_b(spark, sf))
+
+
 def q_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "csv")
     scored = _scored_keywords(spark, sf, limit=None)
@@ -330,6 +341,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_encode": q_json_encode,
     "json_decode": q_json_decode,
     "bounded_topic_read": q_bounded_topic_read,
+    "topic_scored": q_topic_scored,
     "csv_roundtrip": q_csv_roundtrip,
     "report_export": q_report_export,
     "stream_to_table": q_stream_to_table,
