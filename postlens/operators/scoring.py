@@ -115,7 +115,8 @@ class NaiveBayesModel:
         words = ", ".join(sql_string(w) for w in self.weights)
         values = ", ".join(sql_double(v) for v in self.weights.values())
         weight_map = f"map_from_arrays(array({words}), array({values}))"
-        hits = f"filter(array_distinct(`{tokens_col}`), t -> t IN ({words}))"
+        # vocabulary hits first, then distinct: only the few hits are hashed
+        hits = f"array_distinct(filter(`{tokens_col}`, t -> t IN ({words})))"
         total = f"aggregate({hits}, 0D, (acc, t) -> acc + try_element_at({weight_map}, t))"
         return f"round({total} + {bias}, {self.decimals})"
 
