@@ -42,8 +42,9 @@ def clean_text(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-cased word tokens (letters, digits, underscore), empties dropped."""
-    # the runs themselves (no empty pieces to drop, as a split would leave);
-    # about 13% faster than split + filter at sf0.1, same arrays on every row
+    # the runs themselves, with no empty pieces to drop as a split would leave.
+    # Same arrays as split + filter on every row at sf0.1; 13% faster on its
+    # own, within noise inside the full scoring queries.
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), 1)
 
 
