@@ -11,10 +11,10 @@ _CHECKPOINT_CONF = "spark.checkpoint.dir"
 ARROW_BATCH_BYTES = 64 << 20
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "postlens", extra: dict | None = None,
-                  enable_hive: bool = False) -> SparkSession:
-    """A session with the settings the library assumes: AQE on, UTC, no UI.
+def session_builder(master: str | None = None, shuffle_partitions: int | None = None,
+                    app_name: str = "postlens", extra: dict | None = None,
+                    enable_hive: bool = False) -> SparkSession.Builder:
+    """The builder behind ``build_session`` (settings only, no session yet).
 
     ``master`` and ``shuffle_partitions`` are set only when given (tests,
     bench): on a cluster the master comes from ``spark-submit`` and the
@@ -44,7 +44,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(key, value)
     if enable_hive:
         builder = builder.enableHiveSupport()
-    spark = builder.getOrCreate()
+    return builder
+
+
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
+                  app_name: str = "postlens", extra: dict | None = None,
+                  enable_hive: bool = False) -> SparkSession:
+    """A session with the settings the library assumes: AQE on, UTC, no UI
+    (see ``session_builder``)."""
+    spark = session_builder(master, shuffle_partitions, app_name, extra, enable_hive).getOrCreate()
     try:
         spark.sparkContext.setLogLevel("ERROR")
     except Exception:

@@ -71,3 +71,12 @@ def test_work_per_post_in_plan(spark, name, cleans, tokenizes):
     assert plan.count("regexp_replace(") == 2 * cleans
     assert plan.count("regexp_extract_all(lower(") == tokenizes
     assert plan.count("Contains(") in (0, 2)
+
+
+def test_session_leaves_master_and_partitions_to_the_cluster():
+    from postlens.session import session_builder
+    opts = session_builder()._options
+    assert "spark.master" not in opts and "spark.sql.shuffle.partitions" not in opts
+    assert opts["spark.sql.adaptive.enabled"] == "true" and opts["spark.ui.enabled"] == "false"
+    given = session_builder("local[2]", shuffle_partitions=4)._options
+    assert given["spark.master"] == "local[2]" and given["spark.sql.shuffle.partitions"] == "4"
