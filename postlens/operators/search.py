@@ -27,9 +27,9 @@ NEWEST_LIMIT = 100
 # Keywords are inlined into the plan as literals up to this many; longer
 # lists are matched with an Aho-Corasick automaton in a pandas UDF. Inline
 # matching costs one substring scan per keyword and post, the automaton one
-# pass per post: measured at sf0.1 (25 MB of text, local[8]), inline took
-# 0.6 / 0.9 / 1.9 / 8.1 s for 5 / 50 / 200 / 1000 keywords, the automaton
-# 0.5-0.6 s throughout; they meet at about 20.
+# pass per post: measured at sf0.1 (25 MB of text, local[8]), inline tagging
+# took 0.5 / 0.8 / 1.7 / 6.9 s for 5 / 50 / 200 / 1000 keywords, the
+# automaton 0.4-0.55 s throughout; they meet at about 20.
 MAX_INLINE_KEYWORDS = 32
 # Map partitions merged by one first-level top-k task, and the most
 # first-level buckets (sources without size statistics report a huge size).
