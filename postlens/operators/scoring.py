@@ -100,6 +100,9 @@ class NaiveBayesModel:
     n_positive_docs: int = 0
     n_negative_docs: int = 0
     vocabulary: list = field(default_factory=list)
+    # the fitted statistics (token, a, b, z, w) as a persisted frame of at
+    # most vocab_size rows; lost blocks are recomputed from lineage
+    statistics: DataFrame | None = None
 
     def score_sql(self, tokens_col: str) -> str:
         """Sum of weights over distinct tokens + bias, rounded (a SQL expression).
@@ -189,11 +192,15 @@ class NaiveBayesScorer:
         if n1 == 0 or n0 == 0:
             return NaiveBayesModel({}, 0.0, input_col=self.input_col, decimals=self.decimals,
                                    n_positive_docs=n1, n_negative_docs=n0)
-        rows = self.statistics(labelled, n1, n0).collect()  # at most vocab_size rows
+        # persisted: the selected vocabulary (at most vocab_size rows) is kept
+        # for inspection instead of being aggregated again
+        stats = self.statistics(labelled, n1, n0).persist()
+        rows = stats.collect()
         weights = {r["token"]: float(r["w"]) for r in rows}
         return NaiveBayesModel(weights, math.log(n1 / n0), input_col=self.input_col,
                                decimals=self.decimals, n_positive_docs=n1, n_negative_docs=n0,
-                               vocabulary=[(r["token"], r["a"], r["b"], r["z"], r["w"]) for r in rows])
+                               vocabulary=[(r["token"], r["a"], r["b"], r["z"], r["w"]) for r in rows],
+                               statistics=stats)
 
 
 def with_first_label(df: DataFrame, annotation: str, label: str) -> DataFrame:

@@ -157,9 +157,13 @@ def q_score_lexicon(spark, sf):
 
 
 def q_train_nb(spark, sf):
-    model = scorer_b(spark, sf)  # class totals come from the (cached) fit
-    stats = NaiveBayesScorer().statistics(training_rows(spark, sf), model.n_positive_docs,
-                                          model.n_negative_docs)
+    """The fitted vocabulary: the fit's persisted statistics (one aggregation
+    over the labelled posts, not two)."""
+    model = scorer_b(spark, sf)
+    stats = model.statistics
+    if stats is None:  # one class only: no token can separate them
+        stats = NaiveBayesScorer().statistics(training_rows(spark, sf), model.n_positive_docs,
+                                              model.n_negative_docs)
     return stats.select("token", "a", "b", F.round("z", 6).alias("z"), F.round("w", 6).alias("w"))
 
 
