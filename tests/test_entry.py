@@ -80,3 +80,16 @@ def test_session_leaves_master_and_partitions_to_the_cluster():
     assert opts["spark.sql.adaptive.enabled"] == "true" and opts["spark.ui.enabled"] == "false"
     given = session_builder("local[2]", shuffle_partitions=4)._options
     assert given["spark.master"] == "local[2]" and given["spark.sql.shuffle.partitions"] == "4"
+
+
+def test_train_nb_reads_the_fitted_vocabulary(spark):
+    """The vocabulary query reuses the fit's persisted statistics (no second
+    aggregation over the labelled posts); the rows equal a fresh computation."""
+    from postlens.operators.scoring import NaiveBayesScorer
+    from postlens.plans.registry import scorer_b, training_rows
+    q = E.queries()["train_nb"](spark, SF_SMALL)
+    assert "InMemoryTableScan" in q._jdf.queryExecution().executedPlan().toString()
+    model = scorer_b(spark, SF_SMALL)
+    fresh = NaiveBayesScorer().statistics(training_rows(spark, SF_SMALL), model.n_positive_docs,
+                                          model.n_negative_docs).collect()
+    assert sorted(r.token for r in q.collect()) == sorted(r.token for r in fresh)
