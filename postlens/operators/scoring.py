@@ -104,6 +104,11 @@ class NaiveBayesModel:
     # most vocab_size rows; lost blocks are recomputed from lineage
     statistics: DataFrame | None = None
 
+    def unpersist(self) -> None:
+        """Release the persisted statistics (the weights stay usable)."""
+        if self.statistics is not None:
+            self.statistics.unpersist()
+
     def score_sql(self, tokens_col: str) -> str:
         """Sum of weights over distinct tokens + bias, rounded (a SQL expression).
 

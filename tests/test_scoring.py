@@ -177,3 +177,14 @@ def test_keyword_analysis_scans_posts_once(spark):
     plan = plan_text(scored)
     assert plan.count("documents.parquet") == 1
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_model_releases_its_statistics(spark):
+    model = _model(spark)
+    assert model.statistics is not None and model.statistics.is_cached
+    model.unpersist()
+    assert not model.statistics.is_cached
+    # scoring does not depend on the persisted frame
+    df = spark.createDataFrame([("you idiot",), ("nice calm day",)], "text string")
+    labels = [r.sentiment[0].result for r in model.transform(df).collect()]
+    assert labels == ["neg", "pos"]
