@@ -65,12 +65,25 @@ def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     return clean_posts(labelled).select(F.col("selftext").alias("text"), "toxic")
 
 
+def _session_key(spark: SparkSession) -> str:
+    """The running application (a new session after ``stop()`` gets a new id)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect: no SparkContext on the client
+        return f"session-{id(spark)}"
+
+
 def scorer_b(spark: SparkSession, sf: str):
-    """Scorer B fitted on the labelled rows (once per session and folder)."""
-    key = (id(spark), sf)
-    if key not in _models:
-        _models[key] = NaiveBayesScorer().fit(training_rows(spark, sf))
-    return _models[key]
+    """Scorer B fitted on the labelled rows (once per application and folder).
+
+    The model holds a persisted frame of its session, so a model of another
+    (stopped) session is fitted again rather than reused.
+    """
+    key = (_session_key(spark), sf)
+    model = _models.get(key)
+    if model is None or (model.statistics is not None and model.statistics.sparkSession is not spark):
+        model = _models[key] = NaiveBayesScorer().fit(training_rows(spark, sf))
+    return model
 
 
 def _scored_keywords(spark: SparkSession, sf: str, limit: int | None,
