@@ -93,3 +93,25 @@ def test_train_nb_reads_the_fitted_vocabulary(spark):
     fresh = NaiveBayesScorer().statistics(training_rows(spark, SF_SMALL), model.n_positive_docs,
                                           model.n_negative_docs).collect()
     assert sorted(r.token for r in q.collect()) == sorted(r.token for r in fresh)
+
+
+def test_queries_survive_a_session_restart():
+    """A driver may stop its session and start another: cached fits must not
+    hand back frames of the stopped session (run in a child process)."""
+    import subprocess
+    import sys
+    from pathlib import Path
+    root = Path(__file__).resolve().parents[1]
+    script = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as E
+for _ in range(2):
+    s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+    s.sparkContext.setLogLevel("ERROR")
+    print("COUNT", E.queries()["train_nb"](s, {SF_SMALL!r}).count(), E.queries()["score_nb"](s, {SF_SMALL!r}).count())
+    s.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=600, cwd=root)
+    counts = [line for line in out.stdout.splitlines() if line.startswith("COUNT")]
+    assert len(counts) == 2 and counts[0] == counts[1], out.stderr[-2000:]
