@@ -180,7 +180,7 @@ def test_global_top_k_stays_bounded_under_projections(spark):
     assert sorted(r.a for r in out.collect()) == [4995, 4996, 4997, 4998, 4999]
 
 
-_CHARS = ["a", "b", "A", "B", " ", "é", "É", "'", "\\"]
+_CHARS = ["a", "b", "A", "B", " ", "é", "É", "'", "\\", "ß", "İ", "ı", "I", "Σ", "ς", "\n"]
 _text = st.lists(st.sampled_from(_CHARS), max_size=12).map("".join)
 _keyword = st.lists(st.sampled_from(_CHARS), min_size=1, max_size=3).map("".join)
 
@@ -190,7 +190,8 @@ _keyword = st.lists(st.sampled_from(_CHARS), min_size=1, max_size=3).map("".join
        st.lists(_keyword, min_size=1, max_size=4))
 def test_keyword_tags_match_brute_force(spark, posts, keywords):
     """J3/F2 on random titles, bodies and keywords (case, accents, quotes,
-    overlaps, blanks): inline and automaton paths equal a Python brute force."""
+    overlaps, blanks, characters whose case mapping is special): the inline
+    tags, the automaton and the per-post hits array equal a Python brute force."""
     import postlens.operators.search as S
     rows = [(str(i), t, b) for i, (t, b) in enumerate(posts)]
     df = spark.createDataFrame(rows, "id string, title string, selftext string")
@@ -201,10 +202,11 @@ def test_keyword_tags_match_brute_force(spark, posts, keywords):
             if (t is not None and low in t.lower()) or (b is not None and low in b.lower()):
                 expected.add((i, k))
     inline = {(r.id, r.keyword) for r in S.tag_keywords(df, keywords).collect()}
+    once = {(r.id, k) for r in S.posts_with_keywords(df, keywords).collect() for k in r.keywords}
     old = S.MAX_INLINE_KEYWORDS
     S.MAX_INLINE_KEYWORDS = 0
     try:
         automaton = {(r.id, r.keyword) for r in S.tag_keywords(df, keywords).collect()}
     finally:
         S.MAX_INLINE_KEYWORDS = old
-    assert inline == expected == automaton
+    assert inline == expected == automaton == once
