@@ -39,6 +39,9 @@ def session_builder(master: str | None = None, shuffle_partitions: int | None =
         # Arrow batches to pandas UDFs close at 64 MiB as well as at the record
         # count: 10,000 whole texts could otherwise make one batch of gigabytes.
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+        # checkpoint files (row index) are removed once their frame is garbage
+        # collected, instead of accumulating in the shared checkpoint folder
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
