@@ -1,10 +1,10 @@
 """Shared helpers of the training-data operators.
 
 Row identity: an operator's verdict is a function of a row's id and text, so
-rows are keyed by ``(id, 128-bit text hash)``. Repeated rows share a key and
-get the same verdict; a null id is a key like any other (null-safe
-joins). Only the id and text columns enter an operator, under private names,
-so extra columns of any name cannot clash.
+rows are keyed by a 128-bit hash of both (``row_key``), in which a null is a
+value like any other. Repeated rows share a key and get the same verdict. Only
+the id and text columns enter an operator, under private names, so extra
+columns of any name cannot clash.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}{TABLES_SUFFIX}")
 
 
-def text_hash(text: Column) -> list[Column]:
-    """Two 64-bit hashes of a text (null like any value), as columns ``_h1``, ``_h2``."""
-    return [F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(7), text).alias("_h2")]
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """128-bit key of an id and a text as ``_h1``, ``_h2``; nulls are values like any other, so it is never null."""
+    parts = [doc_id.isNull(), doc_id, text.isNull(), text]
+    return [F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit(7), *parts).alias("_h2")]
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,14 +37,6 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Column:
-    """Null-safe equality of the named key pairs."""
-    out = F.lit(True)
-    for a, b in keys:
-        out = out & left[a].eqNullSafe(right[b])
-    return out
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The frame written to ``spark.checkpoint.dir`` and read back: lineage ends there."""
     checkpoint_root(df.sparkSession)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import cut, id_text, null_safe, slices, text_hash
+from postlens.llm.common import cut, id_text, row_key, slices
 from postlens.llm.kernels import ALNUM, U64, Words
 
 NGRAM, SHINGLE = 13, 5
@@ -114,7 +114,7 @@ def postings(docs: DataFrame, bloom: np.ndarray, lengths: list[int], ngram: int)
                 names=["doc_id", "_h1", "_h2", "n_words", "hits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *text_hash(F.col("text"))).mapInArrow(
+    return docs.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text"))).mapInArrow(
         run, f"doc_id {kind}, _h1 long, _h2 long, n_words long, "
              "hits array<struct<token:long,pos:long,lo:long,ctx:string>>")
 
@@ -146,7 +146,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bloom = _bloom(windows.select(F.explode("tokens").alias("token")))
     found = cut(postings(id_text(docs, id_col, text_col), bloom, lengths, ngram))
     key = ["doc_id", "_h1", "_h2"]
-    # equal rows are searched once; possible hits as rows
     hits = found.where(F.size("hits") > 0).select(*key, "n_words", F.explode("hits").alias("h")).select(*key, "n_words", "h.*")
     rarity = hits.groupBy("token").agg(F.count("*").alias("n"))
     distinct = windows.groupBy("words", "len", "tokens").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
@@ -163,12 +162,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     matched = (d.join(p, (F.col("d.token") == F.col("p.token")) & fits)
                .where(F.when(fits, same).otherwise(F.lit(False)))
                .select(*key, start.alias("start"), (start + F.col("len")).alias("end"), "items"))
-    per_doc = matched.groupBy(*key).agg(
+    per_doc = matched.groupBy("_h1", "_h2").agg(
         F.collect_set(F.struct("start", "end")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    per_doc = per_doc.select(*[F.col(c).alias(f"r{c}") for c in key], union_length(F.col("spans")).alias("hit"), "items")
-    base = found.select(*key, "n_words")
-    out = base.join(per_doc, null_safe(base, per_doc, [(c, f"r{c}") for c in key]), "left")
+    per_doc = per_doc.select("_h1", "_h2", union_length(F.col("spans")).alias("hit"), "items")
+    out = found.select(*key, "n_words").join(per_doc, ["_h1", "_h2"], "left")
     return out.select(*key, "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

@@ -23,7 +23,7 @@ from postlens.llm.common import cut, id_text
 
 WINDOW = 4096
 OPEN_WINDOWS = 64
-MERGE_FAN_IN = 64
+MERGE_FAN_IN = 16
 END_ID = 2
 CACHE = 600_000  # word pieces remembered by a Python worker
 SLICE = 1 << 22  # characters tokenised at once

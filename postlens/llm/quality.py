@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text",
-          keys: list[Column] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+          threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document.
 
     Null and empty texts are scored by the same model (no indicators but the
@@ -224,21 +224,37 @@ def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
     held out. Repeated rows are scored one by one; an empty table gives no rows;
     other columns are ignored.
     """
-    keys = keys or []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), *keys)
-    names = rows.columns[3:]
-    parts = None if model is None else (model.weights, model.ratios, model.bias, model.slope, model.shift)
-    sent = docs.sparkSession.sparkContext.broadcast(parts)  # 2 ** DIM_BITS weights and ratios
+    rows = rows.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    sent = _broadcast(docs, model)
 
     def run(batches):
         m = sent.value and QualityModel(*sent.value)
         for b in slices(batches, "text"):
             s = np.ones(b.num_rows) if m is None else m.scores(b.column(1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32)),
-                 *[b.column(3 + i) for i in range(len(names))]], names=["doc_id", "held_out", "score", "predicted", *names])
+                [b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int"
-                                + "".join(f", {n} long" for n in names))
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def _broadcast(docs: DataFrame, model: QualityModel | None):
+    """The model for the tasks: 2 ** DIM_BITS weights and ratios, whatever the input."""
+    parts = None if model is None else (model.weights, model.ratios, model.bias, model.slope, model.shift)
+    return docs.sparkSession.sparkContext.broadcast(parts)
+
+
+def accepted(docs: DataFrame, model: QualityModel | None, text_col: str = "text",
+             threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    sent = _broadcast(docs, model)
+
+    def run(batches):
+        m = sent.value and QualityModel(*sent.value)
+        for b in slices(batches, text_col):
+            text = b.column(b.schema.get_field_index(text_col))
+            yield b if m is None else b.filter(pa.array(m.scores(text) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, packing, quality, simhash, topk, urlfilter
+from postlens.llm import decontam, license, linededup, packing, quality, simhash, substring, suffix, topk, urlfilter
 from postlens.llm.common import table
 
 # The rules of the URL query.
@@ -19,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed",
+                       F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -27,6 +33,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontam.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +46,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the files of a tree: source / language / thousand / name."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 1000"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return license.scan(files, license.templates(spark)).withColumnRenamed("file_id", "doc_id")
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.dedup_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return urlfilter.url_filter(table(spark, sf_dir, "pages"), rules)
@@ -49,11 +73,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {
-    "op2_decontamination": op2_decontamination,
-    "op4_simhash": op4_simhash,
-    "op5_packing": op5_packing,
-    "op8_url_filter": op8_url_filter,
-    "op9_quality": op9_quality,
-    "op10_topk": op10_topk,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_decontamination, op3_substring_dedup, op4_simhash, op5_packing, op6_license_scan,
+    op7_suffix_array_dedup, op8_url_filter, op9_quality, op10_topk)}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import components, cut, slices, text_hash
+from postlens.llm.common import components, cut, row_key, slices
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 2, 2, 42
 _WORDS = regex.compile(rb"[^\x20\x09-\x0D]+")
@@ -52,7 +52,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE, keys: bool = False) -> DataFrame:
     """``doc_id`` and ``fp`` (signed 64-bit), one row per row; with ``keys`` also the text hashes."""
-    extra = text_hash(F.col("text")) if keys else []
+    extra = row_key(F.col("doc_id"), F.col("text")) if keys else []
     names = ["_h1", "_h2"] if keys else []
 
     def run(batches):
@@ -113,6 +113,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     distance: int = DISTANCE, segments: int = SEGMENTS, keys: bool = False) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
+    With ``keys`` also the component's ``root`` (one of its fingerprints) and the row key.
+
     ``component_id`` is the smallest id reachable over links of at most
     ``distance`` bits. Null, empty and blank texts have fingerprint 0 and link
     like any other. A null id is never a component's name unless all its
@@ -126,7 +128,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .join(nodes, F.col("fp") == F.col("node"), "left")
              .select("fp", F.coalesce("root", "fp").alias("root"), "low"))
     names = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = roots.join(names, "root").select("fp", "component_id")
+    of = roots.join(names, "root").select("fp", "root", "component_id")
     out = prints.join(of, "fp")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return out.select("doc_id", hexed, "component_id", *(["_h1", "_h2"] if keys else []))
+    return out.select("doc_id", hexed, "component_id", *(["root", "_h1", "_h2"] if keys else []))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """The columns of ``docs``, one row of each component: the smallest id, known before null.
+
+    Of rows that share that id the one with the smallest text hash stays; of
+    exact repeats one.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, distance, segments, keys=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_h1", "_h2")).alias("m")
+    keep = found.groupBy("root").agg(first).select("m._h1", "m._h2")
+    row = F.struct("*").alias("row")
+    rows = docs.select(row, *row_key(F.col(id_col), F.col(text_col).cast("string")))
+    return rows.join(keep, ["_h1", "_h2"]).dropDuplicates(["_h1", "_h2"]).select("row.*")
