@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# How timestamps with and without a zone are written in a message.
+TIMESTAMP_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                  "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def encode_json(*cols: str | Column) -> Column:
     """C4: a row (or chosen columns) as JSON text, nulls written as ``null``.
 
     Spark's default drops null fields; ``ignoreNullFields=false`` keeps them.
-    Timestamps are written as ISO text, so no column has to be left out.
+    Timestamps are written as ISO text with microseconds, so no
+    column has to be left out; decode them with a timestamp field.
     """
     target = F.struct(*cols) if cols else F.struct("*")
-    return F.to_json(target, {"ignoreNullFields": "false"})
+    return F.to_json(target, {"ignoreNullFields": "false"} | TIMESTAMP_TEXT)
 
 
 def decode_json(value: Column | str, schema: T.StructType) -> Column:
@@ -24,4 +30,4 @@ def decode_json(value: Column | str, schema: T.StructType) -> Column:
     gives a struct of nulls (the row is kept).
     """
     c = F.col(value) if isinstance(value, str) else value
-    return F.from_json(c.cast("string"), schema)
+    return F.from_json(c.cast("string"), schema, TIMESTAMP_TEXT)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.labels import agreement
-from postlens.operators.search import NEWEST_LIMIT, newest
+from postlens.operators.search import NEWEST_LIMIT, by_forum, newest
 
 # The label of the all-keywords row and option.
 ALL = "All"
@@ -23,10 +23,10 @@ def with_agreement(df: DataFrame, column: str = "agreement") -> DataFrame:
     return df.withColumn(column, agreement("sentiment1", "sentiment2"))
 
 
-def flair_counts(posts: DataFrame, newest_n: int = NEWEST_LIMIT) -> DataFrame:
-    """A1 + S2 + F3 + L3: posts per flair among the newest ``newest_n``, descending."""
+def flair_counts(posts: DataFrame, newest_n: int = NEWEST_LIMIT, forum: str | None = None) -> DataFrame:
+    """A1 + S2 + F3 + L3: posts per flair among the newest ``newest_n`` of a forum (or all), descending."""
     flair = F.col("link_flair_text")
-    recent = newest(posts.select("id", "created_utc", "link_flair_text"), newest_n)
+    recent = newest(by_forum(posts, forum).select("id", "created_utc", "link_flair_text"), newest_n)
     return (recent.where(flair.isNotNull() & (flair != ""))
             .groupBy(flair.alias("flair")).agg(F.count(F.lit(1)).alias(COUNT))
             .orderBy(F.col(COUNT).desc(), F.col("flair").asc()))

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from postlens.functions.labels import first_label
 from postlens.functions.literals import sql_double, sql_string
 from postlens.functions.text import tokens as text_tokens
-from postlens.operators.search import top_k
 
 # Label texts and the word lists of scorer A.
 POSITIVE = "pos"
@@ -100,8 +99,8 @@ class NaiveBayesModel:
     n_positive_docs: int = 0
     n_negative_docs: int = 0
     vocabulary: list = field(default_factory=list)
-    # the fitted statistics (token, a, b, z, w) as a persisted frame of at
-    # most vocab_size rows; lost blocks are recomputed from lineage
+    # the fitted statistics (token, a, b, z, w) as a persisted frame; lost
+    # blocks are recomputed from lineage
     statistics: DataFrame | None = None
 
     def unpersist(self) -> None:
@@ -112,9 +111,10 @@ class NaiveBayesModel:
     def score_sql(self, tokens_col: str) -> str:
         """Sum of weights over distinct tokens + bias, rounded (a SQL expression).
 
-        The vocabulary is bounded by ``NaiveBayesScorer.vocab_size``, so it is
-        inlined as literals: a hashed ``IN`` keeps only hits, and only hits
-        are looked up in the weight map (constant-folded once). One SQL
+        The vocabulary follows from the bounded training sample (at most its
+        tokens / ``min_docs`` entries, and only those that pass ``min_z``),
+        so it is inlined as literals: a hashed ``IN`` keeps only hits, and only
+        hits are looked up in the weight map (constant-folded once). One SQL
         expression instead of one ``lit`` call per vocabulary entry.
         """
         bias = sql_double(self.bias)
@@ -144,14 +144,17 @@ class NaiveBayesScorer:
 
     Per token, ``a`` = documents with label 1 containing it (of N1) and ``b``
     = documents with label 0 (of N0). Weight ``w = ln((a+1)/(N1+2)) -
-    ln((b+1)/(N0+2))``. Kept: ``a+b >= min_docs`` and two-proportion
-    statistic ``z >= min_z``; at most ``vocab_size`` tokens by z desc, token.
-    A row scores ``neg`` when its log-odds is above zero.
+    ln((b+1)/(N0+2))``. The model is every token with ``a+b >= min_docs`` and
+    a two-proportion statistic ``z >= min_z``; there is no cap on their
+    number. A row scores ``neg`` when its log-odds is above zero.
+
+    ``fit`` expects a bounded sample of labelled rows (the caller's documented
+    parameter, see ``plans.registry.TRAIN_ROWS``), which bounds the model.
     """
 
-    def __init__(self, vocab_size: int = 200, min_docs: int = 5, min_z: float = 4.0,
+    def __init__(self, min_docs: int = 5, min_z: float = 4.0,
                  input_col: str = "text", label_col: str = "toxic", decimals: int = 6):
-        self.vocab_size, self.min_docs, self.min_z = vocab_size, min_docs, min_z
+        self.min_docs, self.min_z = min_docs, min_z
         self.input_col, self.label_col, self.decimals = input_col, label_col, decimals
 
     def _docs(self, labelled: DataFrame) -> DataFrame:
@@ -185,22 +188,19 @@ class NaiveBayesScorer:
         var = q * (F.lit(1.0) - q) * (F.lit(1.0 / n1) + F.lit(1.0 / n0))
         z = F.when(var > 0, F.abs(a / F.lit(n1) - b / F.lit(n0)) / F.sqrt(var))
         w = F.ln((a + 1) / F.lit(n1 + 2)) - F.ln((b + 1) / F.lit(n0 + 2))
-        selected = (counts.where(a + b >= self.min_docs)
-                    .select("token", "a", "b", z.alias("z"), w.alias("w"))
-                    .where(F.col("z") >= self.min_z))
-        # one level: the input is the token aggregate, whose partitions are
-        # shuffle partitions (a bounded count), not input splits
-        return top_k(selected, self.vocab_size, [F.col("z").desc(), F.col("token").asc()], buckets=1)
+        return (counts.where(a + b >= self.min_docs)
+                .select("token", "a", "b", z.alias("z"), w.alias("w"))
+                .where(F.col("z") >= self.min_z))
 
     def fit(self, labelled: DataFrame) -> NaiveBayesModel:
         n1, n0 = self.class_totals(labelled)
         if n1 == 0 or n0 == 0:
             return NaiveBayesModel({}, 0.0, input_col=self.input_col, decimals=self.decimals,
                                    n_positive_docs=n1, n_negative_docs=n0)
-        # persisted: the selected vocabulary (at most vocab_size rows) is kept
-        # for inspection instead of being aggregated again
+        # persisted: the vocabulary is kept for inspection instead of being
+        # aggregated again
         stats = self.statistics(labelled, n1, n0).persist()
-        rows = stats.collect()
+        rows = stats.orderBy("token").collect()
         weights = {r["token"]: float(r["w"]) for r in rows}
         return NaiveBayesModel(weights, math.log(n1 / n0), input_col=self.input_col,
                                decimals=self.decimals, n_positive_docs=n1, n_negative_docs=n0,
@@ -250,6 +250,10 @@ def join_scores_by_id(df: DataFrame, labels1: DataFrame, labels2: DataFrame, key
     return df.join(labels1, key, "inner").join(labels2, key, "inner")
 
 
+# k posts of one title make k^3 rows, beyond a bigint from 2,097,152 posts on.
+COUNT_FACTOR, WIDE_COUNT = "decimal(12,0)", "decimal(38,0)"
+
+
 def title_join_labels(scored: DataFrame) -> DataFrame:
     """J1, the reference's join on title (inner, twice), as exact row counts.
 
@@ -271,7 +275,7 @@ def title_join_labels(scored: DataFrame) -> DataFrame:
 
     def total(cond=None) -> Column:
         picked = F.col("_cells") if cond is None else F.filter("_cells", cond)
-        return F.aggregate(picked, F.lit(0).cast("bigint"), lambda acc, x: acc + x["_n"])
+        return F.aggregate(picked, F.lit(0).cast("bigint"), lambda acc, x: acc + x["_n"]).cast(COUNT_FACTOR)
 
     distinct = lambda field: F.array_distinct(F.transform("_cells", lambda x: x[field]))
     s1, s2 = F.col("sentiment1"), F.col("sentiment2")
@@ -279,15 +283,15 @@ def title_join_labels(scored: DataFrame) -> DataFrame:
             .select("*", F.explode(distinct("sentiment2")).alias("sentiment2"))
             .select("title", "sentiment1", "sentiment2",
                     (total() * total(lambda x: x["sentiment1"].eqNullSafe(s1))
-                     * total(lambda x: x["sentiment2"].eqNullSafe(s2))).alias("n_rows")))
+                     * total(lambda x: x["sentiment2"].eqNullSafe(s2))).cast(WIDE_COUNT).alias("n_rows")))
 
 
 def title_fanout(df: DataFrame) -> DataFrame:
-    """Rows per title that J1 would produce, ``(title, n)`` with n = k^3.
+    """Rows per title that J1 would produce, ``(title, n)`` with n = k^3 (a decimal: no overflow).
 
     Exact and linear: one aggregation instead of materialising the pairs
     (``title_join_labels`` splits the same count by label pair).
     """
-    k = F.count(F.lit(1))
+    k = F.count(F.lit(1)).cast(COUNT_FACTOR)
     return (df.where(F.col("title").isNotNull()).groupBy("title")
-            .agg((k * k * k).cast("bigint").alias("n")))
+            .agg((k * k * k).cast(WIDE_COUNT).alias("n")))

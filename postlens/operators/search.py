@@ -2,35 +2,25 @@
 
 The reference's remote search ("posts of a forum matching a keyword, at most
 ``limit``") is re-aimed as filters over a posts table. Matching is defined
-here as: trimmed, case-insensitive, literal substring of title or selftext,
-on the text before cleaning. Relevance order (unspecified remotely) is
+here as: case-insensitive, literal substring of title or selftext, the keyword
+without surrounding white space, on the text before cleaning. A blank keyword
+matches nothing. Rows are tagged with the keyword as given, and entries of a
+keyword list are never merged. Relevance order (unspecified remotely) is
 score descending, then id.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from postlens.functions.literals import string_array, string_map
+from postlens.functions.literals import string_array
 from postlens.schemas import POST_COLUMNS
 from postlens.session import estimated_bytes, max_partition_bytes
 
 # Default per-keyword cap and newest-posts count of the reference.
 DEFAULT_LIMIT = 50
 NEWEST_LIMIT = 100
-# Keywords are inlined into the plan as literals up to this many; longer
-# lists are matched with an Aho-Corasick automaton in a pandas UDF. Inline
-# matching costs one substring scan per keyword and post, the automaton one
-# pass per post: measured at sf0.1 (25 MB of text, local[8]), inline tagging
-# took 0.5 / 0.8 / 1.7 / 6.9 s for 5 / 50 / 200 / 1000 keywords, the
-# automaton 0.4-0.55 s throughout; they meet at about 20.
-MAX_INLINE_KEYWORDS = 32
 # Map partitions merged by one first-level top-k task, and the most
 # first-level buckets (sources without size statistics report a huge size).
 TOPK_FAN_IN = 256
@@ -42,17 +32,16 @@ def rank_order() -> list[Column]:
     return [F.col("score").desc(), F.col("id").asc()]
 
 
-def normalize_keywords(keywords: list[str]) -> list[str]:
-    """Trimmed keywords, first occurrence kept, blanks dropped."""
-    seen, out = set(), []
-    for k in keywords:
-        if k is None:
-            continue
-        t = k.strip()
-        if t and t.lower() not in seen:
-            seen.add(t.lower())
-            out.append(t)
-    return out
+# The white space ignored around a keyword.
+KEYWORD_SPACE = " \t\n\r\x0b\x0c"
+
+
+def needle(keyword: Column) -> Column:
+    """What a keyword looks for: trimmed and lower-cased; null when blank.
+
+    The one normaliser of every matching path.
+    """
+    return F.nullif(F.lower(F.btrim(keyword, F.lit(KEYWORD_SPACE))), F.lit(""))
 
 
 def by_forum(df: DataFrame, forum: str | None) -> DataFrame:
@@ -63,10 +52,10 @@ def by_forum(df: DataFrame, forum: str | None) -> DataFrame:
 def keyword_condition(keyword: Column | str, title: Column | None = None,
                       selftext: Column | None = None) -> Column:
     """F2 as a predicate: literal, case-insensitive substring of title or selftext."""
-    k = F.lower(F.trim(F.lit(keyword) if isinstance(keyword, str) else keyword))
+    k = needle(F.lit(keyword) if isinstance(keyword, str) else keyword)
     t = F.lower(F.col("title")) if title is None else title
     s = F.lower(F.col("selftext")) if selftext is None else selftext
-    return F.contains(t, k) | F.contains(s, k)
+    return F.coalesce(F.contains(t, k) | F.contains(s, k), F.lit(False))
 
 
 def match_keyword(df: DataFrame, keyword: str) -> DataFrame:
@@ -74,28 +63,26 @@ def match_keyword(df: DataFrame, keyword: str) -> DataFrame:
     return df.where(keyword_condition(keyword))
 
 
+def _keyword_entries(keywords: list[str]) -> Column:
+    """The list as an array of (tag, needle), in list order, nothing merged."""
+    given = string_array([k for k in keywords if k is not None])
+    return F.transform(given.cast("array<string>"), lambda k: F.struct(k.alias("tag"), needle(k).alias("needle")))
+
+
 def keyword_hits(keywords: list[str], title: str = "title", selftext: str = "selftext") -> Column:
     """F2 for a keyword list as one column: the keywords a post matches.
 
-    ``array<string>`` of the (trimmed) keywords whose lower-cased text occurs
-    in the lower-cased title or selftext, in list order; empty when none.
-    Title and selftext are lower-cased once per post: the pair is the
+    ``array<string>`` of the keywords as given, in list order, entries that
+    are equal or equal but for case or padding each on their own; empty when
+    none. Title and selftext are lower-cased once per post: the pair is the
     argument of an outer lambda, which Catalyst cannot inline into the
     per-keyword lambda (a plain column would be, lower-casing once per
-    keyword). Lists longer than ``MAX_INLINE_KEYWORDS`` use an Aho-Corasick
-    pandas UDF. Row-local: valid on streams.
+    keyword). One path for a list of any length. Row-local: valid on streams.
     """
-    kws = normalize_keywords(keywords)
-    if not kws:
-        return F.array().cast("array<string>")
-    if len(kws) > MAX_INLINE_KEYWORDS:
-        return _dictionary_hits(kws)(F.lower(F.col(title)), F.lower(F.col(selftext)))
-    low = [k.lower() for k in kws]
-    tag = string_map(low, kws)
     texts = F.array(F.struct(F.lower(F.col(title)).alias("t"), F.lower(F.col(selftext)).alias("s")))
     found = F.transform(texts, lambda p: F.filter(
-        string_array(low), lambda k: F.contains(p["t"], k) | F.contains(p["s"], k)))
-    return F.transform(F.get(found, 0), lambda k: F.element_at(tag, k))
+        _keyword_entries(keywords), lambda k: F.contains(p["t"], k["needle"]) | F.contains(p["s"], k["needle"])))
+    return F.transform(F.get(found, 0), lambda k: k["tag"])
 
 
 def tag_keywords(df: DataFrame, keywords: list[str], column: str = "keyword") -> DataFrame:
@@ -103,28 +90,18 @@ def tag_keywords(df: DataFrame, keywords: list[str], column: str = "keyword") ->
 
     The keyword list is inlined and exploded next to each post; title and
     selftext are lower-cased once per post, below the ``Generate``, and the
-    match is a codegen'd ``contains`` filter over the generated rows: no join
-    and no shuffle. (This measured 5-15% faster than exploding the
-    ``keyword_hits`` array, whose per-keyword lambda is interpreted; the
-    array pays off only where a post must be processed once, see
-    ``posts_with_keywords``.) Long lists use the automaton's hits array,
-    exploded with ``explode_outer`` plus a null filter so that no inferred
-    ``size() > 0`` filter is pushed below and matched twice.
+    match is a codegen'd ``contains`` filter over the generated rows: no join,
+    no shuffle, no Python, whatever the length of the list. (This measured
+    5-15% faster than exploding the ``keyword_hits`` array, whose per-keyword
+    lambda is interpreted; the array pays off only where a post must be
+    processed once, see ``posts_with_keywords``.)
     """
-    kws = normalize_keywords(keywords)
-    if len(kws) > MAX_INLINE_KEYWORDS:
-        hits = df.select("*", keyword_hits(kws).alias("_hits"))
-        return (hits.select("*", F.explode_outer("_hits").alias(column))
-                .where(F.col(column).isNotNull()).drop("_hits"))
-    if not kws:
-        return df.where(F.lit(False)).withColumn(column, F.lit(None).cast("string"))
-    low = [k.lower() for k in kws]
     lowered = df.select(
         "*", F.lower(F.col("title")).alias("_lt"), F.lower(F.col("selftext")).alias("_ls"),
-    ).select("*", F.explode(string_array(low)).alias("_k"))
-    k = F.col("_k")
+    ).select("*", F.explode(_keyword_entries(keywords)).alias("_k"))
+    k = F.col("_k.needle")
     matched = lowered.where(F.contains(F.col("_lt"), k) | F.contains(F.col("_ls"), k))
-    return matched.withColumn(column, F.element_at(string_map(low, kws), k)).drop("_lt", "_ls", "_k")
+    return matched.withColumn(column, F.col("_k.tag")).drop("_lt", "_ls", "_k")
 
 
 def posts_with_keywords(df: DataFrame, keywords: list[str], column: str = "keywords") -> DataFrame:
@@ -146,12 +123,27 @@ def merge_buckets(df: DataFrame, fan_in: int = TOPK_FAN_IN) -> int:
     Taken from Catalyst's size estimate of the plan (no job runs).
     """
     size = estimated_bytes(df)
-    if size is None:
-        return 1
+    if size is None:  # unknown: assume large
+        return TOPK_MAX_BUCKETS
     splits = max(1, -(-size // max_partition_bytes(df.sparkSession)))
     return min(TOPK_MAX_BUCKETS, max(1, -(-splits // fan_in)))
 
 
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def _plan_group_limits(spark: SparkSession, k: int) -> None:
+    """Let Spark plan its partial limits (per task, before the shuffle) up to ``k``.
+
+    The threshold (1000 by default, -1 for off) decides whether a row-number
+    filter is pruned in each task or shuffles every row; it never changes a
+    result, so the session's value is raised to what is asked for.
+    """
+    now = int(spark.conf.get(_GROUP_LIMIT, "1000"))
+    if now < k:
+        spark.conf.set(_GROUP_LIMIT, str(k))
+
+
 def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None,
           buckets: int | None = None) -> DataFrame:
     """The first ``k`` rows in ``order`` (per group of ``by``), without a hot task.
@@ -162,11 +154,13 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
     than one bucket a first level ranks within (group, map partition modulo
     buckets), so each task merges a bounded fan-in of partitions, and the
     final level sees at most k x buckets rows per group. Both levels get a
-    partial ``WindowGroupLimit`` before their shuffle. The bucket is the map
-    task's partition id, stable under task retries.
+    partial ``WindowGroupLimit`` before their shuffle, for any ``k``
+    (``_plan_group_limits``). The bucket is the map task's partition id,
+    stable under task retries.
     """
     by = list(by or [])
     buckets = merge_buckets(df) if buckets is None else buckets
+    _plan_group_limits(df.sparkSession, k)
     out = df
     if buckets > 1:
         w1 = Window.partitionBy(*by, "_bucket").orderBy(*order)
@@ -183,48 +177,6 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
     return out.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_rn")
 
 
-_AUTOMATA: dict = {}
-
-
-def _automaton(words: tuple[str, ...]):
-    """Aho-Corasick automaton over lower-cased keywords, built once per worker."""
-    key = hash(words)
-    if key not in _AUTOMATA:
-        import ahocorasick
-        automaton = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            automaton.add_word(w, i)
-        automaton.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = automaton
-    return _AUTOMATA[key]
-
-
-def _dictionary_hits(kws: list[str]):
-    """Keyword hits for long lists: one Aho-Corasick pass per text, not one scan per keyword.
-
-    Lower-casing stays in Spark (same text as the inline path). The matcher
-    is an Arrow-batched pandas UDF over Spark's partitions; the keyword list
-    travels with the UDF (PySpark broadcasts large closures).
-    """
-    words = tuple(k.lower() for k in kws)
-    tags = list(kws)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def matched(titles: pd.Series, bodies: pd.Series) -> pd.Series:
-        automaton = _automaton(words)
-        out = []
-        for title, body in zip(titles, bodies):
-            found = set()
-            for text in (title, body):
-                if isinstance(text, str):
-                    found.update(i for _, i in automaton.iter(text))
-            out.append([tags[i] for i in sorted(found)])
-        return pd.Series(out)
-
-    return matched
-
-
 def top_per_keyword(df: DataFrame, limit: int | None = DEFAULT_LIMIT,
                     column: str = "keyword", buckets: int | None = None) -> DataFrame:
     """L1: at most ``limit`` posts per keyword, by score desc then id.
@@ -248,18 +200,15 @@ def search_posts(df: DataFrame, forum: str | None, keyword: str,
 
 def keyword_union(df: DataFrame, keywords: list[str], forum: str | None = None,
                   limit: int | None = DEFAULT_LIMIT, column: str = "keyword") -> DataFrame:
-    """Per-keyword results unioned by name, duplicates kept.
+    """Per-keyword results together, duplicates kept, in one scan of the posts.
 
-    The reference's shape (one scan per keyword); ``tag_keywords`` +
-    ``top_per_keyword`` give the same rows with one scan.
+    The same rows as one search per list entry, unioned.
     """
-    parts = [search_posts(df, forum, k, limit).withColumn(column, F.lit(k))
-             for k in normalize_keywords(keywords)]
-    if not parts:
-        return df.select(*POST_COLUMNS).where(F.lit(False)).withColumn(column, F.lit(None).cast("string"))
-    return reduce(DataFrame.unionByName, parts)
+    tagged = top_per_keyword(tag_keywords(by_forum(df, forum), keywords), limit, column)
+    return tagged.select(*POST_COLUMNS, column)
 
 
-def newest(df: DataFrame, limit: int = NEWEST_LIMIT, buckets: int | None = None) -> DataFrame:
-    """The newest posts (created_utc desc, id), via the two-level ``top_k``."""
-    return top_k(df, limit, [F.col("created_utc").desc(), F.col("id").asc()], buckets=buckets)
+def newest(df: DataFrame, limit: int = NEWEST_LIMIT, buckets: int | None = None,
+           forum: str | None = None) -> DataFrame:
+    """The newest posts (created_utc desc, id) of a forum, or of all, via the two-level ``top_k``."""
+    return top_k(by_forum(df, forum), limit, [F.col("created_utc").desc(), F.col("id").asc()], buckets=buckets)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from postlens.operators.scoring import NEGATIVE_WORDS, POSITIVE_WORDS
 from postlens.plans.registry import (
-    KEYWORDS, REPORT_KEYWORD, SEARCH_FORUM, SEARCH_KEYWORD,
+    GIVEN_KEYWORDS, KEYWORDS, LONG_TEXT, MANY_KEYWORDS, REPORT_KEYWORD, SEARCH_FORUM, SEARCH_KEYWORD,
 )
 
 # RE2 forms of the URL and cleaning patterns, and the token delimiter.
@@ -56,12 +56,17 @@ POSTS = """posts AS (
   LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON c.conv_id = d.doc_id
 )"""
 
-KW_VALUES = ", ".join(f"({_quote(k)})" for k in KEYWORDS)
-KW = f"kw AS (SELECT keyword FROM (VALUES {KW_VALUES}) t(keyword))"
+def keyword_table(keywords) -> str:
+    values = ", ".join(f"({_quote(k)})" for k in keywords)
+    return f"kw AS (SELECT keyword FROM (VALUES {values}) t(keyword))"
+
+
+KW = keyword_table(KEYWORDS)
 
 TAGGED = """tagged AS (
-  SELECT p.*, k.keyword FROM posts p JOIN kw k
-    ON contains(lower(p.title), lower(k.keyword)) OR contains(lower(p.selftext), lower(k.keyword))
+  SELECT p.*, k.keyword FROM posts p JOIN (
+    SELECT keyword, lower(regexp_replace(keyword, '^[ \\t\\n\\r\\v\\f]+|[ \\t\\n\\r\\v\\f]+$', '', 'g')) AS needle FROM kw) k
+    ON k.needle <> '' AND (contains(lower(p.title), k.needle) OR contains(lower(p.selftext), k.needle))
 )"""
 
 # Scorer A and B over every post's cleaned text: scores(id, lexicon_score, sentiment1, nb_score, sentiment2)
@@ -90,7 +95,7 @@ tstats AS (
     ln((a + 1) / (n1 + 2)) - ln((b + 1) / (n0 + 2)) AS w
   FROM tq
 ),
-vocab AS (SELECT token, a, b, z, w FROM tstats WHERE z >= 4 ORDER BY z DESC, token LIMIT 200),
+vocab AS (SELECT token, a, b, z, w FROM tstats WHERE z >= 4),
 nbsum AS (
   SELECT x.id, sum(v.w) AS total
   FROM (SELECT id, unnest(list_distinct(toks)) AS token FROM cpt) x JOIN vocab v ON v.token = x.token
@@ -146,6 +151,9 @@ MATCH = (f"(contains(lower(title), lower({_quote(SEARCH_KEYWORD)})) "
 SQL: dict[str, str] = {
     "posts_scan": _with(POSTS) + f"SELECT {POST_COLS} FROM posts",
     "newest_posts": _with(POSTS) + f"SELECT {POST_COLS} FROM posts ORDER BY created_utc DESC, id LIMIT 100",
+    "newest_posts_of_forum": _with(POSTS) + (
+        f"SELECT {POST_COLS} FROM posts WHERE forum = {_quote(SEARCH_FORUM)} ORDER BY created_utc DESC, id LIMIT 100"),
+    "stored_posts": _with(POSTS) + f"SELECT {POST_COLS} FROM posts",
     "head_posts": _with(POSTS) + f"SELECT {POST_COLS} FROM posts ORDER BY id LIMIT 5",
     "search_posts": _with(POSTS) + (
         f"SELECT {POST_COLS} FROM posts WHERE forum = {_quote(SEARCH_FORUM)} AND {MATCH} "
@@ -159,12 +167,15 @@ SQL: dict[str, str] = {
     "keyword_union": _with(*BASE) + (
         "SELECT keyword, id, score, title FROM tagged "
         "QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY score DESC, id) <= 50"),
-    "posts_per_keyword": _with(*BASE) + (
+    "posts_per_keyword": _with(POSTS, keyword_table(GIVEN_KEYWORDS), TAGGED) + (
         "SELECT k.keyword, CAST(count(t.id) AS BIGINT) AS n_posts FROM kw k "
         "LEFT JOIN tagged t ON t.keyword = k.keyword GROUP BY k.keyword"),
-    "empty_keyword": _with(*BASE) + (
+    "empty_keyword": _with(POSTS, keyword_table(GIVEN_KEYWORDS), TAGGED) + (
         "SELECT k.keyword, count(t.id) = 0 AS is_empty FROM kw k "
         "LEFT JOIN tagged t ON t.keyword = k.keyword GROUP BY k.keyword"),
+    "many_keywords": _with(POSTS, keyword_table(MANY_KEYWORDS), TAGGED) + (
+        "SELECT k.keyword, CAST(count(t.id) AS BIGINT) AS n_posts FROM kw k "
+        "LEFT JOIN tagged t ON t.keyword = k.keyword GROUP BY k.keyword"),
     "strip_urls": (
         f"SELECT page_id, regexp_replace(url, '{URL_RE2}', '', 'g') AS url_clean, "
         f"regexp_replace(html, '{URL_RE2}', '', 'g') AS html_clean FROM pages"),
@@ -180,16 +191,21 @@ SQL: dict[str, str] = {
     "sentiment_first": _with(POSTS, SCORES) + "SELECT id, sentiment1, sentiment2 FROM labelled",
     "score_posts": _with(POSTS, SCORES, SCORED_POSTS) + "SELECT * FROM scored_posts",
     "score_join_by_id": _with(POSTS, SCORES, SCORED_POSTS) + "SELECT * FROM scored_posts",
+    "score_any_transformer": _with(POSTS, SCORES) + (
+        f"SELECT l.id, l.sentiment1, CASE WHEN length(c.text) > {LONG_TEXT} THEN 'pos' ELSE 'neg' END AS sentiment2 "
+        "FROM labelled l JOIN cp c ON c.id = l.id"),
     "title_join_fanout": _with(POSTS) + (
-        "SELECT p.title, count(*) AS n FROM posts p JOIN posts a ON a.title = p.title "
+        "SELECT p.title, CAST(count(*) AS VARCHAR) AS n FROM posts p JOIN posts a ON a.title = p.title "
         "JOIN posts b ON b.title = p.title GROUP BY p.title"),
     "title_join_labels": _with(POSTS, SCORES) + (
-        "SELECT p.title, a.sentiment1, b.sentiment2, count(*) AS n_rows "
+        "SELECT p.title, a.sentiment1, b.sentiment2, CAST(count(*) AS VARCHAR) AS n_rows "
         "FROM posts p JOIN (SELECT q.title, l.sentiment1 FROM posts q JOIN labelled l ON l.id = q.id) a "
         "ON a.title = p.title "
         "JOIN (SELECT q.title, l.sentiment2 FROM posts q JOIN labelled l ON l.id = q.id) b "
         "ON b.title = p.title GROUP BY p.title, a.sentiment1, b.sentiment2"),
     "analyze_keywords": _with(*TOP_SCORED) + "SELECT * EXCLUDE (agreement) FROM flagged",
+    "analyze_keywords_of_forum": _with(POSTS, KW, TAGGED.replace("FROM posts p", f"FROM (SELECT * FROM posts WHERE forum = {_quote(SEARCH_FORUM)}) p"),
+                                       SCORES, scored_keywords(50)) + "SELECT * EXCLUDE (agreement) FROM flagged",
     "agreement_flag": _with(*ALL_SCORED) + "SELECT keyword, id, sentiment1, sentiment2, agreement FROM flagged",
     "agreement_counts": _with(*ALL_SCORED) + "SELECT agreement, count(*) AS n_posts FROM flagged GROUP BY agreement",
     "agreement_for_keyword": _with(*ALL_SCORED) + (
@@ -209,20 +225,37 @@ SQL: dict[str, str] = {
         "SELECT link_flair_text AS flair, count(*) AS n_posts FROM "
         "(SELECT * FROM posts ORDER BY created_utc DESC, id LIMIT 100) "
         "WHERE link_flair_text IS NOT NULL AND link_flair_text <> '' GROUP BY link_flair_text"),
+    "flair_counts_of_forum": _with(POSTS) + (
+        "SELECT link_flair_text AS flair, count(*) AS n_posts FROM "
+        f"(SELECT * FROM posts WHERE forum = {_quote(SEARCH_FORUM)} ORDER BY created_utc DESC, id LIMIT 100) "
+        "WHERE link_flair_text IS NOT NULL AND link_flair_text <> '' GROUP BY link_flair_text"),
+    "json_text": _with(POSTS) + (
+        "SELECT id, title, author, CAST(score AS VARCHAR) AS score, url, selftext, "
+        "CAST(num_comments AS VARCHAR) AS num_comments FROM posts"),
+    "timestamp_message": _with(POSTS) + (
+        f"SELECT title, author, score, id, url, {ts('created_utc')} AS created_utc, selftext, num_comments FROM posts"),
     "json_encode": _with(POSTS) + f"SELECT {POST_COLS} FROM posts",
     "json_decode": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "bounded_topic_read": _with(POSTS) + (
         f"SELECT title, author, score, id, url, created_utc, {clean('selftext')} AS selftext, num_comments "
         "FROM posts ORDER BY doc_id LIMIT 100"),
+    "bounded_reads_continue": _with(POSTS) + (
+        f"SELECT title, author, score, id, url, created_utc, {clean('selftext')} AS selftext, num_comments, "
+        "CAST(CASE WHEN row_number() OVER (ORDER BY doc_id) <= 100 THEN 1 ELSE 2 END AS INTEGER) AS call "
+        "FROM posts ORDER BY doc_id LIMIT 200"),
     "topic_scored": _with(POSTS, SCORES) + (
         f"SELECT p.title, p.author, p.score, p.id, p.url, p.created_utc, {clean('p.selftext')} AS selftext, "
         "p.num_comments, l.sentiment1, l.sentiment2 "
         "FROM posts p JOIN labelled l ON l.id = p.id ORDER BY p.doc_id LIMIT 100"),
     "csv_roundtrip": _with(*ALL_SCORED) + (
-        "SELECT nullif(title, '') AS title, nullif(author, '') AS author, score, id, nullif(url, '') AS url, "
-        "created_utc, nullif(selftext, '') AS selftext, num_comments, sentiment1, sentiment2, keyword FROM scored"),
+        "SELECT title, author, score, id, url, created_utc, selftext, num_comments, sentiment1, sentiment2, keyword FROM scored"),
+    "csv_skip_bad_lines": (
+        "SELECT doc_id, source, CASE WHEN lang IN ('de', 'es') THEN NULL ELSE CAST(n_chars AS VARCHAR) END AS n_chars "
+        "FROM documents WHERE lang IS DISTINCT FROM 'fr'"),
     "report_export": _with(*ALL_SCORED) + (
         "SELECT CAST(row_number() OVER (ORDER BY keyword, id) - 1 AS BIGINT) AS row_index, keyword, id, "
-        "nullif(title, '') AS title, sentiment1, sentiment2, agreement FROM flagged"),
+        "title, sentiment1, sentiment2, agreement FROM flagged"),
     "stream_to_table": _with(POSTS, SCORES, SCORED_POSTS) + "SELECT id, title, sentiment1, sentiment2 FROM scored_posts",
+    "stream_two_runs": _with(POSTS, SCORES, SCORED_POSTS) + "SELECT id, title, sentiment1, sentiment2 FROM scored_posts",
+    "plain_stream_decode": _with(POSTS, SCORES, SCORED_POSTS) + "SELECT title, sentiment1, sentiment2 FROM scored_posts",
 }

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,27 +26,37 @@ from postlens.operators.scoring import (
 from postlens.operators.search import (
     keyword_union, newest, search_posts, tag_keywords, top_k, top_per_keyword,
 )
-from postlens.plans.analysis import analyze_keywords, clean_posts, search_posts_clean
-from postlens.schemas import POST, POST_COLUMNS
-from postlens.session import scratch_path
+from postlens.plans.analysis import analyze_keywords, clean_posts, search_posts_clean, with_timestamp
+from postlens.schemas import POST, POST_COLUMNS, POST_TS
+from postlens.session import checkpoint_root, scratch_path
 from postlens.sources import files, topic
 from postlens.sources.posts import (
-    attach_comment_counts, keyword_frame, load_fixture_posts, spread_small_input,
+    attach_comment_counts, keyword_frame, load_fixture_posts, project_post, read_posts, spread_small_input,
+    store_posts,
 )
-from postlens.streaming.sink import TABLE_COLUMNS, run_stream_to_table
+from postlens.streaming.sink import TABLE_COLUMNS, decode_stream, run_stream_to_table, write_table
 
 # Fixed values of the test set-up: keywords that occur in the fixture text
 # (the reference's own keywords do not), the forum and keyword of the
 # single-search queries, the keyword of the per-keyword report and the
 # topic name.
 KEYWORDS = ["Worthless", "idiot", "license", "that", "mystery"]
+# The same keyword padded and in another case: each entry counts on its own.
+GIVEN_KEYWORDS = [*KEYWORDS, " that", "That\t", " "]
+# More keywords than any plan switch ever inlined.
+MANY_KEYWORDS = [a + b for a in ("th", "er", "in", "an", "on", "at") for b in ("ou", "es", "ing", "ed", "ha", "re", "le", "QZ")]
 SEARCH_FORUM = "src1"
 SEARCH_KEYWORD = "that"
 REPORT_KEYWORD = "idiot"
 TOPIC = "posts"
+LONG_TEXT = 1000
 
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 
+# Labelled rows that scorer B is trained on, at most (in the order of a hash of
+# their id); bounds the model.
+TRAIN_ROWS = 50_000
+
 _models: dict = {}
 
 
@@ -58,9 +69,10 @@ def _conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned post text with its ``toxic`` label, for every labelled post."""
+    """Cleaned post text with its ``toxic`` label, for at most ``TRAIN_ROWS`` labelled posts."""
     labels = (spark.read.parquet(f"{sf}/labels.parquet")
-              .select(F.col("doc_id").cast("string").alias("id"), "toxic"))
+              .select(F.col("doc_id").cast("string").alias("id"), "toxic")
+              .orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS))
     labelled = _posts(spark, sf).select("id", "selftext").join(labels, "id")
     return clean_posts(labelled).select(F.col("selftext").alias("text"), "toxic")
 
@@ -73,23 +85,37 @@ def _session_key(spark: SparkSession) -> str:
         return f"session-{id(spark)}"
 
 
+def _inputs_version(spark: SparkSession, sf: str) -> tuple:
+    """Changes whenever a file of the training tables does."""
+    meta = [spark.read.parquet(f"{sf}/{t}.parquet").select("_metadata.file_path", "_metadata.file_modification_time")
+            for t in ("documents", "labels")]
+    row = meta[0].unionByName(meta[1]).agg(
+        F.count_distinct("file_path"), F.max("file_modification_time"), F.count(F.lit(1))).first()
+    return tuple(row)
+
+
 def scorer_b(spark: SparkSession, sf: str):
-    """Scorer B fitted on the labelled rows (once per application and folder).
+    """Scorer B fitted on the labelled rows (once per application, folder and file version).
 
     The model holds a persisted frame of its session, so a model of another
-    (stopped) session is fitted again rather than reused.
+    (stopped) session, or of replaced files, is released and fitted again.
     """
-    key = (_session_key(spark), sf)
-    model = _models.get(key)
-    if model is None or (model.statistics is not None and model.statistics.sparkSession is not spark):
-        model = _models[key] = NaiveBayesScorer().fit(training_rows(spark, sf))
+    key, version = (_session_key(spark), sf), _inputs_version(spark, sf)
+    held = _models.get(key)
+    if held is not None and held[0] == version and (
+            held[1].statistics is None or held[1].statistics.sparkSession is spark):
+        return held[1]
+    if held is not None and held[0] != version:
+        held[1].unpersist()
+    model = NaiveBayesScorer().fit(training_rows(spark, sf))
+    _models[key] = (version, model)
     return model
 
 
 def _scored_keywords(spark: SparkSession, sf: str, limit: int | None,
-                     keywords: list[str] = KEYWORDS) -> DataFrame:
+                     keywords: list[str] = KEYWORDS, forum: str | None = None) -> DataFrame:
     scored = analyze_keywords(_posts(spark, sf), keywords, LexiconScorer(), scorer_b(spark, sf),
-                              limit=limit)
+                              forum=forum, limit=limit)
     return attach_comment_counts(scored, _conversations(spark, sf))
 
 
@@ -110,6 +136,18 @@ def q_newest_posts(spark, sf):
     return attach_comment_counts(recent, _conversations(spark, sf))
 
 
+def q_newest_posts_of_forum(spark, sf):
+    recent = newest(_posts(spark, sf), 100, forum=SEARCH_FORUM).select(*POST_COLUMNS)
+    return attach_comment_counts(recent, _conversations(spark, sf))
+
+
+def q_stored_posts(spark, sf):
+    """A posts table written, read back with its fixed schema and projected to post rows."""
+    path = scratch_path(spark, "posts")
+    store_posts(_posts(spark, sf, comments=True), path)
+    return project_post(read_posts(spark, path))
+
+
 def q_head_posts(spark, sf):
     head = top_k(_posts(spark, sf), 5, [F.col("id").asc()]).select(*POST_COLUMNS)
     return attach_comment_counts(head, _conversations(spark, sf))
@@ -135,13 +173,19 @@ def q_keyword_union(spark, sf):
 
 
 def q_posts_per_keyword(spark, sf):
-    tagged = tag_keywords(_posts(spark, sf), KEYWORDS)
-    return report.posts_per_keyword(tagged, keyword_frame(spark, KEYWORDS))
+    tagged = tag_keywords(_posts(spark, sf), GIVEN_KEYWORDS)
+    return report.posts_per_keyword(tagged, keyword_frame(spark, GIVEN_KEYWORDS))
 
 
 def q_empty_keyword(spark, sf):
-    tagged = tag_keywords(_posts(spark, sf), KEYWORDS)
-    return report.empty_keywords(tagged, keyword_frame(spark, KEYWORDS))
+    tagged = tag_keywords(_posts(spark, sf), GIVEN_KEYWORDS)
+    return report.empty_keywords(tagged, keyword_frame(spark, GIVEN_KEYWORDS))
+
+
+def q_many_keywords(spark, sf):
+    """Posts per keyword of a list longer than a hand-written one."""
+    tagged = tag_keywords(_posts(spark, sf), MANY_KEYWORDS)
+    return report.posts_per_keyword(tagged, keyword_frame(spark, MANY_KEYWORDS))
 
 
 # --- scalar functions ---------------------------------------------------------
@@ -204,7 +248,9 @@ def q_score_posts(spark, sf):
 
 
 def q_score_join_by_id(spark, sf):
-    posts = clean_posts(_posts(spark, sf).select(*POST_COLUMNS))
+    # cleaned once: the posts and both label tables read the written rows
+    checkpoint_root(spark)
+    posts = clean_posts(_posts(spark, sf).select(*POST_COLUMNS)).checkpoint(eager=True)
     l1 = label_only(posts, LexiconScorer(), "sentiment1")
     l2 = label_only(posts, scorer_b(spark, sf), "sentiment2")
     joined = join_scores_by_id(posts, l1, l2).select(*POST_COLUMNS, "sentiment1", "sentiment2")
@@ -212,18 +258,32 @@ def q_score_join_by_id(spark, sf):
 
 
 def q_title_join_fanout(spark, sf):
-    return title_fanout(_posts(spark, sf))
+    # an exact decimal(38,0), shown as text
+    return title_fanout(_posts(spark, sf)).withColumn("n", F.col("n").cast("string"))
 
 
 def q_title_join_labels(spark, sf):
     cleaned = clean_posts(_posts(spark, sf).select("title", "selftext"))
-    return title_join_labels(score_posts(cleaned, LexiconScorer(), scorer_b(spark, sf)))
+    counted = title_join_labels(score_posts(cleaned, LexiconScorer(), scorer_b(spark, sf)))
+    return counted.withColumn("n_rows", F.col("n_rows").cast("string"))
 
 
 def q_analyze_keywords(spark, sf):
     return _scored_keywords(spark, sf, limit=50)
 
 
+def q_analyze_keywords_of_forum(spark, sf):
+    return _scored_keywords(spark, sf, limit=50, forum=SEARCH_FORUM)
+
+
+def q_score_any_transformer(spark, sf):
+    """Scorer B replaced by a stock Spark ML transformer with the same contract."""
+    rule = SQLTransformer(statement=f"""SELECT *, array(named_struct('result',
+        CASE WHEN length(text) > {LONG_TEXT} THEN 'pos' ELSE 'neg' END, 'score', 1.0D)) AS sentiment FROM __THIS__""")
+    cleaned = clean_posts(_posts(spark, sf).select(*POST_COLUMNS))
+    return score_posts(cleaned, LexiconScorer(), rule).select("id", "sentiment1", "sentiment2")
+
+
 # --- report -------------------------------------------------------------------
 
 def q_agreement_flag(spark, sf):
@@ -259,6 +319,10 @@ def q_flair_counts(spark, sf):
     return report.flair_counts(_posts(spark, sf))
 
 
+def q_flair_counts_of_forum(spark, sf):
+    return report.flair_counts(_posts(spark, sf), forum=SEARCH_FORUM)
+
+
 # --- JSON, topic, CSV, stream ------------------------------------------------
 
 def q_json_encode(spark, sf):
@@ -268,6 +332,21 @@ def q_json_encode(spark, sf):
     return topic.decode_messages(messages, POST)
 
 
+def q_json_text(spark, sf):
+    """The text of each message, field by field, read by a JSON path and not by our own decoder."""
+    messages = topic.to_messages(_posts(spark, sf, comments=True).select(*POST_COLUMNS), TOPIC)
+    text = F.col("value").cast("string")
+    return messages.select(*[F.get_json_object(text, f"$.{c}").alias(c)
+                             for c in ("id", "title", "author", "score", "url", "selftext", "num_comments")])
+
+
+def q_timestamp_message(spark, sf):
+    """Posts whose ``created_utc`` is a timestamp, through a topic and back."""
+    target = scratch_path(spark, "topic")
+    topic.send(with_timestamp(_posts(spark, sf, comments=True).select(*POST_COLUMNS)), TOPIC, target=target)
+    return topic.read_bounded(spark, TOPIC, POST_TS, target=target, max_messages=None)
+
+
 def q_json_decode(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     return events.select("event_id", decode_json("props", PROPS).getField("k").alias("k"))
@@ -286,6 +365,15 @@ def q_bounded_topic_read(spark, sf):
     return topic.read_bounded(spark, TOPIC, POST, target=target, max_messages=100)
 
 
+def q_bounded_reads_continue(spark, sf):
+    """Two bounded reads of one consumer group: the second goes on where the first ended."""
+    target, store = _publish_posts(spark, sf), scratch_path(spark, "position")
+    read = lambda: topic.read_bounded(spark, TOPIC, POST, target=target, max_messages=100,
+                                      group_id="readers", position_store=store)
+    first = read().withColumn("call", F.lit(1))
+    return first.unionByName(read().withColumn("call", F.lit(2)))
+
+
 def q_topic_scored(spark, sf):
     """The transport flow: cleaned posts to the topic, a bounded read, both scorers.
 
@@ -305,6 +393,21 @@ def q_csv_roundtrip(spark, sf):
     return files.read_csv(spark, path, schema)
 
 
+def q_csv_skip_bad_lines(spark, sf):
+    """S7 over lines with too many fields (fr), too few (de) and a bad number (es)."""
+    path = scratch_path(spark, "lines")
+    text, lang = F.col("doc_id").cast("string"), F.col("lang")
+    line = (F.when(lang == "fr", F.concat_ws(",", text, "source", F.col("n_chars").cast("string"), F.lit("x")))
+            .when(lang == "de", F.concat_ws(",", text, "source"))
+            .when(lang == "es", F.concat_ws(",", text, "source", F.lit("many")))
+            .otherwise(F.concat_ws(",", text, "source", F.col("n_chars").cast("string"))))
+    spark.read.parquet(f"{sf}/documents.parquet").select(line.alias("value")).write.text(path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()),
+                           T.StructField("n_chars", T.LongType())])
+    rows = files.read_csv(spark, path, schema, skip_bad_lines=True, header=False)
+    return rows.withColumn("n_chars", F.col("n_chars").cast("string"))
+
+
 def q_report_export(spark, sf):
     path = scratch_path(spark, "report")
     scored = report.with_agreement(_scored_keywords(spark, sf, limit=None)).select(
@@ -314,52 +417,63 @@ def q_report_export(spark, sf):
     return files.read_csv(spark, path, schema)
 
 
-def q_stream_to_table(spark, sf):
-    source = _publish_posts(spark, sf)
+def _stream_table(spark: SparkSession, sources: list[str], write) -> DataFrame:
+    """The table that ``write(source, table, base)`` streams into, one run per source.
+
+    The name goes from the catalog at once; the files stay for the reader.
+    """
     base = scratch_path(spark, "stream")
     table = "postlens_stream_" + base.rsplit("-", 1)[-1]
+    for source in sources:
+        write(source, table, base)
+        columns = spark.read.table(table).schema
+        spark.sql(f"DROP TABLE {table}")
+    return spark.read.schema(columns).parquet(f"{base}/table")
+
+
+def q_stream_to_table(spark, sf):
     # messages hold cleaned posts (as the search step publishes them): score only
-    run_stream_to_table(spark, TOPIC, table, f"{base}/table", f"{base}/checkpoint",
-                        LexiconScorer(), scorer_b(spark, sf), source=source, timeout_seconds=600,
-                        clean=False)
-    return spark.read.table(table).select(*TABLE_COLUMNS)
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "posts_scan": q_posts_scan,
-    "newest_posts": q_newest_posts,
-    "head_posts": q_head_posts,
-    "search_posts": q_search_posts,
-    "search_posts_clean": q_search_posts_clean,
-    "top_posts_per_keyword": q_top_posts_per_keyword,
-    "keyword_union": q_keyword_union,
-    "posts_per_keyword": q_posts_per_keyword,
-    "empty_keyword": q_empty_keyword,
-    "strip_urls": q_strip_urls,
-    "clean_text": q_clean_text,
-    "created_ts": q_created_ts,
-    "score_lexicon": q_score_lexicon,
-    "train_nb": q_train_nb,
-    "score_nb": q_score_nb,
-    "sentiment_result": q_sentiment_result,
-    "sentiment_first": q_sentiment_first,
-    "score_posts": q_score_posts,
-    "score_join_by_id": q_score_join_by_id,
-    "title_join_fanout": q_title_join_fanout,
-    "title_join_labels": q_title_join_labels,
-    "analyze_keywords": q_analyze_keywords,
-    "agreement_flag": q_agreement_flag,
-    "agreement_counts": q_agreement_counts,
-    "agreement_for_keyword": q_agreement_for_keyword,
-    "agreement_by_keyword": q_agreement_by_keyword,
-    "sentiment_by_keyword": q_sentiment_by_keyword,
-    "keyword_options": q_keyword_options,
-    "flair_counts": q_flair_counts,
-    "json_encode": q_json_encode,
-    "json_decode": q_json_decode,
-    "bounded_topic_read": q_bounded_topic_read,
-    "topic_scored": q_topic_scored,
-    "csv_roundtrip": q_csv_roundtrip,
-    "report_export": q_report_export,
-    "stream_to_table": q_stream_to_table,
-}
+    def write(source, table, base):
+        run_stream_to_table(spark, TOPIC, table, f"{base}/table", f"{base}/checkpoint",
+                            LexiconScorer(), scorer_b(spark, sf), source=source, clean=False)
+
+    return _stream_table(spark, [_publish_posts(spark, sf)], write).select(*TABLE_COLUMNS)
+
+
+def q_stream_two_runs(spark, sf):
+    """Posts arrive in two lots; each run catches up on one checkpoint, one file per trigger."""
+    target = scratch_path(spark, "topic")
+    posts = clean_posts(_posts(spark, sf, comments=True).select(*POST_COLUMNS, "forum"))
+    lots = {"first": F.col("forum") < "src2", "second": ~F.coalesce(F.col("forum") < "src2", F.lit(False))}
+
+    def write(lot, table, base):
+        topic.send(posts.where(lots[lot]).drop("forum"), TOPIC, target=target)
+        run_stream_to_table(spark, TOPIC, table, f"{base}/table", f"{base}/checkpoint", LexiconScorer(),
+                            scorer_b(spark, sf), source=target, clean=False, max_per_trigger=1)
+
+    return _stream_table(spark, list(lots), write).select(*TABLE_COLUMNS)
+
+
+def q_plain_stream_decode(spark, sf):
+    """The three-column decode of a stream of already scored posts."""
+    target = scratch_path(spark, "topic")
+    topic.send(_scored_posts(spark, sf), TOPIC, target=target)
+
+    def write(source, table, base):
+        stream = decode_stream(topic.subscribe(spark, TOPIC, target=source))
+        write_table(stream, table, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+
+    return _stream_table(spark, [target], write)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.removeprefix("q_"): f for f in (
+    q_posts_scan, q_stored_posts, q_newest_posts, q_newest_posts_of_forum, q_head_posts, q_search_posts,
+    q_search_posts_clean, q_top_posts_per_keyword, q_keyword_union, q_posts_per_keyword, q_empty_keyword,
+    q_many_keywords, q_strip_urls, q_clean_text, q_created_ts, q_score_lexicon, q_train_nb, q_score_nb,
+    q_sentiment_result, q_sentiment_first, q_score_posts, q_score_join_by_id, q_score_any_transformer,
+    q_title_join_fanout, q_title_join_labels, q_analyze_keywords, q_analyze_keywords_of_forum,
+    q_agreement_flag, q_agreement_counts, q_agreement_for_keyword, q_agreement_by_keyword,
+    q_sentiment_by_keyword, q_keyword_options, q_flair_counts, q_flair_counts_of_forum, q_json_encode,
+    q_json_text, q_timestamp_message, q_json_decode, q_bounded_topic_read, q_bounded_reads_continue,
+    q_topic_scored, q_csv_roundtrip, q_csv_skip_bad_lines, q_report_export, q_stream_to_table,
+    q_stream_two_runs, q_plain_stream_decode)}

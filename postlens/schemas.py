@@ -24,11 +24,8 @@ POST_TABLE = T.StructType(POST.fields + [
     T.StructField("link_flair_text", T.StringType()),
 ])
 
-FLAIR = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("created_utc", T.DoubleType()),
-    T.StructField("link_flair_text", T.StringType()),
-])
+# A post as it travels once ``created_utc`` is a timestamp (after C3).
+POST_TS = T.StructType([T.StructField(f.name, T.TimestampNTZType()) if f.name == "created_utc" else f for f in POST.fields])
 
 # A post after scoring and keyword tagging (created_utc is a timestamp by then).
 SCORED_COLUMNS = POST_COLUMNS + ["sentiment1", "sentiment2", "keyword"]
@@ -55,6 +52,3 @@ MESSAGE = T.StructType([
     T.StructField("offset", T.LongType()),
     T.StructField("timestamp", T.TimestampType()),
 ])
-
-# Keyword list as a table.
-KEYWORDS = T.StructType([T.StructField("keyword", T.StringType())])

@@ -100,9 +100,9 @@ def estimated_bytes(df) -> int | None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Read from the session. Only when the session names none (a local test
-    session) is a fresh local folder set as the checkpoint directory, so
-    ``DataFrame.checkpoint`` and the sinks have somewhere to go.
+    Read from the session. A session with a local master that names none (a
+    test) gets a fresh local folder; on a cluster a missing setting is an
+    error, as a local folder of one machine would not be seen by the others.
     """
     root = spark.conf.get(_CHECKPOINT_CONF, None)
     try:
@@ -118,6 +118,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="postlens-ckpt-")
     sc.setCheckpointDir(root)
     return root

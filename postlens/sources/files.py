@@ -1,9 +1,8 @@
 """CSV report sink and source (K2, K3, S6, S7) and the distributed row index.
 
-Options make the round trip lossless apart from one documented case: quotes
-are escaped by doubling (``escape='"'``, what pandas expects) and records may
-span lines (``multiLine``). An empty string is written as ``""`` and read back
-as null, as the pandas reader of the reference would.
+Options make the round trip lossless: quotes are escaped by doubling
+(``escape='"'``, what pandas expects), records may span lines (``multiLine``),
+and null is written as a marker, so that an empty string stays one.
 """
 
 from __future__ import annotations
@@ -14,7 +13,9 @@ from pyspark.sql import types as T
 
 from postlens.session import checkpoint_root
 
-_CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"'}
+# The text that stands for null in a report.
+NULL_MARK = r"\N"
+_CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": NULL_MARK, "emptyValue": ""}
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> None:
@@ -24,14 +25,24 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
-             mode: str = "FAILFAST") -> DataFrame:
-    """Read a CSV report with a fixed schema.
+             skip_bad_lines: bool = False, header: bool = True) -> DataFrame:
+    """Read a CSV report with a fixed schema, strictly.
 
-    ``mode='DROPMALFORMED'`` is S7 (skip bad lines, as ``error_bad_lines=False``);
-    strict ``FAILFAST`` is the default.
+    ``skip_bad_lines`` is S7: as with the reference's reader, a line with too
+    many fields is left out, one with too few gets nulls, and a value that does
+    not fit its type is null. The fields are read as text, with one column
+    more than the schema has; that column is part of the filter, so every
+    column list and ``count()`` sees the same rows.
     """
-    return (spark.read.schema(schema).options(**_CSV_OPTIONS)
-            .option("multiLine", "true").option("mode", mode).csv(path))
+    reader = spark.read.options(**_CSV_OPTIONS).option("multiLine", "true").option("header", str(header).lower())
+    if not skip_bad_lines:
+        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
+    extra = "_too_many"
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
+                        + [T.StructField(extra, T.StringType())])
+    rows = reader.schema(text).option("mode", "PERMISSIVE").csv(path)
+    rows = rows.where(F.col(extra).isNull())
+    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def with_row_index(df: DataFrame, order_by: list, name: str = "row_index") -> DataFrame:
@@ -60,5 +71,10 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_index") -> Da
 
 def export_report(df: DataFrame, path: str, order_by: list, index_name: str = "row_index",
                   single_file: bool = False) -> None:
-    """K3: re-export with a 0-based index as the first column."""
-    write_csv(with_row_index(df, order_by, index_name), path, single_file=single_file)
+    """K3: re-export with a 0-based index as the first column.
+
+    The rows are checkpointed before the sort: a range sort samples its input
+    first, which would compute them twice.
+    """
+    checkpoint_root(df.sparkSession)
+    write_csv(with_row_index(df.checkpoint(eager=True), order_by, index_name), path, single_file=single_file)

@@ -36,6 +36,11 @@ def read_posts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.load(path)
 
 
+def store_posts(posts: DataFrame, path: str) -> None:
+    """A posts table that ``read_posts`` reads."""
+    posts.select(*[f.name for f in POST_TABLE.fields]).write.parquet(path)
+
+
 def project_post(df: DataFrame) -> DataFrame:
     """The eight post columns, author rule applied."""
     return df.select(*[author_text("author").alias("author") if c == "author" else F.col(c)

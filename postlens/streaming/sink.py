@@ -67,8 +67,11 @@ def run_stream_to_table(spark: SparkSession, topic: str, table: str, path: str,
     """Subscribe, decode, clean, score and append to the table.
 
     With the default ``availableNow`` trigger it returns once the stream has
-    caught up (T3 "nothing more to read"); with ``processing_time`` it runs
-    until ``timeout_seconds`` (T3 "time is up") and is then stopped.
+    caught up (T3 "nothing more to read"), however long that takes; when a
+    ``timeout_seconds`` is given and runs out first, the query is stopped and
+    ``TimeoutError`` raised, so a partial table is never taken for a whole one
+    (the checkpoint keeps the position for the next run). With
+    ``processing_time`` it runs until ``timeout_seconds`` (T3 "time is up").
     """
     messages = subscribe(spark, topic, target=source, fmt=fmt,
                          bootstrap_servers=bootstrap_servers, max_per_trigger=max_per_trigger)
@@ -79,6 +82,8 @@ def run_stream_to_table(spark: SparkSession, topic: str, table: str, path: str,
         query.stop()
     if query.exception() is not None:
         raise query.exception()
+    if timeout_seconds and not finished and not processing_time:
+        raise TimeoutError(f"stream into {table} stopped after {timeout_seconds} s before it had caught up")
     return query
 
 
@@ -87,16 +92,24 @@ def publish_stream(stream: DataFrame, topic: str, checkpoint: str, target: str |
                    available_now: bool = True) -> StreamingQuery:
     """K1 on a stream: each row becomes one JSON message, no key.
 
-    A Kafka sink writes ``value`` to ``topic``; a file stand-in appends the
-    full message columns under ``target``.
+    A Kafka sink writes ``value`` to ``topic``. A file stand-in writes each
+    micro-batch to its own folder below ``target`` (a repeated batch replaces
+    itself), with the offsets a broker would assign: increasing from batch to
+    batch, unique in a batch.
     """
-    messages = to_messages(stream, topic, partition=F.lit(0), offset=F.lit(None))
     if fmt == "kafka":
+        messages = to_messages(stream, topic, partition=F.lit(0), offset=F.lit(None))
         writer = messages.select("value").writeStream.format("kafka").options(
             **kafka_sink_options(topic, bootstrap_servers))
     else:
-        writer = messages.writeStream.format(fmt).option("path", target)
-    writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
+        def write(rows: DataFrame, batch: int) -> None:
+            # the low 46 bits hold 2^13 partitions of 2^33 rows
+            offset = F.shiftleft(F.lit(batch).cast("bigint"), 46) + F.monotonically_increasing_id()
+            to_messages(rows, topic, partition=F.lit(0), offset=offset).write.format(fmt).mode("overwrite").save(
+                f"{target}/batch-{batch:012d}")
+
+        writer = stream.writeStream.foreachBatch(write)
+    writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
