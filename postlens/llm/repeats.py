@@ -257,8 +257,9 @@ def find_repeats(docs: DataFrame, kind: type, judge: Callable, finish: Callable,
                     seen[(k, span)] = (me, [False], (first + x, pos, pos + m + width - 1))
                 out.append((k, first + x, me, ths[x], pos, m, span))
         n_out, n_local = len(out), len(local)
-        own = (batch * 0x9E3779B97F4A7C15) % (1 << 64)
-        keys = np.array([r[0] for r in out] + [own] * n_local, U64).view(np.int64)
+        # ranges settled here only pass through: any shard will do
+        passing = mix(np.arange(n_local, dtype=U64) + U64(batch % (1 << 40)) * U64(1 << 24))
+        keys = np.concatenate((np.array([r[0] for r in out], U64), passing)).view(np.int64)
         nulls = [None] * n_local
         return pa.table({
             "key": keys, "sent": pa.array([True] * n_out + [False] * n_local, pa.bool_()), "batch": np.full(n_out + n_local, batch, np.int64),
