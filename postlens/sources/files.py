@@ -15,7 +15,7 @@ from postlens.session import checkpoint_root
 
 # The text that stands for null in a report.
 NULL_MARK = r"\N"
-_CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": NULL_MARK, "emptyValue": ""}
+_CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": NULL_MARK}
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> None:

@@ -37,7 +37,7 @@ def test_json_roundtrip_posts(spark):
 
 def test_encode_timestamp_column(spark):
     df = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, 0, 1),)], "ts timestamp_ntz")
-    assert json.loads(df.select(encode_json()).first()[0]) == {"ts": "2024-01-01T00:00:01.000"}
+    assert json.loads(df.select(encode_json()).first()[0]) == {"ts": "2024-01-01T00:00:01.000000"}
 
 
 def test_csv_roundtrip_cases(spark):
@@ -46,15 +46,83 @@ def test_csv_roundtrip_cases(spark):
     path = scratch_path(spark, "csv-test")
     files.write_csv(spark.createDataFrame(rows, schema), path, single_file=True)
     back = dict(tuple(r) for r in files.read_csv(spark, path, schema).collect())
-    assert back == {0: 'he said "hi", ok', 1: "two\nlines", 2: None, 3: None, 4: "a,b"}
+    assert back == {0: 'he said "hi", ok', 1: "two\nlines", 2: None, 3: "", 4: "a,b"}
 
 
-def test_csv_dropmalformed(spark, tmp_path):
+def test_csv_skip_bad_lines(spark, tmp_path):
+    """Only lines with too many fields go; every way of asking sees the same rows."""
     p = tmp_path / "bad.csv"
-    p.write_text('i,t\n1,ok\nx,bad\n2,fine\n')
+    p.write_text("i,t\n1,ok\nx,bad\n2,fine\n4\n5,a,b\n6,a,b,c\n")
     schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("t", T.StringType())])
-    got = sorted(tuple(r) for r in files.read_csv(spark, str(p), schema, mode="DROPMALFORMED").collect())
-    assert got == [(1, "ok"), (2, "fine")]
+    rows = files.read_csv(spark, str(p), schema, skip_bad_lines=True)
+    want = [(None, "bad"), (1, "ok"), (2, "fine"), (4, None)]
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert sorted((tuple(r) for r in rows.collect()), key=key) == want
+    assert rows.count() == 4
+    assert sorted((r.t for r in rows.select("t").collect()), key=str) == [None, "bad", "fine", "ok"]
+    assert sorted((r.i for r in rows.select("i").collect()), key=str) == [1, 2, 4, None]
+
+
+def test_report_is_computed_once(spark):
+    """The range sort samples its input; the rows it samples are already written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(500).mapInArrow(count, "id long")
+    files.export_report(df, scratch_path(spark, "once"), ["id"])
+    assert seen.value == 500
+
+
+def test_timestamps_survive_a_message(spark):
+    from postlens.plans.analysis import with_timestamp
+    from postlens.schemas import POST_TS
+    posts = with_timestamp(load_fixture_posts(spark, SF_SMALL).select(*[f.name for f in POST.fields]))
+    back = topic.decode_messages(topic.to_messages(posts, "t"), POST_TS)
+    assert back.where("created_utc is null").count() == 0
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, posts.collect()))
+
+
+def test_bounded_reads_continue(spark):
+    posts = load_fixture_posts(spark, SF_SMALL).select(*[f.name for f in POST.fields])
+    target, store = scratch_path(spark, "topic-pos"), scratch_path(spark, "pos")
+    topic.send(posts, "t2", target=target, offset=F.col("id").cast("bigint"))
+    read = lambda group: sorted(int(r.id) for r in topic.read_bounded(
+        spark, "t2", POST, target=target, max_messages=60, group_id=group, position_store=store).collect())
+    assert read("a") == list(range(60)) and read("a") == list(range(60, 120))
+    assert read("b") == list(range(60))
+    rest = read("a") + read("a")
+    assert rest == list(range(120, 200)) and read("a") == []
+
+
+def test_kafka_reads_are_bounded_from_the_position():
+    assert topic.kafka_bounds("t", {}, 100) == ("earliest", "latest")
+    assert topic.kafka_bounds("t", {0: 5, 2: 70}, 100) == ('{"t": {"0": 5, "2": 70}}', '{"t": {"0": 105, "2": 170}}')
+
+
+def test_posts_table_round_trip(spark):
+    from postlens.sources.posts import project_post, read_posts, store_posts
+    posts = load_fixture_posts(spark, SF_SMALL)
+    path = scratch_path(spark, "posts-table")
+    store_posts(posts.withColumn("author", F.when(F.col("id") != "3", F.col("author"))), path)
+    back = read_posts(spark, path)
+    assert back.count() == posts.count()
+    assert project_post(back).where("id = '3'").first().author == "None"
+    assert project_post(back).columns == [f.name for f in POST.fields]
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+    from postlens.session import checkpoint_root
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError):
+        checkpoint_root(session)
 
 
 def test_row_index_is_global_order(spark):

@@ -29,7 +29,7 @@ def test_lexicon_scorer(spark):
     assert scores == [("neg", -3.0), ("pos", 0.0), ("pos", 0.0), None]
 
 
-def _brute_force_nb(rows, vocab_size=200, min_docs=5, min_z=4.0):
+def _brute_force_nb(rows, min_docs=5, min_z=4.0):
     import re
     docs = [(set(t for t in re.split(r"[^\w]+", text.lower()) if t), y) for text, y in rows]
     n1 = sum(1 for _, y in docs if y == 1)
@@ -51,7 +51,7 @@ def _brute_force_nb(rows, vocab_size=200, min_docs=5, min_z=4.0):
         if z >= min_z:
             stats.append((-z, t, math.log((a + 1) / (n1 + 2)) - math.log((b + 1) / (n0 + 2))))
     stats.sort()
-    return {t: w for _, t, w in stats[:vocab_size]}, math.log(n1 / n0)
+    return {t: w for _, t, w in stats}, math.log(n1 / n0)
 
 
 def test_naive_bayes_fit_matches_brute_force(spark):
@@ -72,12 +72,38 @@ def test_naive_bayes_fit_matches_brute_force(spark):
     assert abs(got - expected) < 1e-9
 
 
-def test_naive_bayes_vocab_cap(spark):
-    rows = [(" ".join(f"w{i}" for i in range(30)), 1)] * 10 + [("z", 0)] * 10
-    model = NaiveBayesScorer(vocab_size=7, min_z=1.0).fit(spark.createDataFrame(rows, "text string, toxic int"))
-    assert len(model.weights) == 7
-    # all 31 tokens tie on z; the tie is broken by token
-    assert sorted(model.weights) == sorted([f"w{i}" for i in range(30)] + ["z"])[:7]
+def test_naive_bayes_keeps_every_token_that_qualifies(spark):
+    rows = [(" ".join(f"w{i}" for i in range(700)), 1)] * 10 + [("z", 0)] * 10
+    model = NaiveBayesScorer(min_z=1.0).fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert set(model.weights) == {f"w{i}" for i in range(700)} | {"z"}
+    texts = spark.createDataFrame([("w3 w699 other",), ("z z",)], "text string")
+    assert [r.sentiment[0].result for r in model.transform(texts).collect()] == ["neg", "pos"]
+
+
+def test_replaced_training_files_are_fitted_again(spark, tmp_path):
+    import time
+    from postlens.plans.registry import scorer_b
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(40)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    write = lambda flip: spark.createDataFrame(
+        [(i, 1, int((i % 4 == 0) != flip)) for i in ids], "doc_id long, quality int, toxic int").write.mode(
+            "overwrite").parquet(f"{tmp_path}/labels.parquet")
+    write(False)
+    first = scorer_b(spark, str(tmp_path))
+    assert scorer_b(spark, str(tmp_path)) is first
+    time.sleep(1.1)
+    write(True)
+    again = scorer_b(spark, str(tmp_path))
+    assert again is not first and again.n_positive_docs == first.n_negative_docs
+
+
+def test_title_counts_beyond_a_bigint(spark):
+    """3 million posts of one title: 2.7e19 rows, more than a bigint holds."""
+    n = 3_000_000
+    df = spark.range(n).select(F.lit("t").alias("title"), F.lit("pos").alias("sentiment1"), F.lit("neg").alias("sentiment2"))
+    assert int(title_fanout(df).first().n) == n ** 3
+    assert int(title_join_labels(df).first().n_rows) == n ** 3
 
 
 def test_naive_bayes_one_class_only(spark):

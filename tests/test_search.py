@@ -145,17 +145,81 @@ def test_two_level_top_k_plan(spark):
     assert plan.count("WindowGroupLimit") >= 4
 
 
-def test_dictionary_matcher_equals_inline(spark, monkeypatch):
-    import postlens.operators.search as S
+def test_long_keyword_list_takes_the_same_path(spark):
+    posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
+    kws = [a + b for a in "thernio" for b in "thernioausd"]
+    assert len(kws) > 64
+    tagged = tag_keywords(posts, kws)
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan
+    rows = posts.select("id", "title", "selftext").collect()
+    expected = sorted((r.id, k) for r in rows for k in kws if k in (r.title + "\n" + r.selftext).lower())
+    assert sorted(map(tuple, tagged.select("id", "keyword").collect())) == expected
+
+
+def test_keywords_keep_their_identity(spark):
+    """Padded, case-repeated and equal entries are tagged as given, never merged; blanks match nothing."""
+    from postlens.operators.search import posts_with_keywords
+    posts = _posts(spark, [{"id": "1", "title": "That comedy", "selftext": "x", "score": 1}])
+    given = [" that", "That", "that", "that", "\tTHAT\n", "  ", "", "\t"]
+    expected = [" that", "That", "that", "that", "\tTHAT\n"]
+    assert sorted(r.keyword for r in tag_keywords(posts, given).collect()) == sorted(expected)
+    assert posts_with_keywords(posts, given).first().keywords == expected
+    assert sorted(r.keyword for r in keyword_union(posts, given).collect()) == sorted(expected)
+    for k in given:
+        assert search_posts(posts, None, k).count() == (1 if k.strip() else 0)
+
+
+def test_top_k_is_bounded_for_any_k():
+    """Plans at and above Spark's default limit, on a plain session (a child process)."""
+    import subprocess
+    import sys
+    from pathlib import Path
+    root = Path(__file__).resolve().parents[1]
+    script = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession, functions as F
+from postlens.operators.search import top_k
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+s.sparkContext.setLogLevel("ERROR")
+df = s.range(0, 12000, 1, 6).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 12007).alias("v"))
+rows = [(r.id, r.g, r.v) for r in df.collect()]
+for k in (1000, 1001, 5000):
+    order = [F.col("v").desc(), F.col("id")]
+    one = top_k(df, k, order, buckets=1)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan, plan
+    want = sorted(rows, key=lambda r: (-r[2], r[0]))[:k]
+    assert sorted(tuple(r) for r in one.collect()) == sorted(want)
+    for buckets in (1, 3):
+        grouped = top_k(df, k, order, by=["g"], buckets=buckets)
+        plan = grouped._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Partial") >= buckets // 3 + 1 and "SinglePartition" not in plan, plan
+        want = [r for g in range(3) for r in sorted((x for x in rows if x[1] == g), key=lambda r: (-r[2], r[0]))[:k]]
+        assert sorted(tuple(r) for r in grouped.collect()) == sorted(want)
+    two = top_k(df, k, order, buckets=4)
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "TakeOrderedAndProject" in plan, plan
+print("FINE")
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=600, cwd=root)
+    assert "FINE" in out.stdout, out.stderr[-3000:]
+
+
+def test_newest_of_a_forum_reads_only_that_forum(spark):
+    posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
+    got = newest(posts, 4, forum="src1")
+    assert "PushedFilters" in got._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source,src1)" in got._jdf.queryExecution().executedPlan().toString()
+    rows = [r for r in posts.collect() if r.forum == "src1"]
+    want = [r.id for r in sorted(rows, key=lambda r: (-r.created_utc, r.id))[:4]]
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_keyword_union_scans_once(spark):
     posts = load_fixture_posts(spark, SF_SMALL, with_comments=False)
-    kws = ["that", "idiot", "license", "Worthless", "mystery", "he", "she", "hers", "th", " The "]
-    inline = S.tag_keywords(posts, kws).select("id", "keyword").collect()
-    monkeypatch.setattr(S, "MAX_INLINE_KEYWORDS", 2)
-    plan = S.tag_keywords(posts, kws)._jdf.queryExecution().executedPlan().toString()
-    assert "ArrowEvalPython" in plan
-    dictionary = S.tag_keywords(posts, kws).select("id", "keyword").collect()
-    assert sorted(map(tuple, inline)) == sorted(map(tuple, dictionary))
-    assert len(inline) > 0
+    plan = keyword_union(posts, ["that", "idiot", "license"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 1
 
 
 def test_keywords_with_quote_and_backslash(spark):
@@ -190,23 +254,17 @@ _keyword = st.lists(st.sampled_from(_CHARS), min_size=1, max_size=3).map("".join
        st.lists(_keyword, min_size=1, max_size=4))
 def test_keyword_tags_match_brute_force(spark, posts, keywords):
     """J3/F2 on random titles, bodies and keywords (case, accents, quotes,
-    overlaps, blanks, characters whose case mapping is special): the inline
-    tags, the automaton and the per-post hits array equal a Python brute force."""
+    overlaps, blanks, characters whose case mapping is special): the tags and
+    the per-post hits array equal a Python brute force, entry by entry."""
     import postlens.operators.search as S
     rows = [(str(i), t, b) for i, (t, b) in enumerate(posts)]
     df = spark.createDataFrame(rows, "id string, title string, selftext string")
-    expected = set()
+    expected = []
     for i, t, b in rows:
-        for k in S.normalize_keywords(keywords):
-            low = k.lower()
-            if (t is not None and low in t.lower()) or (b is not None and low in b.lower()):
-                expected.add((i, k))
-    inline = {(r.id, r.keyword) for r in S.tag_keywords(df, keywords).collect()}
-    once = {(r.id, k) for r in S.posts_with_keywords(df, keywords).collect() for k in r.keywords}
-    old = S.MAX_INLINE_KEYWORDS
-    S.MAX_INLINE_KEYWORDS = 0
-    try:
-        automaton = {(r.id, r.keyword) for r in S.tag_keywords(df, keywords).collect()}
-    finally:
-        S.MAX_INLINE_KEYWORDS = old
-    assert inline == expected == automaton == once
+        for k in keywords:
+            low = k.strip(" \t\n\r\v\f").lower()
+            if low and ((t is not None and low in t.lower()) or (b is not None and low in b.lower())):
+                expected.append((i, k))
+    tags = sorted((r.id, r.keyword) for r in S.tag_keywords(df, keywords).collect())
+    once = sorted((r.id, k) for r in S.posts_with_keywords(df, keywords).collect() for k in r.keywords)
+    assert tags == sorted(expected) == once

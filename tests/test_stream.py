@@ -47,6 +47,35 @@ def test_stream_keeps_malformed_messages(spark):
     assert [tuple(r) for r in got] == [(None, None, None, None), ("9", "t", "neg", "neg")]
 
 
+def test_short_time_limit_is_never_a_quiet_partial_table(spark):
+    import pytest
+    posts = load_fixture_posts(spark, SF_SMALL).select(*[f.name for f in POST.fields])
+    source = scratch_path(spark, "stream-limit")
+    topic.send(posts.repartition(60), "q", target=source)
+    base = scratch_path(spark, "stream-limit-out")
+    table, model = "t_" + base.rsplit("-", 1)[-1], _model(spark)
+    run = lambda **kw: run_stream_to_table(spark, "q", table, f"{base}/t", f"{base}/c", LexiconScorer(), model,
+                                           source=source, max_per_trigger=1, **kw)
+    with pytest.raises(TimeoutError):
+        run(timeout_seconds=2)
+    run()  # goes on where the stopped run was
+    ids = [r.id for r in spark.read.table(table).select("id").collect()]
+    assert len(ids) == len(set(ids)) == posts.count()
+
+
+def test_published_stream_has_an_order(spark):
+    from postlens.streaming.sink import publish_stream
+    posts = load_fixture_posts(spark, SF_SMALL).select(*[f.name for f in POST.fields])
+    src, target = scratch_path(spark, "order-src"), scratch_path(spark, "order-topic")
+    posts.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    publish_stream(stream, "o", f"{target}-ckpt", target=target).awaitTermination(300)
+    messages = spark.read.schema(MESSAGE).option("recursiveFileLookup", "true").parquet(target)
+    offsets = [r.offset for r in messages.select("offset").collect()]
+    assert None not in offsets and len(offsets) == len(set(offsets)) == posts.count()
+    assert topic.read_bounded(spark, "o", POST, target=target, max_messages=5).count() == 5
+
+
 def test_kafka_options():
     # The Kafka connector is not on this runtime: the options are checked, the
     # Kafka path itself does not run here.
