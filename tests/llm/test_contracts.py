@@ -300,12 +300,58 @@ def test_line_links_match_brute_force(spark):
     name = {v[:2]: i for i, v in prints.items()}
     got = {tuple(sorted((name[r["a1"], r["a2"]], name[r["b1"], r["b2"]])))
            for r in linededup.candidates(linededup.fingerprinted(frame).where("fuzzy")).collect()}
+    words = lambda i: len(lines[i].split())
     want = {(x, y) for x in range(len(lines)) for y in range(x + 1, len(lines))
             if bin(prints[x][2] ^ prints[y][2]).count("1") <= 3
-            and min(len(lines[x]), len(lines[y])) >= 0.8 * max(len(lines[x]), len(lines[y]))}
+            and min(words(x), words(y)) >= 0.8 * max(words(x), words(y))}
     assert got == want and want
 
 
+def test_fuzzy_lines_are_linked(spark):
+    """Groups through verified pairs against brute force over the same fingerprints."""
+    rng = random.Random(12)
+    vocabulary = [f"t{i}" for i in range(500)]
+    lines = []
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(80, 160))]
+        for _ in range(5):
+            c = list(base)
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(c))
+                c[k:k + 1] = rng.choice([[], [rng.choice(vocabulary)], [c[k], "new"]])
+            lines.append(" ".join(c))
+        lines.append(" ".join(rng.sample(base, len(base))))  # same fingerprint, other order: no link
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    keyed = frame.select("doc_id", "text", F.col("doc_id").alias("th"), F.col("doc_id").alias("t2"))
+    fp = {r["doc_id"]: r["fp"] for r in linededup.fingerprinted(keyed).collect()}
+    mask = (1 << 64) - 1
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(prev + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for x in range(len(lines)):
+        for y in range(x):
+            a, b = lines[x].split(), lines[y].split()
+            if bin((fp[x] ^ fp[y]) & mask).count("1") <= 3 and edits(a, b) <= 0.2 * max(len(a), len(b)):
+                root[max(find(x), find(y))] = min(find(x), find(y))
+                links += lines[x] != lines[y]
+    got = {r["doc_id"] for r in linededup.dedup_lines(frame).where("n_removed = 0").select("row.doc_id").collect()}
+    assert got == {find(x) for x in range(len(lines))} and links > 5
+
+
 def test_license_scan(spark):
     gpl = "This work is licensed under the GNU General Public License, version 3."
     files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/x.txt", "some words"), (3, "a/b/y.txt", f"one two\n{gpl}\nthree " + "w " * 40),
