@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from postlens.llm.common import cut
 
 SIMILARITY, FILE_SHARE = 0.8, 0.5
+BROADCAST_TERMS = 200_000  # template terms sent to every task, at most; more are joined by shuffling
 NOTICE = r"\n|(?<=[.!?;]) "
 NOT_TERM = r"[^a-z0-9.\-]+"
 
@@ -50,11 +51,11 @@ def _idf(n: Column, df: Column) -> Column:
 
 
 def notices(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows ``file_id, path, notice, size, term`` of the notice terms that a template has."""
+    """Rows ``file_id, path, notice, size, term`` of the notice terms that a template has (``wanted``)."""
     units = files.select("file_id", "path", F.posexplode(F.split("text", NOTICE)).alias("notice", "s"))
     units = units.select("file_id", "path", "notice", terms(F.col("s")).alias("t"))
     rows = units.select("file_id", "path", "notice", F.size("t").alias("size"), F.explode_outer("t").alias("term"))
-    return rows.join(wanted, "term")
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term")
 
 
 def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "text",
@@ -77,7 +78,7 @@ def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col:
     tpl = known.select("license", F.col("text").alias("body")).where("license is not null and body is not null").distinct()
     tpl_terms = tpl.select("license", "body", terms(F.col("body")).alias("t")).where(F.size("t") > 0)
     entries = tpl_terms.select("license", "body", F.explode_outer("t").alias("term"))
-    wanted = entries.select("term").distinct()
+    wanted = cut(entries.select("term").distinct())
     hits = cut(notices(rows, wanted))
     n = F.lit(rows.count())
     df = hits.groupBy("term").agg(F.countDistinct("file_id", "path").alias("df"))
