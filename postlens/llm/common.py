@@ -43,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as a Parquet table below the shared checkpoint folder and read back.
+
+    Like ``cut``, for larger frames: compressed, and read by column.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
