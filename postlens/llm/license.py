@@ -2,9 +2,11 @@
 
 Every notice of a file (a line, or a sentence of one) is a sparse vector of its
 distinct terms, weighted by inverse document frequency over all files; terms that
-no template has weigh like a term of no file. Dot products come from an
-equi-join of notice terms with template terms, so only notices that share
-a term with a template make rows. A file without a notice of its own takes
+no template has weigh like a term of no file. A cosine of s needs shared
+terms of s^2 of the template's squared norm or more, so a notice must hold one of the
+template's heaviest terms, those without which the rest falls short (its
+prefix). Only such notices leave the scan; their dot products come from an
+equi-join with the templates' terms. A file without a notice of its own takes
 the licence of the nearest ancestor directory that has a licence file, found by
 joining each directory's ancestors with the directories' licences.
 DataFrame functions only.
@@ -12,7 +14,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.llm.common import cut
@@ -20,7 +22,7 @@ from postlens.llm.common import cut
 SIMILARITY, FILE_SHARE = 0.8, 0.5
 BROADCAST_TERMS = 200_000  # template terms sent to every task, at most; more are joined by shuffling
 NOTICE = r"\n|(?<=[.!?;]) "
-NOT_TERM = r"[^a-z0-9.\-]+"
+NOT_TERM = "[^a-z0-9]+"
 
 # Short licence notices, by SPDX identifier.
 TEMPLATES = [
@@ -41,21 +43,41 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case terms, without the full stop that ends a sentence."""
-    words = F.split(F.lower(text), NOT_TERM)
-    return F.array_distinct(F.filter(F.transform(words, lambda w: F.rtrim(w, F.lit(".-"))), lambda w: w != ""))
+    """Distinct lower-case runs of letters and digits."""
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), NOT_TERM), ""))
 
 
 def _idf(n: Column, df: Column) -> Column:
     return F.log((n + 1.0) / (F.coalesce(df, F.lit(0)) + 1.0)) + 1.0
 
 
-def notices(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows ``file_id, path, notice, size, term`` of the notice terms that a template has (``wanted``)."""
+def _sent(rows: DataFrame) -> DataFrame:
+    """A table of template terms, broadcast if it is small enough; else Spark shuffles the join."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+
+
+def document_frequency(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``term, df``: how many files hold each wanted term."""
+    rows = files.select(F.explode_outer(terms(F.col("text"))).alias("term"))
+    return rows.join(_sent(wanted), "term").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def prefixes(entries: DataFrame, weight: DataFrame, similarity: float) -> DataFrame:
+    """The terms of which a notice must hold one to reach ``similarity`` with any template."""
+    w2 = F.col("w") * F.col("w")
+    lighter = Window.partitionBy("license", "body").orderBy(F.col("w").desc(), "term").rowsBetween(0, Window.unboundedFollowing)
+    whole = Window.partitionBy("license", "body")
+    least = (similarity - 1e-6) ** 2 * F.sum(w2).over(whole)
+    ranked = entries.join(weight, "term").select("term", F.sum(w2).over(lighter).alias("rest"), least.alias("least"))
+    return ranked.where(F.col("rest") >= F.col("least") - 1e-9).select("term").distinct()
+
+
+def notices(files: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Rows ``file_id, path, notice, t`` of the notices with a prefix term."""
     units = files.select("file_id", "path", F.posexplode(F.split("text", NOTICE)).alias("notice", "s"))
     units = units.select("file_id", "path", "notice", terms(F.col("s")).alias("t"))
-    rows = units.select("file_id", "path", "notice", F.size("t").alias("size"), F.explode_outer("t").alias("term"))
-    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term")
+    rows = units.select("file_id", "path", "notice", "t", F.explode_outer("t").alias("term"))
+    return rows.join(_sent(prefix), "term").drop("term").dropDuplicates(["file_id", "path", "notice", "t"])
 
 
 def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "text",
@@ -69,8 +91,8 @@ def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col:
     best notice makes up ``file_share`` or more of its text; of several the
     greatest cosine, then the smallest licence and path, holds. Ties between
     licences go to the smallest name. Null and empty texts have no notice but may
-    inherit; a null path has no directory; rows repeated in id and path count once
-    per row; without templates nothing is licensed; an empty table gives no
+    inherit; a null path has no directory; rows that share id and path are one
+    file with all their notices, listed as often as they occur; without templates nothing is licensed; an empty table gives no
     rows; other columns are ignored.
     """
     rows = files.select(F.col(id_col).alias("file_id"), F.col(path_col).cast("string").alias("path"),
@@ -79,15 +101,17 @@ def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col:
     tpl_terms = tpl.select("license", "body", terms(F.col("body")).alias("t")).where(F.size("t") > 0)
     entries = tpl_terms.select("license", "body", F.explode_outer("t").alias("term"))
     wanted = cut(entries.select("term").distinct())
-    hits = cut(notices(rows, wanted))
     n = F.lit(rows.count())
-    df = hits.groupBy("term").agg(F.countDistinct("file_id", "path").alias("df"))
-    weight = wanted.join(df, "term", "left").select("term", _idf(n, F.col("df")).alias("w"))
+    df = document_frequency(rows, wanted)
+    weight = cut(wanted.join(df, "term", "left").select("term", _idf(n, F.col("df")).alias("w")))
     rare = _idf(n, F.lit(0))
+    found = cut(notices(rows, cut(prefixes(entries, weight, similarity))))
+    hits = found.select("file_id", "path", "notice", F.xxhash64("t").alias("u"), F.size("t").alias("size"),
+                        F.explode_outer("t").alias("term"))
     vector = entries.join(weight, "term").groupBy("license", "body").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weighted = hits.join(weight, "term")
-    key = ["file_id", "path", "notice"]
+    key = ["file_id", "path", "notice", "u"]
     norms = weighted.groupBy(*key).agg(
         F.max("size").alias("size"), F.count("*").alias("k"), F.sum(F.col("w") * F.col("w")).alias("sq"))
     dots = (weighted.join(entries, "term").groupBy(*key, "license", "body")
@@ -96,7 +120,7 @@ def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col:
     same = F.lit(True)
     for c in key:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    both = left.join(right, same).select("l.file_id", "l.path", "l.notice", "license", "body", "dot", F.col("r.size").alias("size"),
+    both = left.join(right, same).select("l.file_id", "l.path", "license", "body", "dot", F.col("r.size").alias("size"),
                                          F.col("r.k").alias("k"), "sq")
     # terms of the notice that no template has: all weigh the same
     scored = both.join(vector, ["license", "body"]).withColumn(
