@@ -86,9 +86,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, target: int = 1 << 20
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list, as ``(node, root)``.
 
-    Alternating large-star and small-star steps: every round is two joins-free
-    aggregations plus equi-joins on node ids, written to the shared
-    checkpoint folder, so lineage stays short. ``root`` is the smallest node
+    Alternating large-star and small-star steps: every round is a few aggregations
+    and equi-joins on node ids, written to the shared checkpoint folder, so
+    lineage stays short. ``root`` is the smallest node
     of the component. Nodes without an edge are not listed. Only the count of
     changed rows reaches the driver.
     """

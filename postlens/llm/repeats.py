@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.common import slices, text_bytes
-from postlens.llm.kernels import (BYTE_CODE, SPACES, STEP, U64, Words, anchors, buffers, combine, covered,
-                                  flagged_runs, mix)
+from postlens.llm.kernels import BYTE_CODE, SPACES, STEP, U64, Words, anchors, buffers, covered, mix
 
 BATCH_BYTES = 8 << 20
 HOT = 256
@@ -323,6 +322,3 @@ def find_repeats(docs: DataFrame, kind: type, judge: Callable, finish: Callable,
 def removed_mask(first: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Which symbols of a run of texts lie in a removed range."""
     return covered(int(first[-1]), first[doc] + lo, first[doc] + hi)
-
-
-__all__ = ["ByteSeq", "WordSeq", "combine", "find_repeats", "flagged_runs", "gram_hashes", "overlapped", "removed_mask"]

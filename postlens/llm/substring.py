@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from postlens.llm.repeats import BATCH_BYTES, HOT, WordSeq, find_repeats, flagged_runs, removed_mask
+from postlens.llm.kernels import SPACES, Words, flagged_runs
+from postlens.llm.repeats import BATCH_BYTES, HOT, WordSeq, find_repeats, removed_mask
 
 THRESHOLD = WordSeq.W
 
@@ -111,8 +112,6 @@ def judge(rows: list[tuple]) -> Iterator[tuple]:
 
 def finish(run: pa.RecordBatch, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     """Counts and the kept text (words joined by one blank) of a run of texts."""
-    from postlens.llm.kernels import SPACES, Words
-
     w = Words(run.column(2), SPACES, False)
     gone = removed_mask(w.first, doc, lo, hi)
     n = np.diff(w.first)

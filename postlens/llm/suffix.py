@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from postlens.llm.kernels import U64, buffers
-from postlens.llm.repeats import BATCH_BYTES, HOT, ByteSeq, find_repeats, flagged_runs, gram_hashes, overlapped, removed_mask
+from postlens.llm.kernels import buffers, flagged_runs
+from postlens.llm.repeats import BATCH_BYTES, HOT, ByteSeq, find_repeats, gram_hashes, overlapped, removed_mask
 
 THRESHOLD = ByteSeq.W
 BATCH_WINDOWS = 1 << 16
@@ -114,6 +114,3 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return find_repeats(docs, ByteSeq, judge, finish,
                         "doc_id {id}, th long, n_bytes long, n_removed long, n_spans long, kept binary",
                         id_col, text_col, False, batch_bytes, hot)
-
-
-__all__ = ["IndexFamily", "U64", "dedup_bytes"]
