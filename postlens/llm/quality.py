@@ -191,18 +191,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 [b.column(0).cast(pa.int64()), b.column(1),
                  pa.ListArray.from_arrays(pa.array(offs), pa.array(feature.astype(np.int32)))], names=["doc_id", "y", "f"])
 
-    got = rows.mapInArrow(extract, "doc_id long, y double, f array<int>").toArrow()
-    if not got.num_rows:
+    got = rows.mapInArrow(extract, "doc_id long, y double, f array<int>")
+    # at most train_rows rows: one task fits, the driver sees only the model
+    fitted = got.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(
+        _fit_rows, "weights binary, ratios binary, bias double, slope double, shift double").first()
+    if fitted is None:
         return None
-    got = got.sort_by("doc_id")
-    ids = np.asarray(got["doc_id"])
+    return QualityModel(np.frombuffer(fitted["weights"]), np.frombuffer(fitted["ratios"]), fitted["bias"],
+                        fitted["slope"], fitted["shift"])
+
+
+def _fit_rows(rows: pa.Table) -> pa.Table:
+    """The model of a bounded set of rows ``doc_id, y, f`` as one row; none without both classes."""
+    empty = {"weights": pa.array([], pa.binary()), "ratios": pa.array([], pa.binary()),
+             **{c: pa.array([], pa.float64()) for c in ("bias", "slope", "shift")}}
+    rows = rows.sort_by("doc_id")
+    ids = np.asarray(rows["doc_id"])
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    y = np.where(np.asarray(got["y"])[first] >= 0.5, 1.0, -1.0)
-    lists = got["f"].combine_chunks()
+    y = np.where(np.asarray(rows["y"])[first] >= 0.5, 1.0, -1.0)
+    lists = rows["f"].combine_chunks()
     offs, flat = np.asarray(lists.offsets), np.asarray(lists.values)
     sets = [flat[offs[i]: offs[i + 1]] for i in first]
     if len(set(y)) < 2:
-        return None
+        return pa.table(empty)
     dim = 1 << DIM_BITS
     fold = np.arange(len(y)) % 4
     margin = np.zeros(len(y))
@@ -211,8 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for i in np.flatnonzero(fold == k):
             margin[i] = part.margins(np.zeros(len(sets[i]), np.int64), sets[i], 1)[0]
     model = _fit(sets, y, dim)
-    model.slope, model.shift = _logistic(margin, y)
-    return model
+    slope, shift = _logistic(margin, y)
+    return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()),
+                     "ratios": pa.array([model.ratios.tobytes()], pa.binary()),
+                     "bias": [model.bias], "slope": [slope], "shift": [shift]})
 
 
 def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text",
