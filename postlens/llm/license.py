@@ -1,11 +1,11 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
 Every notice of a file (a line, or a sentence of one) is a sparse vector of its
-distinct terms, weighted by inverse document frequency over all files; terms that
-no template has weigh like a term of no file. A cosine of s needs shared
+distinct terms, weighted by inverse document frequency over all files. A cosine of s needs shared
 terms of s^2 of the template's squared norm or more, so a notice must hold one of the
 template's heaviest terms, those without which the rest falls short (its
-prefix). Only such notices leave the scan; their dot products come from an
+prefix). Only such notices leave the scan, and the document frequencies of all
+their terms are counted over all files; their dot products come from an
 equi-join with the templates' terms. A file without a notice of its own takes
 the licence of the nearest ancestor directory that has a licence file, found by
 joining each directory's ancestors with the directories' licences.
@@ -104,27 +104,27 @@ def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col:
     n = F.lit(rows.count())
     df = document_frequency(rows, wanted)
     weight = cut(wanted.join(df, "term", "left").select("term", _idf(n, F.col("df")).alias("w")))
-    rare = _idf(n, F.lit(0))
     found = cut(notices(rows, cut(prefixes(entries, weight, similarity))))
     hits = found.select("file_id", "path", "notice", F.xxhash64("t").alias("u"), F.size("t").alias("size"),
                         F.explode_outer("t").alias("term"))
+    # the terms of these notices that no template has weigh by their own frequency
+    other = cut(hits.select("term").distinct().join(wanted, "term", "left_anti"))
+    seen = document_frequency(rows, other).select("term", _idf(n, F.col("df")).alias("w"))
     vector = entries.join(weight, "term").groupBy("license", "body").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighted = hits.join(weight, "term")
+    weighted = cut(hits.join(weight.unionByName(seen), "term"))
     key = ["file_id", "path", "notice", "u"]
     norms = weighted.groupBy(*key).agg(
-        F.max("size").alias("size"), F.count("*").alias("k"), F.sum(F.col("w") * F.col("w")).alias("sq"))
+        F.max("size").alias("size"), F.sum(F.col("w") * F.col("w")).alias("sq"))
     dots = (weighted.join(entries, "term").groupBy(*key, "license", "body")
-            .agg(F.sum(F.col("w") * F.col("w")).alias("dot"), F.max("size").alias("size"), F.count("*").alias("k")))
+            .agg(F.sum(F.col("w") * F.col("w")).alias("dot")))
     left, right = dots.alias("l"), norms.alias("r")
     same = F.lit(True)
     for c in key:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    both = left.join(right, same).select("l.file_id", "l.path", "license", "body", "dot", F.col("r.size").alias("size"),
-                                         F.col("r.k").alias("k"), "sq")
-    # terms of the notice that no template has: all weigh the same
+    both = left.join(right, same).select("l.file_id", "l.path", "license", "body", "dot", F.col("r.size").alias("size"), "sq")
     scored = both.join(vector, ["license", "body"]).withColumn(
-        "cos", F.round(F.col("dot") / (F.col("norm") * F.sqrt(F.col("sq") + (F.col("size") - F.col("k")) * rare * rare)), 6))
+        "cos", F.round(F.col("dot") / (F.col("norm") * F.sqrt("sq")), 6))
     best = (scored.where(F.col("cos") >= similarity).groupBy("file_id", "path")
             .agg(F.min(F.struct((-F.col("cos")).alias("c"), "license", "size")).alias("m")))
     best = cut(best.select(F.col("file_id").alias("f"), F.col("path").alias("p"), (-F.col("m.c")).alias("similarity"),

@@ -477,3 +477,13 @@ def test_similar_lines_are_found_without_near_fingerprints(spark):
     assert len(missed) <= 0.02 * len(twins), missed
     # lines of other pairs are not similar: the first of each pair stays
     assert not gone & {a for a, _ in twins}
+
+
+def test_common_words_beside_a_notice_weigh_little(spark):
+    """A word of most files before a notice, at its true document frequency."""
+    files = [(i, f"d{i}/f.txt", f"also word{i} and others" if i % 3 else f"word{i}") for i in range(1000)]
+    files.append((1000, "x/f.txt", "also Released under the MIT License."))
+    got = {r.file_id: (r.license, r.similarity) for r in license.scan(
+        spark.createDataFrame(files, "file_id long, path string, text string"), license.templates(spark)).collect()}
+    assert got[1000][0] == "MIT" and got[1000][1] > 0.95
+    assert got[1] == (None, None)
