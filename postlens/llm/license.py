@@ -1,6 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Every notice of a file (a line, or a sentence of one) is a sparse vector of its
+Every notice of a file (a line, a sentence of one, its leading block, or the
+whole text of a licence file) is a sparse vector of its
 distinct terms, weighted by inverse document frequency over all files. A cosine of s needs shared
 terms of s^2 of the template's squared norm or more, so a notice must hold one of the
 template's heaviest terms, those without which the rest falls short (its
@@ -14,6 +15,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,9 @@ from postlens.llm.common import cut
 SIMILARITY, FILE_SHARE = 0.8, 0.5
 BROADCAST_TERMS = 200_000  # template terms sent to every task, at most; more are joined by shuffling
 NOTICE = r"\n|(?<=[.!?;]) "
+COMMENT = r"^\s*(#|//|/\*|\*|--|;|%|<!--|$)"
+PARAGRAPHS = 4  # leading paragraphs, one to so many, that may be a header
+LICENSE_FILE = r"(^|/)(licen[sc]e|copying|notice)(\.[^/]*)?$"
 NOT_TERM = "[^a-z0-9]+"
 
 # Short licence notices, by SPDX identifier.
@@ -37,9 +43,28 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+# Headers of source files; the texts below ``licenses`` are whole licences.
+HEADERS = [
+    ("GPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it under the terms of the
+GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+]
+
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, text string")
+    """``license, text`` of notices, headers and whole licences."""
+    whole = [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+    return spark.createDataFrame(TEMPLATES + HEADERS + whole, "license string, text string")
 
 
 def terms(text: Column) -> Column:
@@ -73,8 +98,19 @@ def prefixes(entries: DataFrame, weight: DataFrame, similarity: float) -> DataFr
 
 
 def notices(files: DataFrame, prefix: DataFrame) -> DataFrame:
-    """Rows ``file_id, path, notice, t`` of the notices with a prefix term."""
-    units = files.select("file_id", "path", F.posexplode(F.split("text", NOTICE)).alias("notice", "s"))
+    """Rows ``file_id, path, notice, t`` of the notices with a prefix term.
+
+    Besides each line and sentence, the leading comment block, the first one to
+    ``PARAGRAPHS`` paragraphs and the whole text of licence files are notices.
+    """
+    lines = F.split("text", "\n")
+    other = F.array_position(F.transform(lines, lambda s: s.rlike(COMMENT)), False)
+    comment = F.array_join(F.slice(lines, F.lit(1), F.when(other > 0, other - 1).otherwise(F.size(lines)).cast("int")), "\n")
+    parts = F.split(F.trim("text"), r"\n[ \t\r]*\n")
+    heads = [F.array_join(F.slice(parts, 1, k), "\n") for k in range(1, PARAGRAPHS + 1)]
+    whole = F.when(F.lower("path").rlike(LICENSE_FILE), F.col("text"))
+    blocks = F.array_compact(F.array_distinct(F.array(comment, *heads, whole)))
+    units = files.select("file_id", "path", F.posexplode(F.concat(F.split("text", NOTICE), blocks)).alias("notice", "s"))
     units = units.select("file_id", "path", "notice", terms(F.col("s")).alias("t"))
     rows = units.select("file_id", "path", "notice", "t", F.explode_outer("t").alias("term"))
     return rows.join(_sent(prefix), "term").drop("term").dropDuplicates(["file_id", "path", "notice", "t"])
@@ -132,7 +168,7 @@ def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col:
     dir_of = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
     slim = rows.select("file_id", "path", dir_of.alias("dir"), F.size(F.split(F.trim(F.col("text")), r"\s+")).alias("words"))
     own = slim.join(best, slim["file_id"].eqNullSafe(best["f"]) & slim["path"].eqNullSafe(best["p"]), "left").drop("f", "p")
-    named = F.regexp_extract(F.lower("path"), r"(^|/)(licen[sc]e|copying|notice)(\.[^/]*)?$", 2) != ""
+    named = F.lower("path").rlike(LICENSE_FILE)
     whole = F.col("terms") >= F.col("words") * file_share
     of_dir = (own.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (named | whole))
               .groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("c"), "license", "path")).alias("m"))

@@ -487,3 +487,18 @@ def test_common_words_beside_a_notice_weigh_little(spark):
         spark.createDataFrame(files, "file_id long, path string, text string"), license.templates(spark)).collect()}
     assert got[1000][0] == "MIT" and got[1000][1] > 0.95
     assert got[1] == (None, None)
+
+
+def test_license_headers_and_whole_texts(spark):
+    """Headers over several lines and whole licence files, which pass their licence on."""
+    whole = {r.license: r.text for r in license.templates(spark).collect() if len(r.text) > 1000}
+    gpl = dict(license.HEADERS)["GPL-3.0-or-later"]
+    comment = "#!/bin/sh\n# Copyright 2020 A. Author\n#\n" + "\n".join("# " + s for s in gpl.split("\n"))
+    files = [(i, f"{name}/LICENSE", text) for i, (name, text) in enumerate(sorted(whole.items()))]
+    files += [(20 + i, f"{name}/src/a.py", "x = 1") for i, name in enumerate(sorted(whole))]
+    files += [(40, "q/a.sh", comment + "\n" + "echo one\n" * 200), (41, "q/b.sh", "echo one")]
+    got = {r.file_id: (r.license, r.origin) for r in license.scan(
+        spark.createDataFrame(files, "file_id long, path string, text string"), license.templates(spark)).collect()}
+    for i, name in enumerate(sorted(whole)):
+        assert got[i] == (name, "notice") and got[20 + i] == (name, "inherited")
+    assert got[40] == ("GPL-3.0-or-later", "notice") and got[41] == (None, None)
