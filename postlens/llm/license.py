@@ -5,7 +5,8 @@ whole text of a licence file) is a sparse vector of its
 distinct terms, weighted by inverse document frequency over all files. A cosine of s needs shared
 terms of s^2 of the template's squared norm or more, so a notice must hold one of the
 template's heaviest terms, those without which the rest falls short (its
-prefix). Only such notices leave the scan, and the document frequencies of all
+prefix), and as many terms as its heaviest need to come to that. Only such
+notices leave the scan, and the document frequencies of all
 their terms are counted over all files; their dot products come from an
 equi-join with the templates' terms. A file without a notice of its own takes
 the licence of the nearest ancestor directory that has a licence file, found by
@@ -88,17 +89,25 @@ def document_frequency(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def prefixes(entries: DataFrame, weight: DataFrame, similarity: float) -> DataFrame:
-    """The terms of which a notice must hold one to reach ``similarity`` with any template."""
+    """``term, tpl, need``: the terms of which a notice must hold one to reach ``similarity`` with a template.
+
+    ``need`` is the least number of the template's terms that it must hold.
+    """
     w2 = F.col("w") * F.col("w")
     lighter = Window.partitionBy("license", "body").orderBy(F.col("w").desc(), "term").rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy("license", "body")
     least = (similarity - 1e-6) ** 2 * F.sum(w2).over(whole)
-    ranked = entries.join(weight, "term").select("term", F.sum(w2).over(lighter).alias("rest"), least.alias("least"))
-    return ranked.where(F.col("rest") >= F.col("least") - 1e-9).select("term").distinct()
+    ranked = entries.join(weight, "term").select(
+        "term", "license", "body", F.sum(w2).over(whole).alias("all"), F.sum(w2).over(lighter).alias("rest"), least.alias("least"))
+    # the heaviest terms before this one fall short: it is needed too
+    short = (F.col("all") - F.col("rest") < F.col("least") - 1e-9).cast("int")
+    need = F.sum(short).over(whole)
+    ranked = ranked.select("term", F.xxhash64("license", "body").alias("tpl"), need.alias("need"), "rest", "least")
+    return ranked.where(F.col("rest") >= F.col("least") - 1e-9).select("term", "tpl", "need")
 
 
-def notices(files: DataFrame, prefix: DataFrame) -> DataFrame:
-    """Rows ``file_id, path, notice, t`` of the notices with a prefix term.
+def notices(files: DataFrame, prefix: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows ``file_id, path, notice, t`` of the notices with a prefix term and enough terms of its template.
 
     Besides each line and sentence, the leading comment block, the first one to
     ``PARAGRAPHS`` paragraphs and the whole text of licence files are notices.
@@ -113,7 +122,10 @@ def notices(files: DataFrame, prefix: DataFrame) -> DataFrame:
     units = files.select("file_id", "path", F.posexplode(F.concat(F.split("text", NOTICE), blocks)).alias("notice", "s"))
     units = units.select("file_id", "path", "notice", terms(F.col("s")).alias("t"))
     rows = units.select("file_id", "path", "notice", "t", F.explode_outer("t").alias("term"))
-    return rows.join(_sent(prefix), "term").drop("term").dropDuplicates(["file_id", "path", "notice", "t"])
+    some = rows.join(_sent(prefix), "term").where(F.size("t") >= F.col("need")).drop("term")
+    some = some.join(F.broadcast(bodies) if prefix.count() <= BROADCAST_TERMS else bodies, "tpl")
+    some = some.where(F.size(F.array_intersect("t", "of")) >= F.col("need"))
+    return some.select("file_id", "path", "notice", "t").dropDuplicates(["file_id", "path", "notice", "t"])
 
 
 def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "text",
@@ -134,13 +146,15 @@ def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col:
     rows = files.select(F.col(id_col).alias("file_id"), F.col(path_col).cast("string").alias("path"),
                         F.col(text_col).cast("string").alias("text"))
     tpl = known.select("license", F.col("text").alias("body")).where("license is not null and body is not null").distinct()
-    tpl_terms = tpl.select("license", "body", terms(F.col("body")).alias("t")).where(F.size("t") > 0)
+    # a hash stands for the text, which may be long and is on every term's row
+    tpl_terms = tpl.select("license", F.sha2("body", 256).alias("body"), terms(F.col("body")).alias("t")).where(F.size("t") > 0)
     entries = tpl_terms.select("license", "body", F.explode_outer("t").alias("term"))
     wanted = cut(entries.select("term").distinct())
     n = F.lit(rows.count())
     df = document_frequency(rows, wanted)
     weight = cut(wanted.join(df, "term", "left").select("term", _idf(n, F.col("df")).alias("w")))
-    found = cut(notices(rows, cut(prefixes(entries, weight, similarity))))
+    bodies = tpl_terms.select(F.xxhash64("license", "body").alias("tpl"), F.col("t").alias("of"))
+    found = cut(notices(rows, cut(prefixes(entries, weight, similarity)), bodies))
     hits = found.select("file_id", "path", "notice", F.xxhash64("t").alias("u"), F.size("t").alias("size"),
                         F.explode_outer("t").alias("term"))
     # the terms of these notices that no template has weigh by their own frequency
