@@ -502,3 +502,11 @@ def test_license_headers_and_whole_texts(spark):
     for i, name in enumerate(sorted(whole)):
         assert got[i] == (name, "notice") and got[20 + i] == (name, "inherited")
     assert got[40] == ("GPL-3.0-or-later", "notice") and got[41] == (None, None)
+
+
+def test_very_long_near_copies_are_found(spark):
+    rng = random.Random(9)
+    a = [f"w{rng.randrange(50000)}" for _ in range(17_000)]
+    b = [w + "x" if i % 4000 == 7 else w for i, w in enumerate(a)]
+    frame = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "one two")], "doc_id long, text string")
+    assert {r.row.doc_id: r.n_removed for r in linededup.dedup_lines(frame).collect()} == {1: 0, 2: 1, 3: 0}
