@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, license, linededup, packing, quality, simhash, substring, suffix, topk, urlfilter
+from postlens.llm import decontam, license, linededup, packing, quality, simhash, spelling, substring, suffix, topk, urlfilter
 from postlens.llm.common import table
 
 # The rules of the URL query.
@@ -73,6 +73,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_substring_dedup, op4_simhash, op5_packing, op6_license_scan,
-    op7_suffix_array_dedup, op8_url_filter, op9_quality, op10_topk)}
+    op7_suffix_array_dedup, op8_url_filter, op9_quality, op10_topk, op11_spelling)}
