@@ -42,4 +42,20 @@ s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(CAST(q.e AS D
       FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op11_spelling": r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS bytes FROM g),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS h FROM b, tab),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM w, unnest(range(1, length(word) + 1)) AS u(i)),
+p AS (SELECT x.word, y.word AS other FROM d x JOIN d y ON x.less = y.less AND x.i = y.i AND x.word <> y.word
+      UNION SELECT d.word, w.word FROM d JOIN w ON d.less = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.less = w.word),
+k AS (SELECT p.word, p.other, w.n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.other) AS rank FROM p JOIN w ON p.other = w.word),
+f AS (SELECT w.word, w.n, CAST(coalesce(k.n_near, 0) AS BIGINT) AS n_near, CASE WHEN k.n >= 10 * w.n THEN k.other END AS form, CASE WHEN k.n >= 10 * w.n THEN k.n END AS form_n
+      FROM w LEFT JOIN k ON w.word = k.word AND k.rank = 1),
+l AS (SELECT word, word AS root, form AS further FROM f UNION ALL SELECT l.word, f.word, f.form FROM l JOIN f ON l.further = f.word)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN l ON f.word = l.word WHERE further IS NULL""",
 }
