@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, lexical, license, linededup, packing, quality, simhash, spelling, substring, suffix, topk, urlfilter
+from postlens.llm import (
+    decontam, htmltext, lexical, license, linededup, packing, quality, simhash, spelling, substring, suffix, topk, urlfilter,
+)
 from postlens.llm.common import table
 
 # The rules of the URL query.
@@ -82,7 +84,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_substring_dedup, op4_simhash, op5_packing, op6_license_scan,
     op7_suffix_array_dedup, op8_url_filter, op9_quality, op10_topk, op11_spelling,
-    op12_lexical_search)}
+    op12_lexical_search, op13_html_text)}
