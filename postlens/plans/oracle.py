@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from postlens.operators.scoring import NEGATIVE_WORDS, POSITIVE_WORDS
 from postlens.plans.registry import (
-    GIVEN_KEYWORDS, KEYWORDS, LONG_TEXT, MANY_KEYWORDS, REPORT_KEYWORD, SEARCH_FORUM, SEARCH_KEYWORD,
+    GIVEN_KEYWORDS, KEYWORDS, LONG_TEXT, MANY_KEYWORDS, REPORT_KEYWORD, SEARCH_FORUM, SEARCH_KEYWORD, TABLE_KEYWORDS, TABLE_TOP,
 )
 
 # RE2 forms of the URL and cleaning patterns, and the token delimiter.
@@ -63,6 +63,11 @@ def keyword_table(keywords) -> str:
 
 KW = keyword_table(KEYWORDS)
 
+HASHED_KW = f"""kw AS (
+  SELECT keyword FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS keyword FROM documents) WHERE keyword <> ''
+  ORDER BY md5(keyword), keyword LIMIT {TABLE_KEYWORDS}
+)"""
+
 TAGGED = """tagged AS (
   SELECT p.*, k.keyword FROM posts p JOIN (
     SELECT keyword, lower(regexp_replace(keyword, '^[ \\t\\n\\r\\v\\f]+|[ \\t\\n\\r\\v\\f]+$', '', 'g')) AS needle FROM kw) k
@@ -176,6 +181,12 @@ SQL: dict[str, str] = {
     "many_keywords": _with(POSTS, keyword_table(MANY_KEYWORDS), TAGGED) + (
         "SELECT k.keyword, CAST(count(t.id) AS BIGINT) AS n_posts FROM kw k "
         "LEFT JOIN tagged t ON t.keyword = k.keyword GROUP BY k.keyword"),
+    "keywords_10k": _with(POSTS, HASHED_KW, TAGGED) + (
+        "SELECT k.keyword, CAST(count(t.id) AS BIGINT) AS n_posts FROM kw k "
+        "LEFT JOIN tagged t ON t.keyword = k.keyword GROUP BY k.keyword"),
+    "keywords_10k_top": _with(POSTS, HASHED_KW, TAGGED) + (
+        "SELECT keyword, id, score FROM tagged "
+        f"QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY score DESC, id) <= {TABLE_TOP}"),
     "strip_urls": (
         f"SELECT page_id, regexp_replace(url, '{URL_RE2}', '', 'g') AS url_clean, "
         f"regexp_replace(html, '{URL_RE2}', '', 'g') AS html_clean FROM pages"),

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from postlens.functions.json import decode_json
 from postlens.functions.text import clean_text, epoch_to_timestamp, strip_urls
 from postlens.operators import report
+from postlens.operators.keywords import tag_keyword_table
 from postlens.operators.scoring import (
     LexiconScorer, NaiveBayesScorer, join_scores_by_id, label_only, score_posts, title_fanout,
     title_join_labels,
@@ -45,6 +46,10 @@ KEYWORDS = ["Worthless", "idiot", "license", "that", "mystery"]
 GIVEN_KEYWORDS = [*KEYWORDS, " that", "That\t", " "]
 # More keywords than any plan switch ever inlined.
 MANY_KEYWORDS = [a + b for a in ("th", "er", "in", "an", "on", "at") for b in ("ou", "es", "ing", "ed", "ha", "re", "le", "QZ")]
+# Keywords of the keyword-table queries, taken from the words of the texts in the order of a hash,
+# and the best posts kept for each.
+TABLE_KEYWORDS = 10_000
+TABLE_TOP = 3
 SEARCH_FORUM = "src1"
 SEARCH_KEYWORD = "that"
 REPORT_KEYWORD = "idiot"
@@ -188,6 +193,25 @@ def q_many_keywords(spark, sf):
     return report.posts_per_keyword(tagged, keyword_frame(spark, MANY_KEYWORDS))
 
 
+def _keyword_table(spark, sf):
+    """Words of the texts, as they stand between spaces: the first in the order of their MD5."""
+    word = F.explode(F.split("text", " ")).alias("keyword")
+    words = spark.read.parquet(f"{sf}/documents.parquet").select(word).where("keyword <> ''").distinct()
+    return words.orderBy(F.md5("keyword"), "keyword").limit(TABLE_KEYWORDS)
+
+
+def q_keywords_10k(spark, sf):
+    """Posts per keyword of a keyword table, keywords without posts included."""
+    keywords = _keyword_table(spark, sf).persist()
+    return report.posts_per_keyword(tag_keyword_table(_posts(spark, sf).select("title", "selftext"), keywords), keywords)
+
+
+def q_keywords_10k_top(spark, sf):
+    """The best posts for each keyword of a keyword table."""
+    tagged = tag_keyword_table(_posts(spark, sf).select("id", "score", "title", "selftext"), _keyword_table(spark, sf))
+    return top_per_keyword(tagged.select("keyword", "id", "score"), TABLE_TOP)
+
+
 # --- scalar functions ---------------------------------------------------------
 
 def q_strip_urls(spark, sf):
@@ -469,7 +493,7 @@ def q_plain_stream_decode(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.removeprefix("q_"): f for f in (
     q_posts_scan, q_stored_posts, q_newest_posts, q_newest_posts_of_forum, q_head_posts, q_search_posts,
     q_search_posts_clean, q_top_posts_per_keyword, q_keyword_union, q_posts_per_keyword, q_empty_keyword,
-    q_many_keywords, q_strip_urls, q_clean_text, q_created_ts, q_score_lexicon, q_train_nb, q_score_nb,
+    q_many_keywords, q_keywords_10k, q_keywords_10k_top, q_strip_urls, q_clean_text, q_created_ts, q_score_lexicon, q_train_nb, q_score_nb,
     q_sentiment_result, q_sentiment_first, q_score_posts, q_score_join_by_id, q_score_any_transformer,
     q_title_join_fanout, q_title_join_labels, q_analyze_keywords, q_analyze_keywords_of_forum,
     q_agreement_flag, q_agreement_counts, q_agreement_for_keyword, q_agreement_by_keyword,
