@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from postlens.operators.scoring import NEGATIVE_WORDS, POSITIVE_WORDS
 from postlens.plans.registry import (
-    GIVEN_KEYWORDS, KEYWORDS, LONG_TEXT, MANY_KEYWORDS, REPORT_KEYWORD, SEARCH_FORUM, SEARCH_KEYWORD, TABLE_KEYWORDS, TABLE_TOP,
+    GIVEN_KEYWORDS, KEYWORDS, LONG_TEXT, MANY_KEYWORDS, RELEVANCE_QUERIES, REPORT_KEYWORD, SEARCH_FORUM, SEARCH_KEYWORD, TABLE_KEYWORDS, TABLE_TOP,
 )
 
 # RE2 forms of the URL and cleaning patterns, and the token delimiter.
@@ -153,6 +153,24 @@ TOP_SCORED = BASE + (SCORES, scored_keywords(50))
 MATCH = (f"(contains(lower(title), lower({_quote(SEARCH_KEYWORD)})) "
          f"OR contains(lower(selftext), lower({_quote(SEARCH_KEYWORD)})))")
 
+# Integer BM25 of the title's and the body's tokens: weights in thousandths, frequency parts in millionths.
+RELEVANCE = f"""rq AS (SELECT keyword, term, count(*) AS times FROM (SELECT keyword, unnest({toks('keyword')}) AS term FROM kw) GROUP BY keyword, term),
+rp AS (SELECT id, forum, title, list_concat({toks('title')}, {toks('selftext')}) AS w FROM posts),
+rs AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS total FROM rp),
+rt AS (SELECT id, forum, title, dl, term, count(*) AS tf FROM (SELECT id, forum, title, len(w) AS dl, unnest(w) AS term FROM rp)
+       WHERE term IN (SELECT term FROM rq) GROUP BY id, forum, title, dl, term),
+rw AS (SELECT term, CAST(floor(1000 * ln(1 + (any_value(rs.n) - count(*) + 0.5) / (count(*) + 0.5))) AS BIGINT) AS weight FROM rt, rs GROUP BY term),
+rscore AS (SELECT keyword, id, title, forum, CAST(sum(times * weight * ((2200000000 * tf) // (1000 * tf + 300 + (900 * rs.n * dl) // rs.total))) AS BIGINT) AS relevance
+           FROM rt JOIN rw USING (term) JOIN rq USING (term), rs GROUP BY keyword, id, title, forum)"""
+
+
+def relevant(where: str) -> str:
+    return _with(POSTS, keyword_table(RELEVANCE_QUERIES), RELEVANCE) + (
+        "SELECT keyword, CAST(rank AS INTEGER) AS rank, id, relevance, title, forum FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY relevance DESC, id) AS rank FROM rscore "
+        f"WHERE relevance > 0 AND {where}) WHERE rank <= 50")
+
+
 SQL: dict[str, str] = {
     "posts_scan": _with(POSTS) + f"SELECT {POST_COLS} FROM posts",
     "newest_posts": _with(POSTS) + f"SELECT {POST_COLS} FROM posts ORDER BY created_utc DESC, id LIMIT 100",
@@ -187,6 +205,8 @@ SQL: dict[str, str] = {
     "keywords_10k_top": _with(POSTS, HASHED_KW, TAGGED) + (
         "SELECT keyword, id, score FROM tagged "
         f"QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY score DESC, id) <= {TABLE_TOP}"),
+    "search_by_relevance": relevant("TRUE"),
+    "search_by_relevance_of_forum": relevant(f"forum = {_quote(SEARCH_FORUM)}"),
     "strip_urls": (
         f"SELECT page_id, regexp_replace(url, '{URL_RE2}', '', 'g') AS url_clean, "
         f"regexp_replace(html, '{URL_RE2}', '', 'g') AS html_clean FROM pages"),

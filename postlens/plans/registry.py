@@ -20,6 +20,7 @@ from postlens.functions.json import decode_json
 from postlens.functions.text import clean_text, epoch_to_timestamp, strip_urls
 from postlens.operators import report
 from postlens.operators.keywords import tag_keyword_table
+from postlens.operators.relevance import build_index
 from postlens.operators.scoring import (
     LexiconScorer, NaiveBayesScorer, join_scores_by_id, label_only, score_posts, title_fanout,
     title_join_labels,
@@ -62,7 +63,11 @@ PROPS = T.StructType([T.StructField("k", T.LongType())])
 # their id); bounds the model.
 TRAIN_ROWS = 50_000
 
+# Searches by relevance: terms frequent and rare, repeated, in another case, and unknown.
+RELEVANCE_QUERIES = ["worthless idiot", "License MYSTERY", "that", "idiot, idiot that", "the and of", "unheardofword", "..."]
+
 _models: dict = {}
+_indexes: dict = {}
 
 
 def _posts(spark: SparkSession, sf: str, comments: bool = False) -> DataFrame:
@@ -90,12 +95,12 @@ def _session_key(spark: SparkSession) -> str:
         return f"session-{id(spark)}"
 
 
-def _inputs_version(spark: SparkSession, sf: str) -> tuple:
-    """Changes whenever a file of the training tables does."""
-    meta = [spark.read.parquet(f"{sf}/{t}.parquet").select("_metadata.file_path", "_metadata.file_modification_time")
-            for t in ("documents", "labels")]
-    row = meta[0].unionByName(meta[1]).agg(
-        F.count_distinct("file_path"), F.max("file_modification_time"), F.count(F.lit(1))).first()
+def _inputs_version(spark: SparkSession, sf: str, tables: tuple[str, ...] = ("documents", "labels")) -> tuple:
+    """Changes whenever a file of the tables does: from the listing of their files, no row is read."""
+    files = spark.read.format("binaryFile").load([f"{sf}/{t}.parquet" for t in tables])
+    row = files.select("path", "length", "modificationTime").agg(
+        F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"), F.sum(F.xxhash64("path", "length", "modificationTime")
+                                                                            .cast("decimal(20,0)"))).first()
     return tuple(row)
 
 
@@ -212,6 +217,30 @@ def q_keywords_10k_top(spark, sf):
     return top_per_keyword(tagged.select("keyword", "id", "score"), TABLE_TOP)
 
 
+def relevance_index(spark, sf):
+    """The relevance index of the posts (built once per application, folder and file version)."""
+    key, version = (_session_key(spark), sf), _inputs_version(spark, sf, ("documents",))
+    if key not in _indexes or _indexes[key][0] != version:
+        posts = _posts(spark, sf).select("id", "forum", "title", "selftext")
+        _indexes[key] = (version, build_index(posts, scratch_path(spark, "relevance")))
+    return _indexes[key][1]
+
+
+def _relevant_posts(spark, sf, forum=None):
+    found = relevance_index(spark, sf).search(RELEVANCE_QUERIES, forum=forum)
+    return found.join(_posts(spark, sf).select("id", "title", "forum"), "id")
+
+
+def q_search_by_relevance(spark, sf):
+    """S1 by relevance: the 50 best posts for each query, by the stored index."""
+    return _relevant_posts(spark, sf)
+
+
+def q_search_by_relevance_of_forum(spark, sf):
+    """The same of one forum, by the same index."""
+    return _relevant_posts(spark, sf, SEARCH_FORUM)
+
+
 # --- scalar functions ---------------------------------------------------------
 
 def q_strip_urls(spark, sf):
@@ -493,7 +522,8 @@ def q_plain_stream_decode(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.removeprefix("q_"): f for f in (
     q_posts_scan, q_stored_posts, q_newest_posts, q_newest_posts_of_forum, q_head_posts, q_search_posts,
     q_search_posts_clean, q_top_posts_per_keyword, q_keyword_union, q_posts_per_keyword, q_empty_keyword,
-    q_many_keywords, q_keywords_10k, q_keywords_10k_top, q_strip_urls, q_clean_text, q_created_ts, q_score_lexicon, q_train_nb, q_score_nb,
+    q_many_keywords, q_keywords_10k, q_keywords_10k_top, q_search_by_relevance,
+    q_search_by_relevance_of_forum, q_strip_urls, q_clean_text, q_created_ts, q_score_lexicon, q_train_nb, q_score_nb,
     q_sentiment_result, q_sentiment_first, q_score_posts, q_score_join_by_id, q_score_any_transformer,
     q_title_join_fanout, q_title_join_labels, q_analyze_keywords, q_analyze_keywords_of_forum,
     q_agreement_flag, q_agreement_counts, q_agreement_for_keyword, q_agreement_by_keyword,
