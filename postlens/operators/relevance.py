@@ -1,13 +1,12 @@
 """S1 and L1 by relevance: an inverted index of posts, kept as a table, and BM25 search with block-max pruning.
 
-The index (``build_index``) is a Parquet folder with one row per (term, block):
-the block's posts that hold the term, how often, and their lengths, as
-arrays, beside the two numbers that bound their scores, the largest count and
-the smallest length. A block is a run of ``BLOCK_POSTS`` posts of one task's
-batch in order of length, so lengths within a block hardly differ and the
-bounds are tight. Rows lie in term buckets, sorted by term: a search reads
-the buckets of its terms alone and, of those, first only the bounds. The row
-with the empty term lists the posts of a block.
+The index (``build_index``) is a Parquet folder with one row per (term,
+segment), a segment being some thousand posts of one task. Its posts are in
+order of length, and each run of ``BLOCK_POSTS`` is a block: lengths within a
+block hardly differ. A row lists the posts that hold the term and its counts there (``posts``), and apart from them, per
+block, the two numbers that bound their scores, the largest count and the smallest length (``bounds``). Rows lie in term buckets, sorted
+by term: a search reads the buckets of its terms alone, and first only the bounds.
+Rows with the empty term name the posts of each block, with their lengths.
 
 A search (``RelevanceIndex.search``) adds up the bounds of its terms per
 block, scores the most promising blocks of each query exactly, and with the
@@ -44,55 +43,53 @@ SEGMENT_TOKENS = 1 << 20  # tokens that a task sorts at once
 FORUM_SEEDS = 4  # times k blocks are tried first when posts of other forums in them do not count
 MAX_BUCKETS = 1024
 
-INDEX = ("term string, block long, n int, max_tf int, min_dl int, posts array<int>, tfs array<int>, dls array<int>, "
-         "ids array<string>, forums array<string>, length long")
-_POSTS = ""  # the term of the rows that list a block's posts
+INDEX = ("term string, segment long, block int, n int, bounds array<int>, posts array<int>, "
+         "ids array<string>, forums array<string>, lengths array<int>")
+_POSTS = ""  # the term of the rows that name a block's posts
 
 
-def _segment(ids: pa.Array, forums: pa.Array, words: pa.Array, first: int, per_block: int) -> pa.RecordBatch:
-    """Index rows of one batch of posts; its blocks are numbered from ``first`` on."""
+def _segment(ids: pa.Array, forums: pa.Array, words: pa.Array, segment: int, per_block: int) -> pa.RecordBatch:
+    """Index rows of one batch of posts."""
     rows = len(ids)
     size = np.diff(words.offsets.to_numpy()).astype(np.int64)
-    size[~words.is_valid().to_numpy(zero_copy_only=False)] = 0
     order = np.argsort(size, kind="stable")
     place = np.empty(rows, np.int64)
     place[order] = np.arange(rows)  # posts in order of length
+    length = size[order]
     encoded = words.flatten().dictionary_encode()
-    code = encoded.indices.to_numpy().astype(np.int64)
-    post = place[np.repeat(np.arange(rows), size)]
-    cell, tf = np.unique(code * rows + post, return_counts=True)
+    cell, tf = np.unique(encoded.indices.to_numpy().astype(np.int64) * rows + place[np.repeat(np.arange(rows), size)],
+                         return_counts=True)
     code, post = cell // max(1, rows), cell % max(1, rows)
-    block = post // per_block
-    length = size[order]
-    start = np.flatnonzero(np.diff(code * rows + block, prepend=-1)) if len(cell) else np.zeros(0, np.int64)
-    off = np.append(start, len(cell)).astype(np.int32)
-    dl = length[post]
-    n_blocks = -(-rows // per_block)
-    heads = np.minimum(np.arange(n_blocks + 1) * per_block, rows).astype(np.int32)
-    lists = lambda ends, values, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
-    none = lambda n, kind: pa.nulls(n, pa.list_(kind))
-    reduced = (lambda how, x: how.reduceat(x, start) if len(start) else x)
-    by_term = [encoded.dictionary.take(pa.array(code[start])).cast(pa.string()), pa.array(first + block[start]),
-               pa.array(np.diff(off)), pa.array(reduced(np.maximum, tf).astype(np.int32)),
-               pa.array(reduced(np.minimum, dl).astype(np.int32)), lists(off, (post % per_block).astype(np.int32), pa.int32()),
-               lists(off, tf.astype(np.int32), pa.int32()), lists(off, dl.astype(np.int32), pa.int32()),
-               none(len(start), pa.string()), none(len(start), pa.string()), pa.nulls(len(start), pa.int64())]
-    taken = pa.array(order)
-    total = np.add.reduceat(length, heads[:-1]) if rows else np.zeros(0, np.int64)
-    held = np.add.reduceat((length > 0).astype(np.int64), heads[:-1]) if rows else np.zeros(0, np.int64)
-    listing = [pa.array([_POSTS] * n_blocks, pa.string()), pa.array(first + np.arange(n_blocks)), pa.array(held.astype(np.int32)),
-               pa.nulls(n_blocks, pa.int32()), pa.nulls(n_blocks, pa.int32()), none(n_blocks, pa.int32()),
-               none(n_blocks, pa.int32()), none(n_blocks, pa.int32()),
-               pa.ListArray.from_arrays(pa.array(heads), ids.take(taken)),
-               pa.ListArray.from_arrays(pa.array(heads), forums.take(taken)), pa.array(total.astype(np.int64))]
+    dl, block = length[post], post // per_block
+    term = np.flatnonzero(np.diff(code, prepend=-1))  # first cell of each term, and of each of its blocks
+    part = np.flatnonzero(np.diff(code * rows + block, prepend=-1))
+    by_block = [block[part], np.maximum.reduceat(tf, part), np.minimum.reduceat(dl, part)] if len(part) else [part] * 3
+
+    def lists(first: np.ndarray, fields: list[np.ndarray], total: int) -> pa.ListArray:
+        flat = np.stack(fields, 1).astype(np.int32).ravel()
+        return pa.ListArray.from_arrays(pa.array((np.append(first, total) * len(fields)).astype(np.int32)), pa.array(flat))
+
+    none = lambda n, kind: pa.nulls(n, kind)
+    texts, ints = pa.list_(pa.string()), pa.list_(pa.int32())
+    m = len(term)
+    of_terms = [encoded.dictionary.take(pa.array(code[term])).cast(pa.string()), pa.array(np.full(m, segment, np.int64)),
+                none(m, pa.int32()), pa.array(np.diff(np.append(term, len(cell))).astype(np.int32)),
+                lists(np.searchsorted(part, term), by_block, len(part)), lists(term, [post, tf], len(cell)),
+                none(m, texts), none(m, texts), none(m, ints)]
+    heads = np.arange(0, rows, per_block)
+    b, taken, ends = len(heads), pa.array(order), pa.array(np.append(heads, rows).astype(np.int32))
+    of_blocks = [pa.array([_POSTS] * b, pa.string()), pa.array(np.full(b, segment, np.int64)),
+                 pa.array(np.arange(b, dtype=np.int32)), pa.array(np.diff(np.append(heads, rows)).astype(np.int32)),
+                 none(b, ints), none(b, ints), pa.ListArray.from_arrays(ends, ids.take(taken)),
+                 pa.ListArray.from_arrays(ends, forums.take(taken)), pa.ListArray.from_arrays(ends, pa.array(length.astype(np.int32)))]
     names = [c.split()[0] for c in INDEX.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(by_term, listing, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(of_terms, of_blocks, strict=True)], names=names)
 
 
 def _segments(per_block: int, segment_tokens: int):
     """Task function: index rows of a task's posts, a segment of about ``segment_tokens`` at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 40
+        segment = TaskContext.get().partitionId() << 32
         for batch in batches:
             ends = np.cumsum(np.diff(batch.column(2).offsets.to_numpy()).astype(np.int64))
             lo = 0
@@ -100,8 +97,8 @@ def _segments(per_block: int, segment_tokens: int):
                 base = ends[lo - 1] if lo else 0
                 hi = max(lo + 1, int(np.searchsorted(ends, base + segment_tokens, "right")))
                 part = batch.slice(lo, hi - lo)
-                yield _segment(*(pa.concat_arrays([c]) for c in part.columns), first, per_block)
-                first += -(-part.num_rows // per_block)
+                yield _segment(*(pa.concat_arrays([c]) for c in part.columns), segment, per_block)
+                segment += 1
                 lo = hi
     return run
 
@@ -126,9 +123,9 @@ def build_index(posts: DataFrame, path: str, buckets: int | None = None, per_blo
                      F.coalesce(tokens("selftext"), F.array().cast("array<string>")))
     rows = posts.select("id", "forum", words.alias("words")).mapInArrow(_segments(per_block, segment_tokens), INDEX)
     bucket = F.when(F.col("term") == _POSTS, F.lit(-1)).otherwise(bucket_of(F.col("term"), buckets))
-    (rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
+    (rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment")
      .write.partitionBy("bucket").parquet(f"{path}/rows"))
-    spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/buckets")
+    spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(per_block).alias("per_block")).write.parquet(f"{path}/shape")
     return RelevanceIndex.read(spark, path)
 
 
@@ -143,6 +140,16 @@ def part(tf: Column, dl: Column, n_posts: int, length: int) -> Column:
     return F.call_function("div", F.lit(2_200_000_000).cast("long") * tf, F.lit(1000).cast("long") * tf + mean)
 
 
+_BLOCK = ["query", "segment", "block"]
+
+
+def _records(flat: str, *fields: str) -> Column:
+    """The numbers of an array, as many at a time as there are fields."""
+    width = len(fields)
+    every = F.sequence(F.lit(0), (F.size(flat) / width).cast("int") - 1)
+    return F.transform(every, lambda i: F.struct(*[F.get(flat, width * i + k).alias(f) for k, f in enumerate(fields)]))
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """A small frame that several steps of a search read, written to the shared checkpoint folder."""
     checkpoint_root(df.sparkSession)
@@ -156,15 +163,18 @@ class RelevanceIndex:
     spark: SparkSession
     path: str
     buckets: int
+    per_block: int
     n_posts: int
     length: int
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> RelevanceIndex:
         """Open an index: its size is read from the rows that list the posts."""
-        buckets = spark.read.parquet(f"{path}/buckets").first()[0]
-        total = cls._rows(spark, path).where(F.col("bucket") == -1).agg(F.sum("n"), F.sum("length")).first()
-        return cls(spark, path, buckets, int(total[0] or 0), int(total[1] or 0))
+        shape = spark.read.parquet(f"{path}/shape").first()
+        lengths = F.transform("lengths", lambda x: x.cast("long"))
+        total = cls._rows(spark, path).where(F.col("bucket") == -1).agg(
+            F.sum(F.size(F.filter(lengths, lambda x: x > 0))), F.sum(F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x))).first()
+        return cls(spark, path, shape.buckets, shape.per_block, int(total[0] or 0), int(total[1] or 0))
 
     @staticmethod
     def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -185,45 +195,49 @@ class RelevanceIndex:
         return self._rows(self.spark, self.path).where(F.col("bucket").isin(buckets)).where(f"term IN ({names})")
 
     def _plan(self, queries: list[str], k: int, forum: str | None) -> tuple[DataFrame, DataFrame]:
-        """(candidates (query, block, id, score), blocks (query, block, bound, read))."""
+        """(candidates (query, segment, block, id, score), blocks (query, segment, block, bound, read))."""
         wanted = self.terms_of(queries)
         rows = self._of_terms(sorted({t for _, t, _ in wanted}))
         counts = {r.term: r.df for r in rows.groupBy("term").agg(F.sum("n").alias("df")).collect()}
         factors = [(q, t, times * weight(self.n_posts, counts[t])) for q, t, times in wanted if t in counts]
         asked = F.broadcast(self.spark.createDataFrame(factors, "query int, term string, factor long"))  # the given queries
-        bound = F.col("factor") * part(F.col("max_tf"), F.col("min_dl"), self.n_posts, self.length)
-        blocks = _cut(rows.select("term", "block", "max_tf", "min_dl").join(asked, "term")
-                      .groupBy("query", "block").agg(F.sum(bound).alias("bound")))
+        bound = F.col("factor") * part(F.col("b.tf"), F.col("b.dl"), self.n_posts, self.length)
+        blocks = _cut(rows.select("term", "segment", F.explode(_records("bounds", "at", "tf", "dl")).alias("b")).join(asked, "term")
+                      .groupBy("query", "segment", F.col("b.at").alias("block")).agg(F.sum(bound).alias("bound")))
         # the best k blocks hold k posts at least, and the best of each is near its block's bound
-        seeds = _cut(top_k(blocks, k if forum is None else FORUM_SEEDS * k, [F.col("bound").desc(), F.col("block").asc()],
-                           by=["query"]).select("query", "block"))
+        seeds = _cut(top_k(blocks, k if forum is None else FORUM_SEEDS * k, [F.col("bound").desc(), F.col("segment").asc(), F.col("block").asc()],
+                           by=["query"]).select(*_BLOCK))
         first = _cut(self._score(rows, asked, seeds, forum))
         reached = (top_k(first, k, self._order(), by=["query"]).groupBy("query")
                    .agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("reached")))
         reached = F.broadcast(reached)  # one row per query
-        marked = (blocks.join(seeds.select("query", "block", F.lit(True).alias("seed")), ["query", "block"], "left")
+        marked = (blocks.join(seeds.select(*_BLOCK, F.lit(True).alias("seed")), _BLOCK, "left")
                   .join(reached, "query", "left")
                   .withColumn("read", F.col("seed").isNotNull() | (F.col("bound") >= F.coalesce("reached", F.lit(0)))))
         rest = marked.where(F.col("read") & F.col("seed").isNull())
         found = first.unionByName(self._score(rows, asked, rest, forum))
-        return found, marked.select("query", "block", "bound", "read")
+        return found, marked.select(*_BLOCK, "bound", "read")
 
     @staticmethod
     def _order() -> list[Column]:
         return [F.col("score").desc(), F.col("id").asc_nulls_last()]
 
     def _score(self, rows: DataFrame, asked: DataFrame, blocks: DataFrame, forum: str | None) -> DataFrame:
-        """(query, block, id, score): exact scores of the posts in some blocks."""
-        needed = blocks.select("query", "block")
-        held = rows.select("term", "block", F.arrays_zip("posts", "tfs", "dls").alias("held")).join(asked, "term")
-        hits = held.join(needed, ["query", "block"]).select("query", "block", "factor", F.explode("held").alias("p"))
-        add = F.col("factor") * part(F.col("p.tfs"), F.col("p.dls"), self.n_posts, self.length)
-        scores = hits.groupBy("query", "block", F.col("p.posts").alias("post")).agg(F.sum(add).alias("score"))
-        listing = self._rows(self.spark, self.path).where(F.col("bucket") == -1).select("block", "ids", "forums")
-        named = scores.join(listing, "block")
+        """(query, segment, block, id, score): exact scores of the posts in some blocks."""
+        needed = blocks.groupBy("query", "segment").agg(F.collect_list("block").alias("needed"))  # blocks of one segment
+        held = rows.select("term", "segment", "posts").join(asked, "term").join(needed, ["query", "segment"])
+        block = lambda at: (at / self.per_block).cast("int")
+        chosen = F.filter(_records("posts", "at", "tf"), lambda p: F.array_contains("needed", block(p["at"])))
+        hits = held.select("query", "segment", "factor", F.explode(chosen).alias("p")).select(
+            "query", "segment", "factor", block(F.col("p.at")).alias("block"), (F.col("p.at") % self.per_block).alias("at"), "p.tf")
+        names = self._rows(self.spark, self.path).where(F.col("bucket") == -1).select(
+            "segment", "block", "ids", "forums", "lengths")
+        named = hits.join(names, ["segment", "block"])
         if forum is not None:
-            named = named.where(F.get("forums", F.col("post")) == F.lit(forum))
-        return named.select("query", "block", F.get("ids", F.col("post")).alias("id"), "score").where("score > 0")
+            named = named.where(F.get("forums", F.col("at")) == F.lit(forum))
+        add = F.col("factor") * part(F.col("tf"), F.get("lengths", F.col("at")), self.n_posts, self.length)
+        return (named.groupBy(*_BLOCK, "at").agg(F.first(F.get("ids", F.col("at"))).alias("id"), F.sum(add).alias("score"))
+                .drop("at").where("score > 0"))
 
     def search(self, queries: list[str], k: int = DEFAULT_LIMIT, forum: str | None = None,
                column: str = "keyword") -> DataFrame:

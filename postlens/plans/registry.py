@@ -202,7 +202,7 @@ def _keyword_table(spark, sf):
     """Words of the texts, as they stand between spaces: the first in the order of their MD5."""
     word = F.explode(F.split("text", " ")).alias("keyword")
     words = spark.read.parquet(f"{sf}/documents.parquet").select(word).where("keyword <> ''").distinct()
-    return words.orderBy(F.md5("keyword"), "keyword").limit(TABLE_KEYWORDS)
+    return top_k(words, TABLE_KEYWORDS, [F.md5("keyword").asc(), F.col("keyword").asc()])
 
 
 def q_keywords_10k(spark, sf):
