@@ -29,17 +29,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.literals import sql_string
-from postlens.functions.text import tokens
+from postlens.functions.text import TOKEN_DELIMITER, tokens
 from postlens.operators.search import DEFAULT_LIMIT, top_k
 from postlens.session import checkpoint_root, estimated_bytes, max_partition_bytes
 
 BLOCK_POSTS = 32
-SEGMENT_TOKENS = 1 << 20  # tokens that a task sorts at once
+SEGMENT_BYTES = 4 << 20  # text that a task sorts at once
 FORUM_SEEDS = 4  # times k blocks are tried first when posts of other forums in them do not count
 MAX_BUCKETS = 1024
 
@@ -86,18 +87,19 @@ def _segment(ids: pa.Array, forums: pa.Array, words: pa.Array, segment: int, per
     return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(of_terms, of_blocks, strict=True)], names=names)
 
 
-def _segments(per_block: int, segment_tokens: int):
-    """Task function: index rows of a task's posts, a segment of about ``segment_tokens`` at a time."""
+def _segments(per_block: int, segment_bytes: int):
+    """Task function: index rows of a task's posts, a segment of about ``segment_bytes`` of text at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ends = np.cumsum(np.diff(batch.column(2).offsets.to_numpy()).astype(np.int64))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy().astype(np.int64))
             lo = 0
             while lo < batch.num_rows:
                 base = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, base + segment_tokens, "right")))
-                part = batch.slice(lo, hi - lo)
-                yield _segment(*(pa.concat_arrays([c]) for c in part.columns), segment, per_block)
+                hi = max(lo + 1, int(np.searchsorted(ends, base + segment_bytes, "right")))
+                ids, forums, text = (pa.concat_arrays([c]) for c in batch.slice(lo, hi - lo).columns)
+                words = pc.split_pattern(pc.if_else(pc.equal(text, ""), None, text), " ")
+                yield _segment(ids, forums, words, segment, per_block)
                 segment += 1
                 lo = hi
     return run
@@ -108,10 +110,10 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def build_index(posts: DataFrame, path: str, buckets: int | None = None, per_block: int = BLOCK_POSTS,
-                segment_tokens: int = SEGMENT_TOKENS) -> RelevanceIndex:
+                segment_bytes: int = SEGMENT_BYTES) -> RelevanceIndex:
     """Index the title and the body of every post below ``path``.
 
-    One pass: tokens are split in the JVM, each task groups its own posts, and
+    One pass: texts are brought to tokens in the JVM, each task groups its own posts, and
     only the grouped rows are shuffled, by term bucket. The rebalancing shuffle lets Spark cut a
     bucket with very frequent terms into several files and merge small ones.
     """
@@ -119,9 +121,9 @@ def build_index(posts: DataFrame, path: str, buckets: int | None = None, per_blo
     if buckets is None:
         size = estimated_bytes(posts)
         buckets = MAX_BUCKETS if size is None else min(MAX_BUCKETS, max(1, -(-size // max_partition_bytes(spark))))
-    words = F.concat(F.coalesce(tokens("title"), F.array().cast("array<string>")),
-                     F.coalesce(tokens("selftext"), F.array().cast("array<string>")))
-    rows = posts.select("id", "forum", words.alias("words")).mapInArrow(_segments(per_block, segment_tokens), INDEX)
+    # the tokens of functions.text, one space between them: less to send than an array
+    words = F.btrim(F.regexp_replace(F.lower(F.concat_ws(" ", "title", "selftext")), TOKEN_DELIMITER, " "))
+    rows = posts.select("id", "forum", words.alias("words")).mapInArrow(_segments(per_block, segment_bytes), INDEX)
     bucket = F.when(F.col("term") == _POSTS, F.lit(-1)).otherwise(bucket_of(F.col("term"), buckets))
     (rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment")
      .write.partitionBy("bucket").parquet(f"{path}/rows"))
