@@ -9,24 +9,19 @@ the tests run: the Kafka connector jar is not on this runtime.
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions.json import decode_json, encode_json
 from postlens.schemas import MESSAGE
+from postlens.session import scratch_path
 
 # The reference's transport defaults.
 DEFAULT_SERVERS = "localhost:9092"
 DEFAULT_MAX_MESSAGES = 100
 DEFAULT_TIMEOUT_SECONDS = 600
 
-_POSITION = "group_id string, partition int, next long"
-
 
 def kafka_source_options(topic: str, bootstrap_servers: str = DEFAULT_SERVERS,
                          starting: str = "earliest", ending: str | None = None,
@@ -81,76 +76,49 @@ def send(df: DataFrame, topic: str, target: str | None = None, fmt: str = "parqu
 
 
 def _batch_source(spark: SparkSession, topic: str, target: str | None, fmt: str,
-                  bootstrap_servers: str, starting: str, ending: str, timeout_seconds: int) -> DataFrame:
+                  bootstrap_servers: str, timeout_seconds: int) -> DataFrame:
     if fmt == "kafka":
         return spark.read.format("kafka").options(
-            **kafka_source_options(topic, bootstrap_servers, starting, ending)).option(
+            **kafka_source_options(topic, bootstrap_servers, ending="latest")).option(
             "kafkaConsumer.pollTimeoutMs", str(1000 * timeout_seconds)).load()
     return (spark.read.format(fmt).schema(MESSAGE).option("recursiveFileLookup", "true").load(target)
             .where(F.col("topic") == topic))
 
 
-def read_position(spark: SparkSession, store: str, group_id: str) -> dict[int, int]:
-    """The next offset per partition that a consumer group has not read (empty at first)."""
-    try:
-        rows = spark.read.schema(_POSITION).parquet(store).where(F.col("group_id") == group_id)
-        return {r["partition"]: r["next"] for r in rows.groupBy("partition").agg(F.max("next").alias("next")).collect()}
-    except AnalysisException as e:  # nothing committed yet
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return {}
-        raise
-
-
-def commit_position(spark: SparkSession, store: str, group_id: str, position: dict[int, int]) -> None:
-    """Remember a group's position (one row per topic partition)."""
-    rows = [(group_id, p, n) for p, n in position.items()]
-    spark.createDataFrame(rows, _POSITION).coalesce(1).write.mode("append").parquet(store)
-
-
-def kafka_bounds(topic: str, position: dict[int, int], max_messages: int) -> tuple[str, str]:
-    """``startingOffsets`` and ``endingOffsets`` of a bounded Kafka read that continues.
-
-    From each partition at most ``max_messages`` messages are read, not the
-    whole retained topic; the exact cap follows by offset. Without a position
-    the read starts at ``earliest`` (its offsets are not known yet).
-    """
-    if not position:
-        return "earliest", "latest"
-    text = lambda extra: json.dumps({topic: {str(p): n + extra for p, n in sorted(position.items())}})
-    return text(0), text(max_messages)
-
-
 def read_bounded(spark: SparkSession, topic: str, schema: T.StructType,
                  target: str | None = None, fmt: str = "parquet",
                  bootstrap_servers: str = DEFAULT_SERVERS,
                  max_messages: int | None = DEFAULT_MAX_MESSAGES,
                  group_id: str | None = None, position_store: str | None = None,
                  timeout_seconds: int = DEFAULT_TIMEOUT_SECONDS) -> DataFrame:
-    """S4 + C5 + L4: decode at most ``max_messages`` messages, exactly.
+    """S4 + C5 + L4: decode at most ``max_messages`` messages, exactly; ``None`` reads the whole topic.
 
     The cap takes the first messages by (offset, partition): a top-k with a
     per-task bound, never the whole topic in one task. With a ``group_id``
-    the read goes on where the group's last one ended: the selected messages (at
-    most the cap) are written next to the positions, the position is
-    committed, and the written rows are returned. ``timeout_seconds`` is how long
+    the read goes on where the group's last one ended: the group is a stream
+    with its checkpoint below ``position_store``, and a read is one of its
+    micro-batches (``streaming.consumer``). A capped Kafka read always is one: it takes at
+    most ``max_messages`` offsets, not the retained topic. ``timeout_seconds`` is how long
     a Kafka poll waits for messages.
     """
-    position = read_position(spark, f"{position_store}/position", group_id) if group_id else {}
-    starting, ending = kafka_bounds(topic, position, max_messages) if max_messages is not None else ("earliest", "latest")
-    src = _batch_source(spark, topic, target, fmt, bootstrap_servers, starting, ending, timeout_seconds)
-    if position:
-        seen = F.create_map(*[F.lit(x) for pair in position.items() for x in pair])
-        src = src.where(F.col("offset") >= F.coalesce(F.try_element_at(seen, F.col("partition")), F.lit(0)))
-    if max_messages is not None:
-        from postlens.operators.search import top_k
-        src = top_k(src, max_messages, [F.col("offset").asc(), F.col("partition").asc()])
-    if group_id:
-        chosen = f"{position_store}/read-{uuid.uuid4().hex}"
-        src.write.parquet(chosen)
-        src = spark.read.schema(MESSAGE).parquet(chosen)
-        ends = src.groupBy("partition").agg((F.max("offset") + 1).alias("next")).collect()  # one row per topic partition
-        if ends:
-            commit_position(spark, f"{position_store}/position", group_id, {r["partition"]: r["next"] for r in ends})
+    from postlens.operators.search import top_k
+    from postlens.streaming.consumer import next_batch, next_messages
+
+    if group_id and (max_messages is None or not position_store):
+        raise ValueError("a consumer group needs a cap and a place for its stream")
+    store = f"{position_store}/{group_id}" if group_id else scratch_path(spark, "read")
+    if fmt == "kafka" and max_messages is not None:
+        stream = spark.readStream.format("kafka").options(
+            **kafka_source_options(topic, bootstrap_servers, max_per_trigger=max_messages)).option(
+            "kafkaConsumer.pollTimeoutMs", str(1000 * timeout_seconds)).load()
+        rows = next_batch(stream, store)
+        src = spark.createDataFrame([], MESSAGE) if rows is None else rows
+    else:
+        src = _batch_source(spark, topic, target, fmt, bootstrap_servers, timeout_seconds)
+        if group_id:
+            src = next_messages(src, store, max_messages)
+        elif max_messages is not None:
+            src = top_k(src, max_messages, [F.col("offset").asc(), F.col("partition").asc()])
     return src.select(decode_json("value", schema).alias("data")).select("data.*")
 
 

@@ -98,11 +98,6 @@ def test_bounded_reads_continue(spark):
     assert rest == list(range(120, 200)) and read("a") == []
 
 
-def test_kafka_reads_are_bounded_from_the_position():
-    assert topic.kafka_bounds("t", {}, 100) == ("earliest", "latest")
-    assert topic.kafka_bounds("t", {0: 5, 2: 70}, 100) == ('{"t": {"0": 5, "2": 70}}', '{"t": {"0": 105, "2": 170}}')
-
-
 def test_posts_table_round_trip(spark):
     from postlens.sources.posts import project_post, read_posts, store_posts
     posts = load_fixture_posts(spark, SF_SMALL)
