@@ -289,4 +289,13 @@ SQL: dict[str, str] = {
     "stream_to_table": _with(POSTS, SCORES, SCORED_POSTS) + "SELECT id, title, sentiment1, sentiment2 FROM scored_posts",
     "stream_two_runs": _with(POSTS, SCORES, SCORED_POSTS) + "SELECT id, title, sentiment1, sentiment2 FROM scored_posts",
     "plain_stream_decode": _with(POSTS, SCORES, SCORED_POSTS) + "SELECT title, sentiment1, sentiment2 FROM scored_posts",
+    "dead_letters": _with(POSTS, SCORES) + (
+        "SELECT doc_id AS offset, doc_id % 13 = 0 OR doc_id % 17 = 0 AS dead, "
+        + ", ".join(f"CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN NULL ELSE {c} END AS {c.split('.')[1]}"
+                    for c in ("p.id", "l.sentiment1", "l.sentiment2"))
+        + " FROM posts p JOIN labelled l ON l.id = p.id"),
+    "live_posts_per_keyword": _with(POSTS, keyword_table([*KEYWORDS, "unheardof"]), TAGGED) + (
+        "SELECT k.keyword, CAST(count(t.id) AS BIGINT) AS n_posts FROM kw k "
+        "LEFT JOIN tagged t ON t.keyword = k.keyword GROUP BY k.keyword"),
 }
+SQL["live_agreement_by_keyword"] = SQL["agreement_by_keyword"]

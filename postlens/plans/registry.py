@@ -36,6 +36,9 @@ from postlens.sources.posts import (
     attach_comment_counts, keyword_frame, load_fixture_posts, project_post, read_posts, spread_small_input,
     store_posts,
 )
+from postlens.streaming.live import (
+    dead_letters, live_agreement_by_keyword, live_posts_per_keyword, living_letters, run_live_report, run_with_dead_letters,
+)
 from postlens.streaming.sink import TABLE_COLUMNS, decode_stream, run_stream_to_table, write_table
 
 # Fixed values of the test set-up: keywords that occur in the fixture text
@@ -519,6 +522,51 @@ def q_plain_stream_decode(spark, sf):
     return _stream_table(spark, [target], write)
 
 
+def _in_lots(spark, sf, run) -> None:
+    """``run(source)`` after each of two lots of raw posts is published to one topic, the second adding to the first."""
+    target = scratch_path(spark, "topic")
+    posts = _posts(spark, sf, comments=True).select(*POST_COLUMNS, "forum")
+    first = F.coalesce(F.col("forum") < "src2", F.lit(False))
+    for lot in (first, ~first):
+        topic.send(posts.where(lot).drop("forum"), TOPIC, target=target, offset=F.col("id").cast("bigint"))
+        run(topic.subscribe(spark, TOPIC, target=target, max_per_trigger=4))
+
+
+def _live_report(spark, sf) -> str:
+    path = scratch_path(spark, "live")
+    _in_lots(spark, sf, lambda messages: run_live_report(messages, path, KEYWORDS, LexiconScorer(), scorer_b(spark, sf)))
+    return path
+
+
+def q_live_agreement_by_keyword(spark, sf):
+    """A4 kept up to date by a stream over two runs."""
+    return live_agreement_by_keyword(spark, _live_report(spark, sf))
+
+
+def q_live_posts_per_keyword(spark, sf):
+    """A6 kept up to date by a stream over two runs."""
+    return live_posts_per_keyword(spark, _live_report(spark, sf), keyword_frame(spark, [*KEYWORDS, "unheardof"]))
+
+
+def q_dead_letters(spark, sf):
+    """Messages of which some are cut off (ids divisible by 13) or hold a text for a number (by 17): all come out, each once."""
+    path, target = scratch_path(spark, "letters"), scratch_path(spark, "topic")
+    number, value = F.col("offset"), F.col("value").cast("string")
+    posts = clean_posts(_posts(spark, sf, comments=True).select(*POST_COLUMNS))
+    messages = topic.to_messages(posts, TOPIC, offset=F.col("id").cast("bigint"))
+    cut = F.substring(value, F.lit(1), F.length(value) - 1)
+    wrong = F.regexp_replace(value, F.lit(r'"num_comments":[0-9]+'), F.lit('"num_comments":"many"'))
+    sent = messages.withColumn("value", F.when(number % 13 == 0, cut).when(number % 17 == 0, wrong).otherwise(value).cast("binary"))
+    for lot in (number % 2 == 0, number % 2 == 1):
+        sent.where(lot).write.mode("append").parquet(target)
+        run_with_dead_letters(topic.subscribe(spark, TOPIC, target=target, max_per_trigger=4), path, LexiconScorer(),
+                              scorer_b(spark, sf), clean=False)
+    good = living_letters(spark, path).select("offset", F.lit(False).alias("dead"), "id", "sentiment1", "sentiment2")
+    none = F.lit(None).cast("string")
+    return good.unionByName(dead_letters(spark, path).select(
+        "offset", F.lit(True).alias("dead"), *[none.alias(c) for c in ("id", "sentiment1", "sentiment2")]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.removeprefix("q_"): f for f in (
     q_posts_scan, q_stored_posts, q_newest_posts, q_newest_posts_of_forum, q_head_posts, q_search_posts,
     q_search_posts_clean, q_top_posts_per_keyword, q_keyword_union, q_posts_per_keyword, q_empty_keyword,
@@ -530,4 +578,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.remov
     q_sentiment_by_keyword, q_keyword_options, q_flair_counts, q_flair_counts_of_forum, q_json_encode,
     q_json_text, q_timestamp_message, q_json_decode, q_bounded_topic_read, q_bounded_reads_continue,
     q_topic_scored, q_csv_roundtrip, q_csv_skip_bad_lines, q_report_export, q_stream_to_table,
-    q_stream_two_runs, q_plain_stream_decode)}
+    q_stream_two_runs, q_plain_stream_decode, q_live_agreement_by_keyword, q_live_posts_per_keyword, q_dead_letters)}
