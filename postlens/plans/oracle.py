@@ -299,3 +299,6 @@ SQL: dict[str, str] = {
         "LEFT JOIN tagged t ON t.keyword = k.keyword GROUP BY k.keyword"),
 }
 SQL["live_agreement_by_keyword"] = SQL["agreement_by_keyword"]
+SQL["stored_models"] = SQL["stored_models_in_a_stream"] = SQL["sentiment_first"]
+SQL["stream_table_by_name"] = _with(POSTS, SCORES, SCORED_POSTS) + (
+    "SELECT id, title, sentiment1, sentiment2, reader FROM scored_posts, (VALUES ('before'), ('after')) r(reader)")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from postlens.functions.json import decode_json
 from postlens.functions.text import clean_text, epoch_to_timestamp, strip_urls
 from postlens.operators import report
 from postlens.operators.keywords import tag_keyword_table
+from postlens.operators.models import LexiconStage, NaiveBayesEstimator
 from postlens.operators.relevance import build_index
 from postlens.operators.scoring import (
     LexiconScorer, NaiveBayesScorer, join_scores_by_id, label_only, score_posts, title_fanout,
@@ -39,7 +41,8 @@ from postlens.sources.posts import (
 from postlens.streaming.live import (
     dead_letters, live_agreement_by_keyword, live_posts_per_keyword, living_letters, run_live_report, run_with_dead_letters,
 )
-from postlens.streaming.sink import TABLE_COLUMNS, decode_stream, run_stream_to_table, write_table
+from postlens.streaming.sink import TABLE_COLUMNS, decode_stream, run_stream_to_table, scored_stream, write_table
+from postlens.streaming.table import StreamTable
 
 # Fixed values of the test set-up: keywords that occur in the fixture text
 # (the reference's own keywords do not), the forum and keyword of the
@@ -340,6 +343,34 @@ def q_score_any_transformer(spark, sf):
     return score_posts(cleaned, LexiconScorer(), rule).select("id", "sentiment1", "sentiment2")
 
 
+def _stored_models(spark, sf) -> str:
+    """Both scorers fitted as pipelines and stored."""
+    path = scratch_path(spark, "models")
+    rows = training_rows(spark, sf)
+    for name, stage in (("a", LexiconStage()), ("b", NaiveBayesEstimator())):
+        Pipeline(stages=[stage]).fit(rows).save(f"{path}/{name}")
+    return path
+
+
+def q_stored_models(spark, sf):
+    """Posts labelled by scorers that another session loads."""
+    path, other = _stored_models(spark, sf), spark.newSession()
+    a, b = (PipelineModel.read().session(other).load(f"{path}/{n}") for n in ("a", "b"))
+    cleaned = clean_posts(_posts(spark, sf).select(*POST_COLUMNS))
+    return score_posts(cleaned, a, b).select("id", "sentiment1", "sentiment2")
+
+
+def q_stored_models_in_a_stream(spark, sf):
+    """The same models label a stream."""
+    path = _stored_models(spark, sf)
+    a, b = (PipelineModel.load(f"{path}/{n}") for n in ("a", "b"))
+
+    def write(source, table, base):
+        run_stream_to_table(spark, TOPIC, table, f"{base}/table", f"{base}/checkpoint", a, b, source=source, clean=False)
+
+    return _stream_table(spark, [_publish_posts(spark, sf)], write).select("id", "sentiment1", "sentiment2")
+
+
 # --- report -------------------------------------------------------------------
 
 def q_agreement_flag(spark, sf):
@@ -567,6 +598,19 @@ def q_dead_letters(spark, sf):
         "offset", F.lit(True).alias("dead"), *[none.alias(c) for c in ("id", "sentiment1", "sentiment2")]))
 
 
+def q_stream_table_by_name(spark, sf):
+    """A stream's table read by its name: by a reader that began before a compaction, and after it."""
+    base, source = scratch_path(spark, "named"), _publish_posts(spark, sf)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in TABLE_COLUMNS])
+    table = StreamTable(spark, "postlens_named_" + base.rsplit("-", 1)[-1], f"{base}/table", schema).create()
+    stream = scored_stream(topic.subscribe(spark, TOPIC, target=source, max_per_trigger=2), LexiconScorer(), scorer_b(spark, sf), clean=False)
+    table.run(stream, f"{base}/checkpoint", compact_every=3)
+    before = table.read().withColumn("reader", F.lit("before"))
+    table.compact(1 << 40)  # the stream has ended: everything
+    after = table.read().withColumn("reader", F.lit("after"))
+    return before.unionByName(after)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.removeprefix("q_"): f for f in (
     q_posts_scan, q_stored_posts, q_newest_posts, q_newest_posts_of_forum, q_head_posts, q_search_posts,
     q_search_posts_clean, q_top_posts_per_keyword, q_keyword_union, q_posts_per_keyword, q_empty_keyword,
@@ -578,4 +622,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.remov
     q_sentiment_by_keyword, q_keyword_options, q_flair_counts, q_flair_counts_of_forum, q_json_encode,
     q_json_text, q_timestamp_message, q_json_decode, q_bounded_topic_read, q_bounded_reads_continue,
     q_topic_scored, q_csv_roundtrip, q_csv_skip_bad_lines, q_report_export, q_stream_to_table,
-    q_stream_two_runs, q_plain_stream_decode, q_live_agreement_by_keyword, q_live_posts_per_keyword, q_dead_letters)}
+    q_stream_two_runs, q_plain_stream_decode, q_live_agreement_by_keyword, q_live_posts_per_keyword, q_dead_letters,
+    q_stored_models, q_stored_models_in_a_stream, q_stream_table_by_name)}
