@@ -75,7 +75,8 @@ class WordBpe:
             self.stand_in[b] = chr(256 + i)
         self.split = regex.compile(self.SPLIT)
         self.special = [a.content for a in self.tok.get_added_tokens_decoder().values()]
-        self.odd = regex.compile("[^!-~\u00a1-\u017f]")
+        self.odd = regex.compile("[^!-~\u00a1-\u017f]").search
+        self.marks = "<|" if all("<|" in x for x in self.special) else ""  # what every special string holds
         self.runs = _Cache(self._run)
         self.pieces = _Cache(self._piece)
 
@@ -83,24 +84,28 @@ class WordBpe:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize("".join([self.stand_in[b] for b in run.encode()]))]).tobytes()
+        if not run.isascii():  # printable ASCII stands for itself
+            run = "".join([self.stand_in[b] for b in run.encode()])
+        return array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if self.odd.search(piece) or any(x in piece for x in self.special):
+        if self.odd(piece) or (self.marks in piece and any(x in piece for x in self.special)):
             return self._whole(piece)
-        runs = self.runs
-        return b"".join([runs[r] for r in self.split.findall(piece.lower())])
+        piece = piece.lower()
+        if piece.isalpha():  # one run of letters
+            return self.runs[piece]
+        return b"".join(map(self.runs.__getitem__, self.split.findall(piece)))
 
     def ids(self, text: str) -> bytes:
-        pieces, out, at = self.pieces, [], 0
+        ids_of, out, at = self.pieces.__getitem__, [], 0
         while at < len(text):  # long texts in slices cut at a blank, which changes nothing
             end = at + SLICE if len(text) - at > SLICE else len(text)
             if end < len(text):
                 end = text.rfind(" ", at, end) if text.rfind(" ", at, end) > at else text.find(" ", end)
                 end = len(text) if end < 0 else end
-            out.append(b"".join([pieces[p] for p in text[at:end].replace("\n", " ").split(" ")]))
+            out.append(b"".join(map(ids_of, text[at:end].replace("\n", " ").split(" "))))
             at = end
         return b"".join(out)
 
