@@ -1,12 +1,14 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
 Every notice of a file (a line, a sentence of one, its leading block, or the
-whole text of a licence file) is a sparse vector of its
-distinct terms, weighted by inverse document frequency over all files. A cosine of s needs shared
-terms of s^2 of the template's squared norm or more, so a notice must hold one of the
+whole text of a licence file) is a sparse vector of its terms, each weighted by
+its count and its inverse document frequency over all files. A cosine of s needs
+shared terms with s^2 of the template's squared norm or more, so a notice must hold one of the
 template's heaviest terms, those without which the rest falls short (its
-prefix), and as many terms as its heaviest need to come to that. Only such
-notices leave the scan, and the document frequencies of all
+prefix), and as many terms as its heaviest need to come to that. What is left is
+bounded exactly: every term that the template has not weighs its count at least, so the
+cosine is at most what the shared terms give over that norm. Only notices
+that pass leave the scan, and the document frequencies of all
 their terms are counted over all files; their dot products come from an
 equi-join with the templates' terms. A file without a notice of its own takes
 the licence of the nearest ancestor directory that has a licence file, found by
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.llm.common import cut
+from postlens.llm.linededup import _maybe
 
 SIMILARITY, FILE_SHARE = 0.8, 0.5
 BROADCAST_TERMS = 200_000  # template terms sent to every task, at most; more are joined by shuffling
@@ -68,36 +71,42 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES + HEADERS + whole, "license string, text string")
 
 
+def all_terms(text: Column) -> Column:
+    """Lower-case runs of letters and digits, repeats included."""
+    return F.array_remove(F.split(F.lower(text), NOT_TERM), "")
+
+
 def terms(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(text), NOT_TERM), ""))
+    """The distinct terms of a text."""
+    return F.array_distinct(all_terms(text))
 
 
 def _idf(n: Column, df: Column) -> Column:
     return F.log((n + 1.0) / (F.coalesce(df, F.lit(0)) + 1.0)) + 1.0
 
 
-def _sent(rows: DataFrame) -> DataFrame:
-    """A table of template terms, broadcast if it is small enough; else Spark shuffles the join."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
-
-
 def document_frequency(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``term, df``: how many files hold each wanted term."""
-    rows = files.select(F.explode_outer(terms(F.col("text"))).alias("term"))
-    return rows.join(_sent(wanted), "term").groupBy("term").agg(F.count("*").alias("df"))
+    """``term, df``: how many files hold each wanted term.
+
+    Terms go by a 64-bit hash. A filter of fixed size keeps terms that nobody
+    asked for in their task, the others are counted there before they are shuffled.
+    """
+    wanted = wanted.select("term", F.xxhash64("term").alias("h"))
+    rows = files.select(F.explode_outer(F.transform(terms(F.col("text")), lambda t: F.xxhash64(t))).alias("h"))
+    counted = _maybe(rows.where("h is not null"), wanted, F.col("h"), "hit").where("hit").groupBy("h").agg(F.count("*").alias("df"))
+    return counted.join(wanted, "h").select("term", "df")
 
 
-def prefixes(entries: DataFrame, weight: DataFrame, similarity: float) -> DataFrame:
+def prefixes(entries: DataFrame, similarity: float) -> DataFrame:
     """``term, tpl, need``: the terms of which a notice must hold one to reach ``similarity`` with a template.
 
-    ``need`` is the least number of the template's terms that it must hold.
+    ``need`` is the least number of the template's terms that it must hold. ``entries``: ``term, license, body, v``.
     """
-    w2 = F.col("w") * F.col("w")
-    lighter = Window.partitionBy("license", "body").orderBy(F.col("w").desc(), "term").rowsBetween(0, Window.unboundedFollowing)
+    w2 = F.col("v") * F.col("v")
+    lighter = Window.partitionBy("license", "body").orderBy(F.col("v").desc(), "term").rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy("license", "body")
     least = (similarity - 1e-6) ** 2 * F.sum(w2).over(whole)
-    ranked = entries.join(weight, "term").select(
+    ranked = entries.select(
         "term", "license", "body", F.sum(w2).over(whole).alias("all"), F.sum(w2).over(lighter).alias("rest"), least.alias("least"))
     # the heaviest terms before this one fall short: it is needed too
     short = (F.col("all") - F.col("rest") < F.col("least") - 1e-9).cast("int")
@@ -106,8 +115,25 @@ def prefixes(entries: DataFrame, weight: DataFrame, similarity: float) -> DataFr
     return ranked.where(F.col("rest") >= F.col("least") - 1e-9).select("term", "tpl", "need")
 
 
-def notices(files: DataFrame, prefix: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Rows ``file_id, path, notice, t`` of the notices with a prefix term and enough terms of its template.
+def may_reach(similarity: float) -> Column:
+    """Whether a notice (``words``, ``t``) can have this cosine with a template (``of``: term to (v, w), ``norm``).
+
+    With the shared terms' part of the notice's squared norm B and the count C of its other words, whose
+    weights are 1 or more, the norm is at least sqrt(B + C).
+    """
+    count = lambda x: F.size(F.filter("words", lambda y: y == x)).cast("double")
+    shared = F.transform(F.array_intersect("t", F.map_keys("of")), lambda x: F.struct(
+        count(x).alias("n"), F.col("of")[x]["v"].alias("v"), F.col("of")[x]["w"].alias("w")))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("dot", "b", "n")])
+    got = F.aggregate(shared, zero, lambda a, x: F.struct(
+        (a["dot"] + x["v"] * x["n"] * x["w"]).alias("dot"), (a["b"] + x["n"] * x["n"] * x["w"] * x["w"]).alias("b"),
+        (a["n"] + x["n"]).alias("n")))
+    least = F.lit((similarity - 1e-6) ** 2) * F.col("norm") * F.col("norm")
+    return F.exists(F.array(got), lambda g: g["dot"] * g["dot"] >= least * (g["b"] + F.size("words") - g["n"]) - 1e-9)
+
+
+def notices(files: DataFrame, prefix: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Rows ``file_id, path, notice, words`` of the notices that may reach ``similarity`` with a template.
 
     Besides each line and sentence, the leading comment block, the first one to
     ``PARAGRAPHS`` paragraphs and the whole text of licence files are notices.
@@ -120,12 +146,12 @@ def notices(files: DataFrame, prefix: DataFrame, bodies: DataFrame) -> DataFrame
     whole = F.when(F.lower("path").rlike(LICENSE_FILE), F.col("text"))
     blocks = F.array_compact(F.array_distinct(F.array(comment, *heads, whole)))
     units = files.select("file_id", "path", F.posexplode(F.concat(F.split("text", NOTICE), blocks)).alias("notice", "s"))
-    units = units.select("file_id", "path", "notice", terms(F.col("s")).alias("t"))
-    rows = units.select("file_id", "path", "notice", "t", F.explode_outer("t").alias("term"))
-    some = rows.join(_sent(prefix), "term").where(F.size("t") >= F.col("need")).drop("term")
-    some = some.join(F.broadcast(bodies) if prefix.count() <= BROADCAST_TERMS else bodies, "tpl")
-    some = some.where(F.size(F.array_intersect("t", "of")) >= F.col("need"))
-    return some.select("file_id", "path", "notice", "t").dropDuplicates(["file_id", "path", "notice", "t"])
+    units = units.select("file_id", "path", "notice", all_terms(F.col("s")).alias("words"))
+    units = units.select("file_id", "path", "notice", "words", F.array_distinct("words").alias("t"))
+    some = units.select("*", F.explode_outer("t").alias("term")).join(prefix, "term").where(F.size("t") >= F.col("need"))
+    some = some.drop("term").join(bodies, "tpl")
+    some = some.where(F.size(F.array_intersect("t", F.map_keys("of"))) >= F.col("need")).where(may_reach(similarity))
+    return some.select("file_id", "path", "notice", "words").dropDuplicates(["file_id", "path", "notice", "words"])
 
 
 def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "text",
@@ -147,27 +173,34 @@ def scan(files: DataFrame, known: DataFrame, id_col: str = "file_id", path_col:
                         F.col(text_col).cast("string").alias("text"))
     tpl = known.select("license", F.col("text").alias("body")).where("license is not null and body is not null").distinct()
     # a hash stands for the text, which may be long and is on every term's row
-    tpl_terms = tpl.select("license", F.sha2("body", 256).alias("body"), terms(F.col("body")).alias("t")).where(F.size("t") > 0)
-    entries = tpl_terms.select("license", "body", F.explode_outer("t").alias("term"))
-    wanted = cut(entries.select("term").distinct())
+    tpl_terms = tpl.select("license", F.sha2("body", 256).alias("body"), F.explode(all_terms(F.col("body"))).alias("term"))
+    counts = cut(tpl_terms.groupBy("license", "body", "term").agg(F.count("*").alias("tf")))
+    wanted = cut(counts.select("term").distinct())
     n = F.lit(rows.count())
     df = document_frequency(rows, wanted)
     weight = cut(wanted.join(df, "term", "left").select("term", _idf(n, F.col("df")).alias("w")))
-    bodies = tpl_terms.select(F.xxhash64("license", "body").alias("tpl"), F.col("t").alias("of"))
-    found = cut(notices(rows, cut(prefixes(entries, weight, similarity)), bodies))
-    hits = found.select("file_id", "path", "notice", F.xxhash64("t").alias("u"), F.size("t").alias("size"),
-                        F.explode_outer("t").alias("term"))
+    entries = cut(counts.join(weight, "term").withColumn("v", F.col("tf") * F.col("w")))
+    vector = entries.groupBy("license", "body").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    bodies = entries.groupBy("license", "body").agg(
+        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"),
+        F.map_from_entries(F.collect_list(F.struct("term", F.struct("v", "w")))).alias("of"))
+    bodies = bodies.select(F.xxhash64("license", "body").alias("tpl"), "norm", "of")
+    few = entries.count() <= BROADCAST_TERMS  # all that is sent is a part of these
+    send = F.broadcast if few else (lambda x: x)
+    found = cut(notices(rows, send(cut(prefixes(entries, similarity))), send(bodies), similarity))
+    hits = (found.select("file_id", "path", "notice", F.xxhash64("words").alias("u"), F.size(F.array_distinct("words")).alias("size"),
+                         F.explode_outer("words").alias("term"))
+            .groupBy("file_id", "path", "notice", "u", "size", "term").agg(F.count("*").alias("n")))
+    hits = cut(hits)
     # the terms of these notices that no template has weigh by their own frequency
     other = cut(hits.select("term").distinct().join(wanted, "term", "left_anti"))
     seen = document_frequency(rows, other).select("term", _idf(n, F.col("df")).alias("w"))
-    vector = entries.join(weight, "term").groupBy("license", "body").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighted = cut(hits.join(weight.unionByName(seen), "term"))
+    weighted = cut(hits.join(weight.unionByName(seen), "term").withColumn("x", F.col("n") * F.col("w")))
     key = ["file_id", "path", "notice", "u"]
     norms = weighted.groupBy(*key).agg(
-        F.max("size").alias("size"), F.sum(F.col("w") * F.col("w")).alias("sq"))
-    dots = (weighted.join(entries, "term").groupBy(*key, "license", "body")
-            .agg(F.sum(F.col("w") * F.col("w")).alias("dot")))
+        F.max("size").alias("size"), F.sum(F.col("x") * F.col("x")).alias("sq"))
+    dots = (weighted.select(*key, "term", "x").join(entries.select("license", "body", "term", "v"), "term")
+            .groupBy(*key, "license", "body").agg(F.sum(F.col("x") * F.col("v")).alias("dot")))
     left, right = dots.alias("l"), norms.alias("r")
     same = F.lit(True)
     for c in key:

@@ -420,7 +420,7 @@ def test_anchors_are_the_last_smallest():
 
 
 def test_license_cosine_matches_brute_force(spark):
-    """Every notice of random mixtures of template terms, against cosines of all pairs."""
+    """Every notice of random mixtures of template terms, against cosines of all pairs: true counts and frequencies."""
     import math
 
     rng = random.Random(6)
@@ -429,30 +429,31 @@ def test_license_cosine_matches_brute_force(spark):
     for i in range(150):
         lines = []
         for _ in range(rng.randint(0, 4)):
-            t = re.findall("[a-z0-9]+", rng.choice(license.TEMPLATES)[1].lower())
-            keep = [w for w in t if rng.random() < rng.choice([1, 0.9, 0.7])] + rng.sample(vocabulary, rng.randint(0, 4))
+            t = re.findall("[a-z0-9]+", rng.choice(license.TEMPLATES + license.HEADERS)[1].lower())
+            keep = [w for w in t if rng.random() < rng.choice([1, 0.9, 0.7])] + rng.choices(vocabulary, k=rng.randint(0, 4))
+            keep += rng.choices(keep or ["x"], k=rng.choice([0, 0, 3]))
             rng.shuffle(keep)
             lines.append(" ".join(keep))
         files.append((i, f"d{i}/f{i}", "\n".join(lines)))
-    sets = {i: [set(re.findall("[a-z0-9]+", s)) for s in t.split("\n")] for i, _, t in files}
-    df = Counter(w for ss in sets.values() for w in set().union(*ss))
+    split = lambda s: Counter(re.findall("[a-z0-9]+", s.lower()))
+    units = {i: [split(s) for s in [*t.split("\n"), t]] for i, _, t in files}  # without a blank line the text is a block
+    df = Counter(w for us in units.values() for w in us[-1])
     n = len(files)
-    tpl = [(name, set(re.findall("[a-z0-9]+", t.lower()))) for name, t in license.TEMPLATES]
-    known = set().union(*(t for _, t in tpl))
-    idf = lambda w: math.log((n + 1) / ((df[w] if w in known else 0) + 1)) + 1
-    norm = lambda s: math.sqrt(sum(idf(w) ** 2 for w in s))
+    known = [(r.license, split(r.text)) for r in license.templates(spark).collect()]
+    idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1
+    norm = lambda c: math.sqrt(sum((k * idf(w)) ** 2 for w, k in c.items()))
+    cos = lambda a, b: round(sum(k * b[w] * idf(w) ** 2 for w, k in a.items()) / (norm(a) * norm(b)), 6)
     want = {}
-    for i, ss in sets.items():
-        best = min((-round(sum(idf(w) ** 2 for w in s & t) / (norm(s) * norm(t)), 6), name) for s in ss or [set()] for name, t in tpl if s) \
-            if any(ss) else (0, None)
+    for i, us in units.items():
+        best = min(((-cos(u, t), name) for u in us if u for name, t in known), default=(0, None))
         want[i] = (best[1], -best[0]) if -best[0] >= 0.8 else (None, None)
     got = {r.file_id: (r.license, r.similarity) for r in license.scan(
         spark.createDataFrame(files, "file_id long, path string, text string"), license.templates(spark)).collect()
         if r.origin != "inherited"}
     inherited = set(want) - set(got)
     assert all(want[i] == (None, None) for i in inherited)
-    for i, (name, cos) in got.items():
-        assert name == want[i][0] and (cos is None or abs(cos - want[i][1]) < 2e-6)
+    for i, (name, found) in got.items():
+        assert name == want[i][0] and (found is None or abs(found - want[i][1]) < 2e-6)
     assert sum(name is not None for name, _ in want.values()) > 20
 
 
