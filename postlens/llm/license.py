@@ -30,7 +30,7 @@ SIMILARITY, FILE_SHARE = 0.8, 0.5
 BROADCAST_TERMS = 200_000  # template terms sent to every task, at most; more are joined by shuffling
 NOTICE = r"\n|(?<=[.!?;]) "
 COMMENT = r"^\s*(#|//|/\*|\*|--|;|%|<!--|$)"
-PARAGRAPHS = 4  # leading paragraphs, one to so many, that may be a header
+PARAGRAPHS = 4  # a header has up to so many consecutive paragraphs, wherever it stands
 LICENSE_FILE = r"(^|/)(licen[sc]e|copying|notice)(\.[^/]*)?$"
 NOT_TERM = "[^a-z0-9]+"
 
@@ -135,16 +135,17 @@ def may_reach(similarity: float) -> Column:
 def notices(files: DataFrame, prefix: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     """Rows ``file_id, path, notice, words`` of the notices that may reach ``similarity`` with a template.
 
-    Besides each line and sentence, the leading comment block, the first one to
+    Besides each line and sentence, the leading comment block, every run of one to
     ``PARAGRAPHS`` paragraphs and the whole text of licence files are notices.
     """
     lines = F.split("text", "\n")
     other = F.array_position(F.transform(lines, lambda s: s.rlike(COMMENT)), False)
     comment = F.array_join(F.slice(lines, F.lit(1), F.when(other > 0, other - 1).otherwise(F.size(lines)).cast("int")), "\n")
     parts = F.split(F.trim("text"), r"\n[ \t\r]*\n")
-    heads = [F.array_join(F.slice(parts, 1, k), "\n") for k in range(1, PARAGRAPHS + 1)]
+    runs = F.flatten(F.transform(parts, lambda _, i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(PARAGRAPHS), F.size(parts) - i)), lambda k: F.array_join(F.slice(parts, i + 1, k), "\n"))))
     whole = F.when(F.lower("path").rlike(LICENSE_FILE), F.col("text"))
-    blocks = F.array_compact(F.array_distinct(F.array(comment, *heads, whole)))
+    blocks = F.array_compact(F.array_distinct(F.concat(F.array(comment, whole), F.coalesce(runs, F.array().cast("array<string>")))))
     units = files.select("file_id", "path", F.posexplode(F.concat(F.split("text", NOTICE), blocks)).alias("notice", "s"))
     units = units.select("file_id", "path", "notice", all_terms(F.col("s")).alias("words"))
     units = units.select("file_id", "path", "notice", "words", F.array_distinct("words").alias("t"))

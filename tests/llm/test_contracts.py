@@ -490,6 +490,18 @@ def test_common_words_beside_a_notice_weigh_little(spark):
     assert got[1] == (None, None)
 
 
+def test_license_headers_anywhere(spark):
+    """A header is found behind any number of paragraphs, and over several of them."""
+    head = dict(license.HEADERS)["GPL-3.0-or-later"]
+    cut = head.index("This program is distributed")
+    other = "\n\n".join(f"paragraph {i} of something else, in some words{i}" for i in range(9))
+    files = [(1, "a/x.txt", other + "\n\n" + head), (2, "b/x.txt", other + "\n\n" + head[:cut] + "\n \n" + head[cut:] + "\n\n" + other),
+             (3, "c/x.txt", other), (4, "d/x.txt", "")]
+    got = {r.file_id: r.license for r in license.scan(
+        spark.createDataFrame(files, "file_id long, path string, text string"), license.templates(spark)).collect()}
+    assert got == {1: "GPL-3.0-or-later", 2: "GPL-3.0-or-later", 3: None, 4: None}
+
+
 def test_license_headers_and_whole_texts(spark):
     """Headers over several lines and whole licence files, which pass their licence on."""
     whole = {r.license: r.text for r in license.templates(spark).collect() if len(r.text) > 1000}
