@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from brute import groups, similar_pairs
 from postlens.llm import decontam, kernels, license, linededup, packing, quality, simhash, substring, suffix, topk, urlfilter
 from postlens.llm.queries import URL_RULES, tokenizer_path
 
@@ -309,7 +310,7 @@ def test_line_links_match_brute_force(spark):
 
 
 def test_fuzzy_lines_are_linked(spark):
-    """Groups through verified pairs against brute force over the same fingerprints."""
+    """Groups of lines against the edit similarity of all pairs."""
     rng = random.Random(12)
     vocabulary = [f"t{i}" for i in range(500)]
     lines = []
@@ -321,36 +322,12 @@ def test_fuzzy_lines_are_linked(spark):
                 k = rng.randrange(len(c))
                 c[k:k + 1] = rng.choice([[], [rng.choice(vocabulary)], [c[k], "new"]])
             lines.append(" ".join(c))
-        lines.append(" ".join(rng.sample(base, len(base))))  # same fingerprint, other order: no link
+        lines.append(" ".join(rng.sample(base, len(base))))  # the same words in another order: no link
     frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    keyed = frame.select("text", F.col("doc_id").alias("th"), F.col("doc_id").alias("did"))
-    fp = {r["did"]: r["fp"] for r in linededup.fingerprinted(keyed).collect()}
-    mask = (1 << 64) - 1
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(prev + (x != y), row[j] + 1, row[j - 1] + 1)
-        return row[-1]
-
-    root = list(range(len(lines)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    links = 0
-    for x in range(len(lines)):
-        for y in range(x):
-            a, b = lines[x].split(), lines[y].split()
-            if bin((fp[x] ^ fp[y]) & mask).count("1") <= 3 and edits(a, b) <= 0.2 * max(len(a), len(b)):
-                root[max(find(x), find(y))] = min(find(x), find(y))
-                links += lines[x] != lines[y]
+    pairs = similar_pairs([s.split() for s in lines])
+    root = groups(len(lines), pairs)
     got = {r["doc_id"] for r in linededup.dedup_lines(frame).where("n_removed = 0").select("row.doc_id").collect()}
-    assert got == {find(x) for x in range(len(lines))} and links > 5
+    assert got == set(root) and sum(lines[a] != lines[b] for a, b in pairs) > 20
 
 
 def test_license_scan(spark):
