@@ -210,6 +210,36 @@ def tag_keyword_table(posts: DataFrame, keywords: DataFrame, keyword_col: str =
     return reduce(DataFrame.unionByName, parts)
 
 
+def posts_with_keyword_table(posts: DataFrame, keywords: DataFrame, keyword_col: str = "keyword",
+                             column: str = "keywords") -> DataFrame:
+    """Posts matching at least one keyword row, once each, with their keywords as an array (sorted within a block).
+
+    For work that is per post, as ``search.posts_with_keywords`` is for lists: a post with a hundred
+    keywords is cleaned and scored once.
+    """
+    found = _free("_found", [*posts.columns, column])
+    title, selftext = F.lower(F.col("title")), F.lower(F.col("selftext"))
+    arrays = [_tags(tags, needles)(title, selftext) for tags, needles in _blocks(keywords, keyword_col) if tags]
+    every = F.concat(*arrays) if arrays else F.array().cast("array<string>")
+    marked = posts.select("*", every.alias(column))
+    # the first hit through explode_outer: a size filter would be pushed down and match twice
+    return (marked.select("*", F.explode_outer(F.slice(F.col(column), 1, 1)).alias(found))
+            .where(F.col(found).isNotNull()).drop(found))
+
+
+def _tags(tags: list[str], needles: list[str]):
+    """Like ``_hits``, with the keywords as given in place of their positions."""
+    built: list = []
+
+    def run(title: pa.Array, selftext: pa.Array) -> pa.Array:
+        if not built:
+            built.extend([KeywordMatcher(needles), pa.array(tags, pa.string())])
+        hits = built[0].hits([title, selftext])
+        return pa.ListArray.from_arrays(hits.offsets, built[1].take(hits.values))
+
+    return F.arrow_udf(run, "array<string>")
+
+
 def _free(name: str, taken: list[str]) -> str:
     """A column name that the posts do not have."""
     while name in taken:
@@ -219,7 +249,7 @@ def _free(name: str, taken: list[str]) -> str:
 
 def _explode_tags(posts: DataFrame, hits: Column, tags: list[str], column: str) -> DataFrame:
     """One row per hit; the tags of a block travel once, as a small table."""
-    every, one, tag = (_free(n, posts.columns) for n in ("_hits", "_hit", "_tag"))
+    every, one, tag = (_free(n, [*posts.columns, column]) for n in ("_hits", "_hit", "_tag"))
     names = posts.sparkSession.createDataFrame(list(enumerate(tags)), f"{one} int, {tag} string")
     # explode_outer + null filter: a plain explode makes Catalyst infer a size filter and match twice
     found = posts.select("*", hits.alias(every)).select("*", F.explode_outer(every).alias(one)).where(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.text import clean_text, epoch_to_timestamp
+from postlens.operators.keywords import posts_with_keyword_table, tag_keyword_table
 from postlens.operators.scoring import score_posts
 from postlens.operators.search import (
     DEFAULT_LIMIT, by_forum, posts_with_keywords, search_posts, tag_keywords, top_per_keyword,
@@ -50,7 +51,22 @@ def analyze_keywords(posts: DataFrame, keywords: list[str], scorer_a, scorer_b,
         tagged = top_per_keyword(tag_keywords(selected, keywords), limit)
         prepared = clean_posts(with_timestamp(tagged.select(*POST_COLUMNS, "keyword")))
         return score_posts(prepared, scorer_a, scorer_b).select(*SCORED_COLUMNS)
-    matched = posts_with_keywords(selected, keywords, "_keywords")
+    return _scored_once(posts_with_keywords(selected, keywords, "_keywords"), scorer_a, scorer_b)
+
+
+def analyze_keyword_table(posts: DataFrame, keywords: DataFrame, scorer_a, scorer_b, forum: str | None = None,
+                          limit: int | None = DEFAULT_LIMIT, keyword_col: str = "keyword") -> DataFrame:
+    """M4 for a keyword table of any length: the rows of ``analyze_keywords``, at one pass over the posts."""
+    selected = by_forum(posts, forum)
+    if limit is not None:
+        tagged = top_per_keyword(tag_keyword_table(selected, keywords, keyword_col), limit)
+        prepared = clean_posts(with_timestamp(tagged.select(*POST_COLUMNS, "keyword")))
+        return score_posts(prepared, scorer_a, scorer_b).select(*SCORED_COLUMNS)
+    return _scored_once(posts_with_keyword_table(selected, keywords, keyword_col, "_keywords"), scorer_a, scorer_b)
+
+
+def _scored_once(matched: DataFrame, scorer_a, scorer_b) -> DataFrame:
+    """Posts with an array ``_keywords`` cleaned and scored, then one row per keyword."""
     prepared = clean_posts(with_timestamp(matched.select(*POST_COLUMNS, "_keywords")))
     scored = score_posts(prepared, scorer_a, scorer_b)
     # explode_outer + null filter: no inferred size filter pushed below the scorers

@@ -302,3 +302,7 @@ SQL["live_agreement_by_keyword"] = SQL["agreement_by_keyword"]
 SQL["stored_models"] = SQL["stored_models_in_a_stream"] = SQL["sentiment_first"]
 SQL["stream_table_by_name"] = _with(POSTS, SCORES, SCORED_POSTS) + (
     "SELECT id, title, sentiment1, sentiment2, reader FROM scored_posts, (VALUES ('before'), ('after')) r(reader)")
+SQL["agreement_by_10k_keywords"] = _with(POSTS, HASHED_KW, TAGGED, SCORES) + (
+    "SELECT CASE WHEN grouping(keyword) = 1 THEN 'All' ELSE keyword END AS keyword, agreement, count(*) AS n_posts FROM "
+    "(SELECT t.keyword, CASE WHEN l.sentiment1 = l.sentiment2 THEN 'Agree' ELSE 'Disagree' END AS agreement "
+    "FROM tagged t JOIN labelled l ON l.id = t.id) GROUP BY GROUPING SETS ((keyword, agreement), (agreement))")

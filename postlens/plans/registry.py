@@ -30,7 +30,7 @@ from postlens.operators.scoring import (
 from postlens.operators.search import (
     keyword_union, newest, search_posts, tag_keywords, top_k, top_per_keyword,
 )
-from postlens.plans.analysis import analyze_keywords, clean_posts, search_posts_clean, with_timestamp
+from postlens.plans.analysis import analyze_keyword_table, analyze_keywords, clean_posts, search_posts_clean, with_timestamp
 from postlens.schemas import POST, POST_COLUMNS, POST_TS
 from postlens.session import checkpoint_root, scratch_path
 from postlens.sources import files, topic
@@ -62,6 +62,9 @@ SEARCH_KEYWORD = "that"
 REPORT_KEYWORD = "idiot"
 TOPIC = "posts"
 LONG_TEXT = 1000
+# Files of the topic that a trigger of the live report and of the dead letters takes: each trigger
+# pays for all partitions of the state store.
+FILES_PER_TRIGGER = 64
 
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 
@@ -394,6 +397,12 @@ def q_agreement_by_keyword(spark, sf):
     return report.agreement_by_keyword(_scored_keywords(spark, sf, limit=None))
 
 
+def q_agreement_by_10k_keywords(spark, sf):
+    """A4 over a keyword table: every post scored once, however many keywords it matches."""
+    scored = analyze_keyword_table(_posts(spark, sf), _keyword_table(spark, sf), LexiconScorer(), scorer_b(spark, sf), limit=None)
+    return report.agreement_by_keyword(scored)
+
+
 def q_sentiment_by_keyword(spark, sf):
     return report.sentiment_by_keyword(_scored_keywords(spark, sf, limit=None))
 
@@ -560,7 +569,7 @@ def _in_lots(spark, sf, run) -> None:
     first = F.coalesce(F.col("forum") < "src2", F.lit(False))
     for lot in (first, ~first):
         topic.send(posts.where(lot).drop("forum"), TOPIC, target=target, offset=F.col("id").cast("bigint"))
-        run(topic.subscribe(spark, TOPIC, target=target, max_per_trigger=4))
+        run(topic.subscribe(spark, TOPIC, target=target, max_per_trigger=FILES_PER_TRIGGER))
 
 
 def _live_report(spark, sf) -> str:
@@ -590,7 +599,7 @@ def q_dead_letters(spark, sf):
     sent = messages.withColumn("value", F.when(number % 13 == 0, cut).when(number % 17 == 0, wrong).otherwise(value).cast("binary"))
     for lot in (number % 2 == 0, number % 2 == 1):
         sent.where(lot).write.mode("append").parquet(target)
-        run_with_dead_letters(topic.subscribe(spark, TOPIC, target=target, max_per_trigger=4), path, LexiconScorer(),
+        run_with_dead_letters(topic.subscribe(spark, TOPIC, target=target, max_per_trigger=FILES_PER_TRIGGER), path, LexiconScorer(),
                               scorer_b(spark, sf), clean=False)
     good = living_letters(spark, path).select("offset", F.lit(False).alias("dead"), "id", "sentiment1", "sentiment2")
     none = F.lit(None).cast("string")
@@ -618,7 +627,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.remov
     q_search_by_relevance_of_forum, q_strip_urls, q_clean_text, q_created_ts, q_score_lexicon, q_train_nb, q_score_nb,
     q_sentiment_result, q_sentiment_first, q_score_posts, q_score_join_by_id, q_score_any_transformer,
     q_title_join_fanout, q_title_join_labels, q_analyze_keywords, q_analyze_keywords_of_forum,
-    q_agreement_flag, q_agreement_counts, q_agreement_for_keyword, q_agreement_by_keyword,
+    q_agreement_flag, q_agreement_counts, q_agreement_for_keyword, q_agreement_by_keyword, q_agreement_by_10k_keywords,
     q_sentiment_by_keyword, q_keyword_options, q_flair_counts, q_flair_counts_of_forum, q_json_encode,
     q_json_text, q_timestamp_message, q_json_decode, q_bounded_topic_read, q_bounded_reads_continue,
     q_topic_scored, q_csv_roundtrip, q_csv_skip_bad_lines, q_report_export, q_stream_to_table,

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from postlens.operators import keywords
-from postlens.operators.keywords import KeywordMatcher, tag_keyword_table
+from postlens.operators.keywords import KeywordMatcher, posts_with_keyword_table, tag_keyword_table
 from postlens.operators.search import tag_keywords
 
 POST = "id string, title string, selftext string, keyword string, _hits int"
@@ -66,6 +66,27 @@ def test_table_equals_list(spark, monkeypatch, block):
     assert got.where("keyword = 'the'").count() > 0
 
 
+@pytest.mark.parametrize("block", [8 << 20, 20])
+def test_arrays_hold_the_same_keywords(spark, monkeypatch, block):
+    monkeypatch.setattr(keywords, "BLOCK_BYTES", block)
+    posts, vocabulary = rows(spark)
+    table = spark.createDataFrame([(g,) for g in [*vocabulary, "the", "the", " ", None]], "keyword string")
+    got = posts_with_keyword_table(posts, table, column="_found")
+    want = tag_keywords(posts, [*vocabulary, "the", "the"])
+    count = lambda df: sorted(map(str, df.groupBy("id", "title", "selftext", "k").count().collect()))
+    assert count(got.selectExpr("id", "title", "selftext", "explode(_found) AS k")) == count(
+        want.selectExpr("id", "title", "selftext", "keyword AS k"))
+    assert got.count() == posts.count() - posts_without(posts, want)
+    assert posts_with_keyword_table(posts, table.where("false")).collect() == []
+
+
+def posts_without(posts, tagged):
+    """Rows of posts that no keyword tags."""
+    text = ["id", "title", "selftext"]
+    found = {tuple(r) for r in tagged.select(*text).collect()}
+    return sum(tuple(r) not in found for r in posts.select(*text).collect())
+
+
 def test_empty_tables(spark):
     posts, _ = rows(spark)
     empty = spark.createDataFrame([], "word string")
