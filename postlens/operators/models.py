@@ -10,6 +10,8 @@ writes and is read by any session.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -119,9 +121,11 @@ class NaiveBayesEstimator(Estimator, _Scorer, HasLabelCol, DefaultParamsReadable
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> NaiveBayesStage:
-        fitted = NaiveBayesScorer(self.getOrDefault("minDocs"), self.getOrDefault("minZ"), self.getInputCol(),
-                                  self.getLabelCol()).fit(dataset)
-        fitted.unpersist()
-        stage = NaiveBayesStage(fitted.weights, fitted.bias)
+        scorer = NaiveBayesScorer(self.getOrDefault("minDocs"), self.getOrDefault("minZ"), self.getInputCol(), self.getLabelCol())
+        n1, n0 = scorer.class_totals(dataset)
+        stage = NaiveBayesStage()
+        if n1 and n0:  # the weights are as bounded as the training sample
+            rows = scorer.statistics(dataset, n1, n0).select("token", "w").collect()
+            stage = NaiveBayesStage({r.token: float(r.w) for r in rows}, math.log(n1 / n0))
         stage._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol())
         return stage
