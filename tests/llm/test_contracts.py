@@ -457,6 +457,35 @@ def test_similar_lines_are_found_without_near_fingerprints(spark):
     assert not gone & {a for a, _ in twins}
 
 
+def few_word_lines():
+    """Distinct lines of a small vocabulary, in which every word is frequent, with near copies and near copies of those."""
+    rng = random.Random(11)
+    vocabulary = [f"u{i}" for i in range(24)]
+    lines = []
+    for _ in range(120):
+        c = [rng.choice(vocabulary) for _ in range(rng.choice([4, 5, 6, 9, 10, 11, 12, 14, 15, 20, 30]))]
+        for _ in range(rng.randint(1, 5)):
+            lines.append(" ".join(c))
+            for _ in range(rng.randint(1, max(1, len(c) // 6))):
+                k = rng.randrange(len(c))
+                c[k:k + 1] = rng.choice([[], [rng.choice(vocabulary)], [c[k], rng.choice(vocabulary)]])
+    lines += ["q " * n + "r " * m for n, m in ((9, 1), (8, 2), (12, 1), (1, 9), (2, 12))]
+    return sorted({" ".join(s.split()) for s in lines})
+
+
+@pytest.mark.parametrize("sizes", [{}, {"DIRECT": 12, "FINER": 1000}, {"DIRECT": 4, "FINER": 9}])
+def test_lines_of_frequent_words_lose_no_link(spark, monkeypatch, sizes):
+    """All groups against the edit similarity of all pairs, whatever the size at which a word's lines are dealt otherwise."""
+    for name, n in sizes.items():
+        monkeypatch.setattr(linededup, name, n)
+    lines = few_word_lines()
+    random.Random(5).shuffle(lines)
+    root = groups(len(lines), similar_pairs([s.split() for s in lines]))
+    got = {r.doc_id for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+           .where("n_removed = 0").select("row.doc_id").collect()}
+    assert got == set(root) and len(got) < len(lines) - 100
+
+
 def test_common_words_beside_a_notice_weigh_little(spark):
     """A word of most files before a notice, at its true document frequency."""
     files = [(i, f"d{i}/f.txt", f"also word{i} and others" if i % 3 else f"word{i}") for i in range(1000)]
