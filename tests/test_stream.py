@@ -154,3 +154,22 @@ def test_interrupted_stream_resumes_exactly_once(spark):
                         source=source, timeout_seconds=300)
     ids = [r.id for r in spark.read.table(table).select("id").collect()]
     assert len(ids) == len(set(ids)) == posts.count()
+
+
+def test_two_runs_take_many_files_per_trigger(spark, monkeypatch):
+    """A trigger works on as many files as fit its cap, not on one: each run has one trigger here, and all posts come."""
+    from postlens.plans import registry
+
+    triggers = []
+
+    def run(spark, topic, table, path, checkpoint, *args, **kw):
+        query = run_stream_to_table(spark, topic, table, path, checkpoint, *args, **kw)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(kw["source"]).count()
+        triggers.append((files, sum(p.numInputRows > 0 for p in query.recentProgress)))
+        return query
+
+    monkeypatch.setattr(registry, "run_stream_to_table", run)
+    rows = registry.q_stream_two_runs(spark, SF_SMALL)
+    assert rows.count() == rows.select("id").distinct().count() == load_fixture_posts(spark, SF_SMALL).count()
+    assert len(triggers) == 2 and all(1 < files <= registry.FILES_PER_TRIGGER for files, _ in triggers)
+    assert [n for _, n in triggers] == [1, 1]
