@@ -486,6 +486,17 @@ def test_lines_of_frequent_words_lose_no_link(spark, monkeypatch, sizes):
     assert got == set(root) and len(got) < len(lines) - 100
 
 
+def test_repeated_rows_keep_their_fingerprints(spark):
+    """Rows that repeat do not add up in the lanes (two copies of such a line ran over a long)."""
+    line = " ".join(f"w{i % 3}" for i in range(120))
+    table = [(1, line)] * 5 + [(2, f"{line}\nanother line here")]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    keyed = frame.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), "text")
+    assert len({r.fp for r in linededup.fingerprinted(keyed).where("len = 120").collect()}) == 1
+    got = sorted((r.row.doc_id, r.n_removed) for r in linededup.dedup_lines(frame).collect())
+    assert got == [(1, 0)] * 5 + [(2, 1)]
+
+
 def test_common_words_beside_a_notice_weigh_little(spark):
     """A word of most files before a notice, at its true document frequency."""
     files = [(i, f"d{i}/f.txt", f"also word{i} and others" if i % 3 else f"word{i}") for i in range(1000)]
