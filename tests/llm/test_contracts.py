@@ -5,15 +5,17 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from brute import groups, similar_pairs
-from postlens.llm import decontam, kernels, license, linededup, packing, quality, simhash, substring, suffix, topk, urlfilter
+from postlens.llm import common, decontam, kernels, license, linededup, packing, quality, simhash, substring, suffix, topk, urlfilter
 from postlens.llm.queries import URL_RULES, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -486,6 +488,29 @@ def test_lines_of_frequent_words_lose_no_link(spark, monkeypatch, sizes):
     assert got == set(root) and len(got) < len(lines) - 100
 
 
+def test_line_dedup_leaves_no_shuffle_files(spark):
+    """What a stored frame shuffled is gone as its write ends, and the setting is as before; words go in parts."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: sum(f.stat().st_size for f in local.rglob("shuffle_*.data"))
+    size = held()
+    rows = spark.range(200_000).select((F.col("id") % 100_003).alias("k"), F.xxhash64("id").alias("v"))
+    out = common.stored(rows.groupBy("k").agg(F.max("v").alias("v")), "cleaned")
+    for _ in range(50):  # files are removed in the background
+        if held() <= size:
+            break
+        time.sleep(0.1)
+    assert held() <= size and out.count() == 100_003 and spark.conf.get(name, None) == before
+    # no pair is lost or found twice between the parts
+    lines = few_word_lines()[:60]
+    docs = spark.createDataFrame(list(enumerate(lines)), "did long, text string").withColumn("th", F.xxhash64("text"))
+    distinct = linededup.fingerprinted(docs).dropDuplicates(["l1", "l2"])
+    rare = common.stored(linededup.rare_words(docs, distinct), "rare")
+    pairs = lambda *part: {(r.a1, r.b1) for r in linededup.word_candidates(rare, 0.8, *part).collect()}
+    assert set().union(*[pairs(k, 3) for k in range(3)]) == pairs() and pairs()
+
+
 def test_repeated_rows_keep_their_fingerprints(spark):
     """Rows that repeat do not add up in the lanes (two copies of such a line ran over a long)."""
     line = " ".join(f"w{i % 3}" for i in range(120))
