@@ -69,7 +69,7 @@ class _WeightsReader(MLReader):
         model._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(model, metadata)
         rows = self.sparkSession.read.schema("token string, weight double").parquet(f"{path}/weights").collect()
-        model.weights = {r.token: r.weight for r in sorted(rows)}  # as bounded as the training sample
+        model.weights = {r.token: r.weight for r in sorted(rows)}
         return model
 
 
@@ -124,7 +124,7 @@ class NaiveBayesEstimator(Estimator, _Scorer, HasLabelCol, DefaultParamsReadable
         scorer = NaiveBayesScorer(self.getOrDefault("minDocs"), self.getOrDefault("minZ"), self.getInputCol(), self.getLabelCol())
         n1, n0 = scorer.class_totals(dataset)
         stage = NaiveBayesStage()
-        if n1 and n0:  # the weights are as bounded as the training sample
+        if n1 and n0:
             rows = scorer.statistics(dataset, n1, n0).select("token", "w").collect()
             stage = NaiveBayesStage({r.token: float(r.w) for r in rows}, math.log(n1 / n0))
         stage._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol())

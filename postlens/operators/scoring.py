@@ -14,7 +14,9 @@ so also run inside a stream.
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -111,21 +113,22 @@ class NaiveBayesModel:
     def score_sql(self, tokens_col: str) -> str:
         """Sum of weights over distinct tokens + bias, rounded (a SQL expression).
 
-        The vocabulary follows from the bounded training sample (at most its
-        tokens / ``min_docs`` entries, and only those that pass ``min_z``),
-        so it is inlined as literals: a hashed ``IN`` keeps only hits, and only
-        hits are looked up in the weight map (constant-folded once). One SQL
-        expression instead of one ``lit`` call per vocabulary entry.
+        The vocabulary grows with the labelled rows, so it is one JSON literal
+        (constant-folded once, no parser node per word): small maps of weights,
+        one of which a token's CRC picks, so that a lookup does not grow with
+        their number.
         """
         bias = sql_double(self.bias)
         if not self.weights:
             return f"round({bias}, {self.decimals})"
-        words = ", ".join(sql_string(w) for w in self.weights)
-        values = ", ".join(sql_double(v) for v in self.weights.values())
-        weight_map = f"map_from_arrays(array({words}), array({values}))"
+        buckets: list[dict[str, float]] = [{} for _ in self.weights]
+        for word, w in self.weights.items():
+            buckets[zlib.crc32(word.encode()) % len(buckets)][word] = float(w)
+        maps = f"from_json({sql_string(json.dumps(buckets))}, 'array<map<string,double>>')"
+        weight = f"try_element_at(get({maps}, CAST(crc32(t) % {len(buckets)} AS INT)), t)"
         # vocabulary hits first, then distinct: only the few hits are hashed
-        hits = f"array_distinct(filter(`{tokens_col}`, t -> t IN ({words})))"
-        total = f"aggregate({hits}, 0D, (acc, t) -> acc + try_element_at({weight_map}, t))"
+        hits = f"array_distinct(filter(`{tokens_col}`, t -> {weight} IS NOT NULL))"
+        total = f"aggregate({hits}, 0D, (acc, t) -> acc + {weight})"
         return f"round({total} + {bias}, {self.decimals})"
 
     def transform(self, df: DataFrame, tokens_col: str | None = None) -> DataFrame:
@@ -148,8 +151,7 @@ class NaiveBayesScorer:
     a two-proportion statistic ``z >= min_z``; there is no cap on their
     number. A row scores ``neg`` when its log-odds is above zero.
 
-    ``fit`` expects a bounded sample of labelled rows (the caller's documented
-    parameter, see ``plans.registry.TRAIN_ROWS``), which bounds the model.
+    ``fit`` counts in all labelled rows; only the vocabulary reaches the driver.
     """
 
     def __init__(self, min_docs: int = 5, min_z: float = 4.0,

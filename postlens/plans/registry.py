@@ -68,10 +68,6 @@ FILES_PER_TRIGGER = 64
 
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 
-# Labelled rows that scorer B is trained on, at most (in the order of a hash of
-# their id); bounds the model.
-TRAIN_ROWS = 50_000
-
 # Searches by relevance: terms frequent and rare, repeated, in another case, and unknown.
 RELEVANCE_QUERIES = ["worthless idiot", "License MYSTERY", "that", "idiot, idiot that", "the and of", "unheardofword", "..."]
 
@@ -88,10 +84,8 @@ def _conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned post text with its ``toxic`` label, for at most ``TRAIN_ROWS`` labelled posts."""
-    labels = (spark.read.parquet(f"{sf}/labels.parquet")
-              .select(F.col("doc_id").cast("string").alias("id"), "toxic")
-              .orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS))
+    """Cleaned post text with its ``toxic`` label, for every labelled post."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").cast("string").alias("id"), "toxic")
     labelled = _posts(spark, sf).select("id", "selftext").join(labels, "id")
     return clean_posts(labelled).select(F.col("selftext").alias("text"), "toxic")
 
