@@ -565,3 +565,12 @@ def test_very_long_near_copies_are_found(spark):
     b = [w + "x" if i % 4000 == 7 else w for i, w in enumerate(a)]
     frame = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "one two")], "doc_id long, text string")
     assert {r.row.doc_id: r.n_removed for r in linededup.dedup_lines(frame).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_word_frequencies_are_counted_in_every_text(spark):
+    """All texts count, also those whose hash is not divisible by eight, and the words on both sides of a newline."""
+    rows = [(i, 8 * i + 1 + i % 7, "Alpha beta\nalpha") for i in range(20)] + [(20, 8, "gamma")]
+    got = linededup.frequency_classes(spark.createDataFrame(rows, "did long, th long, text string"))
+    at = {r.w: r.c for r in spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "w string").select(
+        "w", F.pmod(F.xxhash64("w"), F.lit(linededup.CLASSES)).alias("c")).collect()}
+    assert {w: got[c] for w, c in at.items()} == {"alpha": 21, "beta": 17, "gamma": 4} and sum(got) == 42
