@@ -574,3 +574,16 @@ def test_word_frequencies_are_counted_in_every_text(spark):
     at = {r.w: r.c for r in spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "w string").select(
         "w", F.pmod(F.xxhash64("w"), F.lit(linededup.CLASSES)).alias("c")).collect()}
     assert {w: got[c] for w, c in at.items()} == {"alpha": 21, "beta": 17, "gamma": 4} and sum(got) == 42
+
+
+def test_fingerprints_are_compiled(spark):
+    """No generated method over 8,000 bytes: the JVM would interpret it for every line."""
+    docs = spark.createDataFrame([(1, 1, "one two")], "did long, th long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else there is no code before it runs
+    try:
+        plan = linededup.fingerprinted(docs)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000
